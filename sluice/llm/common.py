@@ -200,3 +200,85 @@ def encode(bpe, text: str) -> np.ndarray:
 
 def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def parts(texts, most: int = CHUNK_CHARS) -> Iterator[tuple[int, list[str]]]:
+    """(position of the first, texts) of a series, nulls as empty, about ``most`` characters at once."""
+    now, at, size = [], 0, 0
+    for t in texts:
+        t = t or ""
+        if now and size + len(t) > most:
+            yield at, now
+            at, now, size = at + len(now), [], 0
+        now.append(t)
+        size += len(t)
+    if now:
+        yield at, now
+
+
+# ---------------------------------------------------------------- packed exchange
+
+
+def packed_exchange(df: DataFrame, emit, width: int, flush_rows: int = 1 << 20) -> DataFrame:
+    """Shuffle fixed-width records in binary blocks instead of rows.
+
+    ``emit(record batch)`` yields int64 arrays of shape (n, width) whose first column is the
+    key; records of equal key end in the same partition of the result, (part, data). Millions
+    of small records then cost their own bytes and no object or row each. There are as many
+    partitions as ``spark.sql.shuffle.partitions``; read them with :func:`each_partition`.
+    """
+    count = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def blocks(held: list[np.ndarray]) -> pa.RecordBatch:
+        rows = np.concatenate(held)
+        part = (mix(rows[:, 0].view(U64)) % U64(count)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        rows, part = rows[order], part[order]
+        ids, first = np.unique(part, return_index=True)
+        ends = [*first[1:], len(part)]
+        data = [rows[a:b].tobytes() for a, b in zip(first, ends)]
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(data, pa.binary())], ["part", "data"])
+
+    def run(batches):
+        held, n = [], 0
+        for batch in batches:
+            for rows in emit(batch):
+                if len(rows):
+                    held.append(np.ascontiguousarray(rows, np.int64).reshape(-1, width))
+                    n += len(held[-1])
+                    if n >= flush_rows:
+                        yield blocks(held)
+                        held, n = [], 0
+        if held:
+            yield blocks(held)
+
+    return df.mapInArrow(run, "part int, data binary").repartitionById(count, "part")
+
+
+def each_partition(exchanged: DataFrame, work, width: int, schema: str) -> DataFrame:
+    """``work(int64 array (n, width) of a whole partition)`` yields record batches of ``schema``."""
+
+    def run(batches):
+        held = [np.frombuffer(x, np.int64).reshape(-1, width) for batch in batches for x in batch.column("data").to_pylist()]
+        if held:
+            yield from work(np.concatenate(held))
+
+    return exchanged.mapInArrow(run, schema)
+
+
+def runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end of each run of equal values in a sorted array."""
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, np.int64)
+    return first, np.append(first[1:], len(keys))
+
+
+def run_pairs(start: np.ndarray, end: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of positions i < j within each run, about ``most`` pairs at once."""
+    for a, b in zip(start, end):
+        rows = max(1, most // (b - a))
+        for i in range(a, b - 1, rows):
+            left = np.arange(i, min(i + rows, b - 1))
+            right = b - 1 - left
+            l = np.repeat(left, right)
+            offset = np.arange(len(l)) - np.repeat(np.cumsum(right) - right, right)
+            yield l, l + 1 + offset

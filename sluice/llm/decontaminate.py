@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, slices, texts_of
+from .common import Words, parts, slices, texts_of
 
 N_WORDS = 8
 MIN_WORDS = 5
@@ -149,16 +149,9 @@ def is_contaminated(docs: DataFrame, benchmark: DataFrame, n: int = N_WORDS, min
 
         machine = _automaton(shared)
         out = np.zeros(len(texts), bool)
-        values = [t or "" for t in texts]
-        at = 0
-        while at < len(values):
-            to, size = at, 0
-            while to < len(values) and (to == at or size + len(values[to]) <= 1_000_000):
-                size += len(values[to])
-                to += 1
-            for d, *_ in machine.hits(values[at:to]):
+        for at, values in parts(texts):
+            for d, *_ in machine.hits(values):
                 out[at + d] = True
-            at = to
         return pd.Series(out)
 
     return found(F.col("text").cast("string"))

@@ -6,6 +6,8 @@ from importlib import import_module
 
 MODULES = {
     "op1_decontaminate": "decontaminate",
+    "op5_toxicity": "toxicity",
+    "op8_line_dedup": "line_dedup",
 }
 
 _loaded = {name: import_module(f".{module}", __package__) for name, module in MODULES.items()}
