@@ -6,8 +6,10 @@ from importlib import import_module
 
 MODULES = {
     "op1_decontaminate": "decontaminate",
+    "op4_best_fit_packing": "packing",
     "op5_toxicity": "toxicity",
     "op8_line_dedup": "line_dedup",
+    "op10_jaccard_join": "jaccard_join",
 }
 
 _loaded = {name: import_module(f".{module}", __package__) for name, module in MODULES.items()}
