@@ -6,6 +6,7 @@ from importlib import import_module
 
 MODULES = {
     "op1_decontaminate": "decontaminate",
+    "op2_quality": "quality",
     "op4_best_fit_packing": "packing",
     "op5_toxicity": "toxicity",
     "op8_line_dedup": "line_dedup",
