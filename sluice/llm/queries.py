@@ -9,7 +9,9 @@ MODULES = {
     "op2_quality": "quality",
     "op4_best_fit_packing": "packing",
     "op5_toxicity": "toxicity",
+    "op7_token_counts": "token_counts",
     "op8_line_dedup": "line_dedup",
+    "op9_binary_records": "records",
     "op10_jaccard_join": "jaccard_join",
 }
 
