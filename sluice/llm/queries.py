@@ -7,8 +7,10 @@ from importlib import import_module
 MODULES = {
     "op1_decontaminate": "decontaminate",
     "op2_quality": "quality",
+    "op3_chat_formatting": "chat",
     "op4_best_fit_packing": "packing",
     "op5_toxicity": "toxicity",
+    "op6_chroma_fingerprints": "fingerprint",
     "op7_token_counts": "token_counts",
     "op8_line_dedup": "line_dedup",
     "op9_binary_records": "records",
