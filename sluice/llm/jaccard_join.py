@@ -11,8 +11,9 @@ Documents are sets of word n-grams; 1 - Jaccard similarity is a metric. Pairs wi
    (rarest) first, and two sets within the bound must share at least ``k`` of the first
    ``m - ceil(threshold * m) + k``. All classes with such a leading n-gram form a block, and
    its smallest class is the block's pivot. Classes that share fewer than ``k`` leading
-   n-grams with any other are alone; the others are points of the region of each pivot they
-   share a block with, so every close pair meets in the region of a pivot.
+   n-grams with others are alone; the others are points of the regions of the pivots of their
+   blocks, but for those pivots that hold too few of the k n-grams to matter, so every close
+   pair still meets in the region of a pivot.
 3. A region picks further pivots (farthest first), gives each point to the nearest one and
    replicates it to every pivot q with d(x, q) <= d(x, nearest) + 2 * (1 - threshold); by
    the triangle inequality no close pair is lost. Sub-regions join recursively; the leaves,
@@ -36,7 +37,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import U64, Words, documents, each_partition, maybe_broadcast, mix, packed_exchange, runs, slices, texts_of, written
@@ -44,7 +45,7 @@ from .common import U64, Words, documents, each_partition, maybe_broadcast, mix,
 N_GRAM = 3
 THRESHOLD = 0.7
 #: Leading n-grams that a close pair must share, as a part of the smaller set.
-SHARED = 0.1
+SHARED = 0.2
 LEAF = 32
 PIVOTS = 8
 #: Points of a region that one task joins; larger regions are cut into cells.
@@ -212,8 +213,13 @@ def class_pairs(docs: DataFrame, n: int = N_GRAM, threshold: float = THRESHOLD,
     members = found.where("kind = 1").select(F.col("a").alias("class"), F.col("b").alias("doc_id"))
     size = found.where("kind = 2").select(F.col("a").alias("member"), F.col("b").alias("size")).distinct()
     linked = found.where("kind = 0").groupBy(F.col("a").alias("pivot"), F.col("b").alias("member")).agg(F.sum("c").alias("c"))
-    enough = linked.groupBy("member").agg(F.sum("c").alias("c")).join(size, "member").where(F.col("c") >= F.ceil(F.lit(shared * threshold) * F.col("size") - 1e-9)).select("member")
-    points = linked.join(enough, "member").select("pivot", "member")
+    # A close pair shares k leading n-grams, k at least ``least`` of either class. A class with fewer
+    # shared ones in all has no partner. Pivots that hold few of them, less than half of ``least``
+    # together, can go: what two classes leave out together can't be all k of them.
+    each = Window.partitionBy("member")
+    least = F.greatest(F.lit(1), F.ceil(F.lit(shared * threshold) * F.col("size") - 1e-9))
+    ranked = linked.join(size, "member").withColumn("least", least).withColumn("all", F.sum("c").over(each)).withColumn("up", F.sum("c").over(each.orderBy("c", "pivot").rowsBetween(Window.unboundedPreceding, 0)))
+    points = ranked.where("all >= least and 2 * up > least - 1").select("pivot", "member")
     regions = points.groupBy("pivot").agg(F.count(F.lit(1)).alias("points")).where("points > 1")
     points = written(points.join(regions, "pivot"), "ngram-regions")
 
