@@ -1,2 +1,516 @@
-QUERIES = {}
-ORACLES = {}
+"""The queries of the library over the given tables, each with the SQL it is held against.
+
+The tables hold few lines that the extractors look for, so most queries project lines of
+configuration, code or paths from keys. Such a projection is one SQL expression that Spark and
+DuckDB both read (``LINES``); what is done with it is written twice, independently.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import languages as L
+from ..functions import text as T
+from ..operators import bundle, endpoints, links, native, parsers, project, render, stack
+from ..streaming import snapshot
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+#: name -> (table, key, expression) of a line, a text or a path that is projected from keys.
+LINES = {
+    "uri": ("customer", "c_custkey", """concat(case c_custkey % 4 when 0 then 'postgresql' when 1 then 'mysql+pymysql' when 2 then 'redis' else 'mongodb+srv' end,
+        '://u', c_custkey, ':pw', c_custkey, '@DB', c_nationkey % 5, '.Internal:', 5432 + c_nationkey, '/', lower(c_mktsegment),
+        case c_custkey % 3 when 0 then concat('?x=1&schema=s', c_nationkey) else '' end)"""),
+    "typed": ("part", "p_partkey", """concat(case p_partkey % 15 when 0 then 'postgresql' when 1 then 'Postgres' when 2 then 'mysql' when 3 then 'mariadb' when 4 then 'mongodb' when 5 then 'redis'
+        when 6 then 'amqp' when 7 then 'mssql' when 8 then 'sqlserver' when 9 then 'oracle' when 10 then 'sqlite' when 11 then 'jdbc:x' when 12 then 'cockroachdb' else 'ldap' end, '://', lower(p_brand))"""),
+    "jdbc": ("supplier", "s_suppkey", """concat('url = "jdbc:', case s_suppkey % 2 when 0 then 'postgresql' else 'mysql' end, '://Host', s_nationkey, '.svc',
+        case s_suppkey % 3 when 0 then '' else concat(':', 3306 + s_nationkey) end, '/db', s_suppkey, '?ssl=true"')"""),
+    "driver": ("customer", "c_custkey", """case c_custkey % 3 when 0 then concat('e = create_engine("postgresql://app', c_custkey, ':pw', c_custkey, '@h', c_nationkey, ':5432/d', c_custkey, '")')
+        when 1 then concat('c = connect(''file', c_custkey, '.db'')') else concat('disconnect(', c_custkey, ')') end"""),
+    "env": ("customer", "c_custkey", """concat(case c_custkey % 2 when 0 then 'export ' else '' end, case c_custkey % 9 when 0 then concat('DATABASE_URL="mysql://u', c_custkey, ':pw@h', c_nationkey, ':3306/d"')
+        when 1 then concat('DB_HOST=db', c_nationkey, '.internal') when 2 then concat('PGPORT=', 5432 + c_nationkey) when 3 then concat('DB_USER=u', c_custkey) when 4 then concat('MYSQL_DATABASE=d', c_custkey)
+        when 5 then concat('DB_SCHEMA=''s', c_nationkey, '''') when 6 then 'DB_NAME=' when 7 then concat('REDIS_URI=cache', c_nationkey) else concat('HOME=/home/u', c_custkey) end)"""),
+    "kv": ("supplier", "s_suppkey", """case s_suppkey % 4 when 0 then concat('host = db', s_nationkey, ', port: ', 5432 + s_nationkey, ', user=u', s_suppkey, ', password = p', s_suppkey)
+        when 1 then concat('  db_host: "h', s_nationkey, '"') when 2 then concat('schema=s', s_suppkey, ' # old') else concat('hostess: h', s_suppkey) end"""),
+    "dict": ("supplier", "s_suppkey", """concat('x = {"host": "h', s_nationkey, '", ''port'': ', 5000 + s_nationkey, case s_suppkey % 2 when 0 then concat(', "username": "u', s_suppkey, '"') else ', "user": "*"' end,
+        ', "dbname": "d', s_suppkey, '"}')"""),
+    "mixed": ("supplier", "s_suppkey", """concat('a postgres://u', s_suppkey, ':p@h', s_nationkey, ':1/d b postgres://u', s_suppkey, ':q@h', s_nationkey, ':1/d', chr(10), '# nothing', chr(10),
+        'REDIS_URL=redis://u', s_suppkey, ':x@r', s_nationkey, ':6379/0', chr(10), 'host = h', s_nationkey, chr(10), 'jdbc:postgresql://j', s_nationkey, ':5/d', s_suppkey)"""),
+    "links": ("supplier", "s_suppkey", """concat('See HTTPS://Host', s_nationkey, '.example/p', s_suppkey, '.), ws://w', s_suppkey, '.example;', chr(10), 'http://localhost:80/x and http://127.0.0.1/y', chr(10),
+        '<a href="ftp://f', s_suppkey, '/z">http://e', s_nationkey, '/q?a=1</a> https://Host', s_nationkey, '.example/p', s_suppkey)"""),
+    "path": ("part", "p_partkey", """concat('src/', lower(p_type), '/', replace(p_name, ' ', '_'), case p_partkey % 12 when 0 then '.py' when 1 then '.TS' when 2 then '/Dockerfile' when 3 then '/.env' when 4 then '/.env.local'
+        when 5 then '/prod.env' when 6 then '.tar.gz' when 7 then '/Makefile' when 8 then '.yml' when 9 then '/compose.yaml' when 10 then '.' else '' end)"""),
+    "filter": ("customer", "c_custkey", """concat(case c_custkey % 3 when 0 then ' JS' when 1 then 'k8s ' else 'c++' end, ',', lower(c_mktsegment), ', Py,,python')"""),
+    "ddl": ("part", "p_partkey", """concat('-- ', p_name, chr(10), 'CREATE TABLE t', p_partkey, ' (id INT);', chr(10), case p_partkey % 4 when 0 then concat('create or  replace procedure p', p_partkey, ' AS', chr(10), 'BEGIN', chr(10), '  DELETE FROM t; END;')
+        when 1 then concat('CREATE FUNCTION f', p_partkey, '() AS select 1', chr(10), ';select 2') when 2 then concat('DECLARE', chr(10), '  x INT; EXECUTE', chr(10), 'IMMEDIATE ''DROP TABLE q''') else concat('CREATE VIEW v AS SELECT selected', chr(10), 'FROM t') end)"""),
+    "docker": ("orders", "o_orderkey", """concat(case o_orderkey % 5 when 0 then 'FROM img' when 1 then '  run make' when 2 then '# FROM' when 3 then 'MAINTAINER' else 'Copy a b' end, ' ', o_custkey)"""),
+    "shell": ("orders", "o_orderkey", """concat(case o_orderkey % 6 when 0 then 'curl x | psql -U' when 1 then 'docker build; docker push' when 2 then 'kubectl_old get' when 3 then '. lib' when 4 then 'source ./env' else 'echo git' end, ' ', o_custkey)"""),
+    "exports": ("orders", "o_orderkey", """concat(case o_orderkey % 4 when 0 then concat('  KEY', o_custkey, ' = a=b') when 1 then '# none' when 2 then concat('[s', o_custkey, ']') else '   ' end)"""),
+    "ruby": ("orders", "o_orderkey", """concat(case o_orderkey % 3 when 0 then '  require ' when 1 then 'require_relative ' else 'required ' end, '''x', o_custkey, '''')"""),
+    "clash": ("part", "p_partkey", """concat('a/', case p_partkey % 3 when 0 then 'b_c' when 1 then 'b/c' else 'b c' end, p_size, case when p_partkey % 7 = 0 then repeat('/deep', 50) else '' end, '.', lower(p_brand))"""),
+    "file": ("customer", "c_custkey", """concat('pkg', c_nationkey, case c_custkey % 2 when 0 then '/' else '/sub/' end, 'm', c_custkey % 400, case c_custkey % 3 when 0 then '.py' when 1 then '.js' else '.java' end)"""),
+    "import": ("orders", "o_orderkey", """case o_custkey % 3 when 0 then concat('from pkg', o_orderkey % 25, '.m', o_orderkey % 400, ' import x') when 1 then concat('import a from "./m', o_orderkey % 400, '"')
+        else concat('import static pkg', o_orderkey % 25, '.m', o_orderkey % 400, ';') end"""),
+    "braces": ("lineitem", "l_orderkey", """case l_linenumber % 4 when 0 then 'if (x) {' when 1 then '} else { {' when 2 then '}' else 'y;' end"""),
+}
+
+
+def projected(spark: SparkSession, sf_dir: str, name: str, *also: str, key: str = "path", value: str = "line") -> DataFrame:
+    """(key, value, ...): the texts of ``LINES[name]``."""
+    of, column, text = LINES[name]
+    return table(spark, sf_dir, of).selectExpr(f"{column} as {key}", f"{text} as {value}", *also)
+
+
+def cte(name: str, *also: str) -> str:
+    of, column, text = LINES[name]
+    return f"(select {', '.join([f'{column} as path', f'{text} as line', *also])} from {of})"
+
+
+def _fields(row: Column, *names: str) -> list[Column]:
+    return [row[n].alias(n) for n in names]
+
+
+PLACE = ("connection_type", "host", "port", "user", "schema", "database")
+PASSWORDS = r"regexp_replace(regexp_replace(regexp_replace({}, '://([^:@]+:)[^@/]+@', '://\1***@', 'g'), '://:[^@/]+@', '://:***@', 'g'), '(?i)(passwd|password|pwd|secret|token)\s*[:=]\s*[\"'']?[^\"''#,\s]+', '\1=***', 'g')"
+URL_SQL = r"""'(?i)(?:ftp|https?|wss?)://[^\s"''<>)\]},;]+'"""
+HOST_SQL = r"lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#]*@)?([^/?#:]*)', 1))"
+LINES_OF = "(select {key}, unnest(generate_series(1, len(a))) as n, unnest(a) as line from (select {key}, case when a[-1] = '' then a[:-2] else a end as a from (select {key}, string_split({text}, chr(10)) as a from {table})))"
+
+
+# ---------------------------------------------------------------- pages and documents
+
+HOSTS_SQL = f"select host, count(*) as pages, arg_min(url, page_id) as first_url from (select page_id, rtrim(url, '.,;)') as url, {HOST_SQL} as host from pages) where host <> '' and host not in ('localhost', '127.0.0.1', '0.0.0.0') group by host"
+
+
+@query(HOSTS_SQL)
+def url_host_counts(spark, sf_dir):
+    """First-seen URL and page count of each host."""
+    pages = table(spark, sf_dir, "pages").select("page_id", T.clean_url(F.col("url")).alias("url"), T.url_host(F.col("url")).alias("host"))
+    pages = pages.where(F.col("host").isNotNull() & ~F.col("host").isin(*endpoints.P.LOCAL_HOSTS))
+    return pages.groupBy("host").agg(F.count(F.lit(1)).alias("pages"), F.min(F.struct("page_id", "url")).alias("m")).select("host", "pages", F.col("m.url").alias("first_url"))
+
+
+def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_host_counts(spark, sf_dir).orderBy(F.desc("pages"), "host")
+
+
+@query(f"select url, min(page_id) as path, 1 as line from (select page_id, rtrim(regexp_extract(url, {URL_SQL}), '.,;)') as url from pages) where url <> '' and {HOST_SQL} not in ('localhost', '127.0.0.1', '0.0.0.0') group by url")
+def url_first_seen(spark, sf_dir):
+    found = endpoints.urls(endpoints.lines(table(spark, sf_dir, "pages"), "page_id", "url"), "page_id")
+    return project.first_urls(found.withColumnRenamed("page_id", "path"))
+
+
+@query("select page_id, n as line, unnest(regexp_extract_all(line, 'href=\"([^\"]*)\"', 1)) as href from " + LINES_OF.format(key="page_id", text="html", table="pages"))
+def href_extract(spark, sf_dir):
+    rows = endpoints.lines(table(spark, sf_dir, "pages"), "page_id", "html")
+    return rows.select("page_id", F.col("line_no").cast("long").alias("line"), F.explode(F.regexp_extract_all("line", F.lit('href="([^"]*)"'), 1)).alias("href"))
+
+
+@query(f"select doc_id, count(*) as secret_lines from {LINES_OF.format(key='doc_id', text='text', table='documents')} where {PASSWORDS.format('line')} <> line group by doc_id")
+def secret_lines_by_doc(spark, sf_dir):
+    rows = endpoints.lines(table(spark, sf_dir, "documents"), "doc_id", "text").where(endpoints.may_hold_endpoint(F.col("line")))
+    return rows.where(T.redact_secrets(F.col("line")) != F.col("line")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("secret_lines"))
+
+
+@query(f"select doc_id, md5({PASSWORDS.format('text')}) as redacted from documents")
+def redact_documents(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(F.encode(T.redact_secrets(F.col("text")), "utf-8")).alias("redacted"))
+
+
+@query("select lang as language, count(*) as files from documents group by lang")
+def files_by_language(spark, sf_dir):
+    return project.files_by_language(table(spark, sf_dir, "documents"), "lang")
+
+
+@query("select source, count(*) filter (strlen(text) <= 524288 and not contains(text, chr(0))) as files, count(*) filter (strlen(text) > 524288) as too_large from documents group by source")
+def size_gate(spark, sf_dir):
+    size, binary = F.octet_length("text"), F.contains(F.col("text"), F.lit("\0"))
+    return table(spark, sf_dir, "documents").groupBy("source").agg(F.count_if((size <= 512 * 1024) & ~binary).alias("files"), F.count_if(size > 512 * 1024).alias("too_large"))
+
+
+@query("select doc_id, lang as language, n_lines, concat(replace(replace(source, '/', '_'), '.', '_'), '_', doc_id, '.md') as kb_name from (select doc_id, count(*) as n_lines from " + LINES_OF.format(key="doc_id", text="text", table="documents") + " group by doc_id) join documents using (doc_id)")
+def file_index(spark, sf_dir):
+    """One row a document: its language, its lines and the name of its rendering."""
+    path = F.concat_ws("/", "source", F.col("doc_id").cast("string"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("language"), F.size(endpoints.split_lines(F.col("text"))).cast("long").alias("n_lines"), T.document_name(path).alias("kb_name"))
+
+
+@query("""select doc_id, length(text) as characters, len(regexp_extract_all(text, '[^ \\t\\n\\x0b\\x0c\\r]+')) as words, strlen(text) as bytes, length(text) // 4 as tokens_estimate,
+  case when strlen(text) < 1024 then concat(strlen(text), ' B') when strlen(text) < 1048576 then concat(format('{:.1f}', strlen(text) / 1024.0), ' KB') else concat(format('{:.2f}', strlen(text) / 1048576.0), ' MB') end as size_human from documents""")
+def text_measures(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", *bundle.measures(F.col("text")))
+
+
+# ---------------------------------------------------------------- endpoints
+
+TYPE_SQL = "case " + " ".join(f"when contains(lower({{0}}), '{t}') then '{'postgres' if t == 'postgresql' else t}'" for t in endpoints.P.TYPES) + " else 'generic' end"
+URI_SQL = r"""{type} as connection_type, lower(regexp_extract({u}, '@([^:/?#]*)', 1)) as host, nullif(regexp_extract({u}, '@[^:/]*:([0-9]+)', 1), '') as port, nullif(regexp_extract({u}, '://([^:@/]*)[:@]', 1), '') as "user",
+ nullif(regexp_extract({u}, '[?&]schema=([^&]+)', 1), '') as "schema", nullif(regexp_extract({u}, '://[^/]*/([^?]*)', 1), '') as "database" """
+
+
+def _uri_sql(u: str) -> str:
+    return URI_SQL.format(type=TYPE_SQL.format(u), u=u)
+
+
+@query(f"select path, {_uri_sql('line')} from {cte('uri')}")
+def conn_uri_parse(spark, sf_dir):
+    rows = projected(spark, sf_dir, "uri")
+    return rows.select("path", T.parse_connection(F.col("line")).alias("p")).select("path", "p.*")
+
+
+@query(f"select {TYPE_SQL.format('line')} as connection_type, count(*) as n from {cte('typed')} group by 1")
+def conn_type(spark, sf_dir):
+    return projected(spark, sf_dir, "typed").groupBy(T.connection_type(F.col("line")).alias("connection_type")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""select path, 'jdbc' as connection_type, regexp_extract(line, '//([^/:]+)', 1) as host, nullif(regexp_extract(line, '//[^/:]+:([0-9]+)', 1), '') as port, regexp_extract(line, '/(db[0-9]+)', 1) as "database",
+ regexp_extract(line, '"(.*)"', 1) as raw_redacted from {cte('jdbc')}""")
+def jdbc_parse(spark, sf_dir):
+    rows = projected(spark, sf_dir, "jdbc").select("path", F.explode(endpoints.jdbc_endpoints(F.col("line"), F.lit(1))).alias("e"))
+    return rows.select("path", *_fields(F.col("e"), "connection_type", "host", "port", "database", "raw_redacted"))
+
+
+@query(f"""select path, case when u like 'postgres%' then 'postgres' else 'generic' end as connection_type, nullif(lower(regexp_extract(u, '@([^:]*)', 1)), '') as host, nullif(regexp_extract(u, '@[^:]*:([0-9]+)', 1), '') as port,
+ nullif(regexp_extract(u, '://([^:]*)', 1), '') as "user", regexp_extract(u, '([^/]*)$', 1) as "database", regexp_replace(u, ':pw[0-9]+@', ':***@') as raw_redacted
+ from (select path, regexp_extract(line, '^(?:e = create_engine|c = connect)\\(["'']([^"'']*)["'']', 1) as u from {cte('driver')}) where u <> ''""")
+def driver_string_parse(spark, sf_dir):
+    rows = projected(spark, sf_dir, "driver").select("path", F.explode(endpoints.driver_endpoints(F.col("line"), F.lit(1))).alias("e"))
+    return rows.select("path", *_fields(F.col("e"), "connection_type", "host", "port", "user", "database", "raw_redacted"))
+
+
+@query(f"""with e as (select path, regexp_extract(line, '^(?:export )?([A-Z_]+)=', 1) as name, trim(regexp_extract(line, '=(.*)$', 1), '"''') as v from {cte('env')})
+select path, case when name in ('DATABASE_URL', 'REDIS_URI') then {TYPE_SQL.format('v')} else 'env' end as connection_type,
+ case name when 'DATABASE_URL' then regexp_extract(v, '@([^:]*)', 1) when 'DB_HOST' then v end as host, case name when 'DATABASE_URL' then '3306' when 'PGPORT' then v end as port,
+ case name when 'DATABASE_URL' then regexp_extract(v, '//([^:]*)', 1) when 'DB_USER' then v end as "user", case name when 'DB_SCHEMA' then v end as "schema",
+ case name when 'DATABASE_URL' then 'd' when 'MYSQL_DATABASE' then v when 'REDIS_URI' then v end as "database" from e where v <> '' and name <> 'HOME'""")
+def env_endpoints(spark, sf_dir):
+    rows = projected(spark, sf_dir, "env").select("path", endpoints.env_endpoint(F.col("line"), F.lit(1)).alias("e")).where("e is not null")
+    return rows.select("path", *_fields(F.col("e"), *PLACE))
+
+
+@query(f"""select path, nullif(coalesce(nullif(regexp_extract(line, '^host = ([^,]*)', 1), ''), regexp_extract(line, 'db_host: "([^"]*)', 1)), '') as host, nullif(regexp_extract(line, 'port: ([0-9]+)', 1), '') as port,
+ nullif(regexp_extract(line, 'user=([^,]*)', 1), '') as "user", nullif(regexp_extract(line, 'schema=([^ ]*)', 1), '') as "schema", regexp_replace(trim(line), 'password = p[0-9]+', 'password=***') as raw_redacted
+ from {cte('kv')} where line not like 'hostess%'""")
+def kv_config(spark, sf_dir):
+    rows = projected(spark, sf_dir, "kv").select("path", endpoints.key_value_endpoint(F.col("line"), F.lit(1)).alias("e")).where("e is not null")
+    return rows.select("path", *_fields(F.col("e"), "host", "port", "user", "schema", "raw_redacted"))
+
+
+@query(f"""select path, regexp_extract(line, '"host": "([^"]*)', 1) as host, regexp_extract(line, '''port'': ([0-9]+)', 1) as port, nullif(regexp_extract(line, '"username": "([^"]*)', 1), '') as "user",
+ regexp_extract(line, '"dbname": "([^"]*)', 1) as "database" from {cte('dict')}""")
+def dict_kv(spark, sf_dir):
+    rows = projected(spark, sf_dir, "dict").select("path", endpoints.key_value_endpoint(F.col("line"), F.lit(1)).alias("e")).where("e is not null")
+    return rows.select("path", *_fields(F.col("e"), "host", "port", "user", "database"))
+
+
+@query("""select s_suppkey as path, unnest([1, 3, 4, 5])::int as line, unnest(['postgres', 'redis', 'config', 'postgres']) as connection_type,
+ unnest([concat('h', s_nationkey), concat('r', s_nationkey), concat('h', s_nationkey), concat('j', s_nationkey)]) as host, unnest(['1', '6379', null, '5']) as port,
+ unnest([concat('u', s_suppkey), concat('u', s_suppkey), null, null]) as "user", unnest(['d', '0', null, concat('d', s_suppkey)]) as "database" from supplier""")
+def endpoint_union_dedup(spark, sf_dir):
+    """All kinds together: the two copies of a line's first URI are one, and so are a JDBC URL and the URI in it."""
+    found = endpoints.endpoints(endpoints.lines(projected(spark, sf_dir, "mixed", value="content")))
+    return found.select("path", "line", "connection_type", "host", "port", "user", "database")
+
+
+@query(f"""select path, n::int as line, url from (select path, n, unnest(list_distinct(list_transform(regexp_extract_all(line, {URL_SQL}), lambda u: rtrim(u, '.,;)')))) as url from {LINES_OF.format(key='path', text='line', table=cte('links'))})
+ where {HOST_SQL} not in ('localhost', '127.0.0.1', '0.0.0.0')""")
+def url_extract(spark, sf_dir):
+    return endpoints.urls(endpoints.lines(projected(spark, sf_dir, "links", value="content"))).select("path", "line", "url")
+
+
+@query(f"select sum(e) as endpoints, sum(u) as urls from (select 4 * count(*) as e, 0 as u from supplier union all select 0, 4 * count(*) from supplier)")
+def project_totals(spark, sf_dir):
+    """Endpoints and URLs of whole texts as nested columns, without a shuffle of lines."""
+    both = projected(spark, sf_dir, "mixed", value="content").unionByName(projected(spark, sf_dir, "links", value="content"))
+    # a shared host and port pair in both texts isn't merged: endpoints of a project are never deduplicated
+    return both.agg(F.sum(F.size(endpoints.text_endpoints(F.col("content")))).alias("endpoints"), F.sum(F.size(endpoints.text_urls(F.col("content")))).alias("urls"))
+
+
+# ---------------------------------------------------------------- languages
+
+_SUFFIX_SQL = "case " + " ".join(f"when ends_with(lower(name), '{s}') then '{lang}'" for s, lang in sorted(L.SUFFIXES.items(), key=lambda x: -len(x[0]))) + " end"
+LANGUAGE_SQL = f"case when lower(name) = '.env' or lower(name) like '.env.%' then 'env' when lower(name) in ({', '.join(repr(x) for x in L.NAMES)}) then (case lower(name) {' '.join(f'when {k!r} then {v!r}' for k, v in L.NAMES.items())} end) when lower(name) like '%_.env' then 'env' else {_SUFFIX_SQL} end"
+
+
+@query(f"select path, {LANGUAGE_SQL} as language from (select path, regexp_extract(line, '([^/]*)$', 1) as name from {cte('path')})")
+def language_detect(spark, sf_dir):
+    return projected(spark, sf_dir, "path").select("path", L.detect_language(F.col("line")).alias("language"))
+
+
+@query(f"select coalesce({LANGUAGE_SQL}, '-') as language, count(*) as files from (select path, regexp_extract(line, '([^/]*)$', 1) as name from {cte('path')}) where {LANGUAGE_SQL} in ('yaml', 'bash', 'env') group by 1")
+def language_selected(spark, sf_dir):
+    """Files in the filter ``k8s,env,shell``."""
+    rows = projected(spark, sf_dir, "path")
+    return rows.where(L.selected(F.col("line"), L.language_filter("k8s, env,shell"))).groupBy(L.detect_language(F.col("line")).alias("language")).agg(F.count(F.lit(1)).alias("files"))
+
+
+@query(f"""select path, array_to_string(list_sort(list_distinct(list_transform(list_filter(list_transform(string_split(line, ','), lambda x: lower(trim(x))), lambda x: x <> ''),
+ lambda x: case x when 'js' then 'javascript' when 'k8s' then 'kubernetes' when 'c++' then 'cpp' when 'py' then 'python' else x end))), ',') as languages from {cte('filter')}""")
+def language_filter(spark, sf_dir):
+    return projected(spark, sf_dir, "filter").select("path", F.array_join(L.normalised_filter(F.col("line")), ",").alias("languages"))
+
+
+# ---------------------------------------------------------------- extraction by lines
+
+_SIGNS = " + ".join(rf"regexp_matches(line, '(?i)\b(?:{p})\b')::int" for p in native.PLSQL_SIGNS)
+
+
+@query(rf"select path, {_SIGNS} as score, ({_SIGNS}) >= 2 or regexp_matches(line, '(?i)\bEXECUTE\s+IMMEDIATE\b') as plsql from {cte('ddl')}")
+def plsql_score(spark, sf_dir):
+    c = F.col("line")
+    return projected(spark, sf_dir, "ddl").select("path", native.plsql_score(c).alias("score"), native.is_plsql(F.lit("x.sql"), c).alias("plsql"))
+
+
+_STATEMENTS = " union all ".join(rf"select path, '{label}' as label, {n} as k, line as content, unnest(regexp_extract_all(line, '(?i)\b(?:{p})\b')) as signature from d" for n, (label, p) in enumerate(native.STATEMENTS))
+
+
+@query(f"with d as (select * from {cte('ddl')}) select path, label, substr(signature, 1, 200) as signature, count(*) as n from ({_STATEMENTS}) group by all")
+def sql_statements(spark, sf_dir):
+    found = native.sql_statements(projected(spark, sf_dir, "ddl", value="content"))
+    return found.groupBy("path", "label", "signature").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(rf"""select path, case path % 4 when 0 then 'PROCEDURE' when 1 then 'FUNCTION' when 2 then 'PL/SQL_BLOCK' else 'VIEW' end as type,
+ case path % 4 when 0 then concat('p', path) when 1 then concat('f', path) when 2 then 'PL/SQL_BLOCK' else 'v' end as name, 3::int as line from {cte('ddl')}""")
+def plsql_objects(spark, sf_dir):
+    return native.plsql_objects(projected(spark, sf_dir, "ddl", value="content")).select("path", "type", "name", "line")
+
+
+_ORDER_LINES = ("o_custkey % 50 as script", "cast(o_orderkey as int) as line_no")
+
+
+@query(rf"select path, upper(regexp_extract(trim(line), '^(\S+)', 1)) as instruction, trim(line) as signature from {cte('docker')} where path % 5 in (0, 1, 4)")
+def docker_instructions(spark, sf_dir):
+    return native.docker_instructions(projected(spark, sf_dir, "docker", "1 as line_no")).select("path", "instruction", "signature")
+
+
+@query(f"select script, case path % 6 when 0 then unnest(['HTTP (curl)', 'Database (psql)']) when 1 then unnest(['Docker CLI']) else unnest(['git']) end as pattern, path::int as line, left(line, 120) as context from {cte('shell', *_ORDER_LINES)} where path % 6 in (0, 1, 5)".replace("case path % 6 when 0 then unnest(['HTTP (curl)', 'Database (psql)']) when 1 then unnest(['Docker CLI']) else unnest(['git']) end", "unnest(case path % 6 when 0 then ['HTTP (curl)', 'Database (psql)'] when 1 then ['Docker CLI'] else ['git'] end)"))
+def shell_tools(spark, sf_dir):
+    return native.shell_calls(projected(spark, sf_dir, "shell", *_ORDER_LINES).drop("path"), "script")
+
+
+@query(f"""select script, array_to_string(list_sort(list_distinct(flatten(list(case path % 6 when 0 then ['HTTP (curl)', 'Database (psql)'] when 1 then ['Docker CLI'] else ['git'] end)))), ', ') as tools
+ from {cte('shell', *_ORDER_LINES)} where path % 6 in (0, 1, 5) group by script""")
+def shell_summaries(spark, sf_dir):
+    return native.shell_summary(native.shell_calls(projected(spark, sf_dir, "shell", *_ORDER_LINES).drop("path"), "script"), "script")
+
+
+@query(f"select path, line as stmt from {cte('shell')} where line like '. %' or line like 'source %'")
+def shell_imports(spark, sf_dir):
+    return native.shell_imports(projected(spark, sf_dir, "shell", "1 as line_no")).select("path", "stmt")
+
+
+@query(f"select path, case path % 4 when 0 then regexp_replace(trim(line), '=.*$', '') else trim(line) end as export from {cte('exports')} where path % 4 in (0, 2)")
+def env_exports(spark, sf_dir):
+    return native.env_exports(projected(spark, sf_dir, "exports", "1 as line_no")).select("path", "export")
+
+
+@query(f"select path, trim(line) as stmt from {cte('ruby')} where regexp_matches(trim(line), '^require(_relative)? ')")
+def ruby_requires(spark, sf_dir):
+    return native.ruby_requires(projected(spark, sf_dir, "ruby", "1 as line_no")).select("path", "stmt")
+
+
+@query(f"""select path, line_no, sum(len(line) - len(replace(line, '{{', '')) - len(line) + len(replace(line, '}}', ''))) over (partition by path order by line_no rows unbounded preceding)::bigint as depth
+ from (select path, row_number() over (partition by path order by line_no, part)::int as line_no, line from {cte('braces', 'l_linenumber as line_no', 'l_partkey * 1000000 + l_suppkey as part')})""")
+def brace_depth(spark, sf_dir):
+    rows = projected(spark, sf_dir, "braces", "l_linenumber", "l_partkey * 1000000 + l_suppkey as part")
+    numbered = rows.withColumn("line_no", F.row_number().over(snapshot.by("path", "l_linenumber", "part")))
+    return native.brace_depth(numbered.select("path", "line_no", "line"))
+
+
+# ---------------------------------------------------------------- names, links, stack
+
+NAME_SQL = "translate(regexp_replace(line, '[^A-Za-z0-9_./-]', '_', 'g'), '/.', '__')"
+KB_SQL = f"case when length({NAME_SQL}) + 3 <= 180 then concat({NAME_SQL}, '.md') else concat(left({NAME_SQL}, 163), '__', left(sha1(line), 12), '.md') end"
+
+
+@query(f"select path, {KB_SQL} as kb_name from {cte('clash')}")
+def kb_filename(spark, sf_dir):
+    return projected(spark, sf_dir, "clash").select("path", T.document_name(F.col("line")).alias("kb_name"))
+
+
+@query(f"""select line as path, case when row_number() over (partition by plain order by line) = 1 then plain else concat(left(plain, length(plain) - 3), '__', left(sha1(line), 12), '.md') end as kb_name
+ from (select distinct line, {KB_SQL} as plain from {cte('clash')})""")
+def kb_collision(spark, sf_dir):
+    return project.named_documents(projected(spark, sf_dir, "clash", key="k").select(F.col("line").alias("path")))
+
+
+@query("""select page_id, regexp_replace(url, '[/\\\\:*?]', '', 'g') as name, case when length(url) <= 20 then url else concat('…', right(url, 19)) end as tail,
+ array_to_string(list_filter(string_split(rtrim(url, '/'), '/'), lambda s: s <> '')[-2:], '-') as slug from pages""")
+def short_names(spark, sf_dir):
+    url = F.col("url")
+    return table(spark, sf_dir, "pages").select("page_id", T.plain_name(url).alias("name"), T.tail_of_path(url, 20).alias("tail"), T.repository_slug(url).alias("slug"))
+
+
+def _imports(spark, sf_dir) -> DataFrame:
+    rows = projected(spark, sf_dir, "import", "case o_custkey % 3 when 0 then 'python' when 1 then 'javascript' else 'java' end as language", "o_custkey % 25 as folder", key="k", value="stmt")
+    end = F.create_map(*[F.lit(x) for kv in {"python": ".py", "javascript": ".js", "java": ".java"}.items() for x in kv])
+    return rows.select(F.concat(F.lit("pkg"), F.col("folder").cast("string"), F.lit("/main"), end[F.col("language")]).alias("path"), "language", "stmt")
+
+
+_IMPORTS_SQL = "(select concat('pkg', folder, '/main', case language when 'python' then '.py' when 'javascript' then '.js' else '.java' end) as source, folder, language, line as stmt from " + cte("import", "case o_custkey % 3 when 0 then 'python' when 1 then 'javascript' else 'java' end as language", "o_custkey % 25 as folder") + ")"
+
+
+@query(f"""with f as (select distinct line as path from {cte('file')}), i as (select distinct source, unnest(string_split(regexp_replace(stmt, '[ "'';]+', ' ', 'g'), ' ')) as token from {_IMPORTS_SQL}),
+ t as (select token, min(path) as target from (select path, regexp_extract(path, '([^/.]*)\\.', 1) as token from f union all select path, replace(regexp_extract(path, '([^/]*)$', 1), '.', '_') from f) group by token)
+ select distinct source, target from i join t using (token) where source <> target""")
+def dep_edges_stem(spark, sf_dir):
+    files = projected(spark, sf_dir, "file", key="k").select(F.col("line").alias("path")).distinct()
+    return links.edges_by_stem(_imports(spark, sf_dir), files)
+
+
+@query(f"""with f as (select distinct line as path from {cte('file')}), i as (select distinct source, folder, language, stmt, case language when 'javascript' then concat('pkg', folder, '/', regexp_extract(stmt, 'm[0-9]+'), '.js')
+ else concat(replace(regexp_extract(stmt, '(pkg[0-9]+\\.m[0-9]+)', 1), '.', '/'), case language when 'python' then '.py' else '.java' end) end as wanted from {_IMPORTS_SQL})
+ select distinct source, f.path as target from i join f on f.path = i.wanted where source <> f.path""")
+def dep_edges_resolved(spark, sf_dir):
+    """Imports to files by the rules of each language."""
+    files = projected(spark, sf_dir, "file", key="k").select(F.col("line").alias("path")).distinct()
+    return links.edges_resolved(_imports(spark, sf_dir), files)
+
+
+@query(f"""select language, case language when 'javascript' then concat('./', regexp_extract(stmt, 'm[0-9]+')) else regexp_extract(stmt, '(pkg[0-9]+\\.m[0-9]+)', 1) end as target, count(*) as n from {_IMPORTS_SQL} group by all""")
+def import_targets(spark, sf_dir):
+    rows = _imports(spark, sf_dir)
+    return rows.groupBy("language", links.import_target(F.col("stmt"), F.col("language")).alias("target")).agg(F.count(F.lit(1)).alias("n"))
+
+
+_COORDINATE = "concat(case when p_partkey % 5 = 0 then 'org:Spring-Core-' else 'lib:' end, lower(p_type), p_size)"
+
+
+@query(f"""select brand, package, spring, rank from (select *, row_number() over (partition by brand, spring order by o, package)::int as rank from
+ (select p_brand as brand, {_COORDINATE} as package, min(p_partkey) as o, {_COORDINATE} like '%Spring%' as spring from part group by all)) where rank <= 40""")
+def stack_topk(spark, sf_dir):
+    """Packages of each brand in order of appearance, those of one framework apart, 40 of either (the report's limit)."""
+    rows = table(spark, sf_dir, "part").selectExpr("p_brand as brand", f"{_COORDINATE} as package", "p_partkey as o")
+    return stack.prioritised(rows, "brand", "package", "o")
+
+
+@query("""select ecosystem, package, count(*) as n from (select case p_partkey % 3 when 0 then 'python_packages' when 1 then 'node_packages' else 'go_modules' end as ecosystem,
+ unnest(case p_partkey % 3 when 0 then [replace(p_name, ' ', '-'), 'extra'] when 1 then list_sort([replace(p_name, ' ', '-'), 'dev']) else [concat('host/', replace(p_name, ' ', '-'))] end) as package from part) group by all""")
+def manifest_packages(spark, sf_dir):
+    """Packages of one manifest a part: a requirements list, a package.json or a go.mod."""
+    name = "replace(p_name, ' ', '-')"
+    rows = table(spark, sf_dir, "part").selectExpr("p_partkey % 3 as kind", f"""case p_partkey % 3 when 0 then concat('# c', chr(10), {name}, '>=1', chr(10), 'extra[a]==2', chr(10), '-r x')
+      when 1 then concat('{{"dependencies": {{"', {name}, '": "1"}}, "devDependencies": {{"dev": "2"}}}}') else concat('module m', chr(10), 'require (', chr(10), '  host/', {name}, ' v1.0', chr(10), ')') end as content""")
+    found = F.when(F.col("kind") == 0, stack.python_packages(F.col("content"))).when(F.col("kind") == 1, stack.node_packages(F.col("content"))).otherwise(stack.go_modules(F.col("content")))
+    eco = F.when(F.col("kind") == 0, "python_packages").when(F.col("kind") == 1, "node_packages").otherwise("go_modules")
+    return rows.select(eco.alias("ecosystem"), F.explode(found).alias("package")).groupBy("ecosystem", "package").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("select event_type, (props->>'k')::bigint as k, count(*) as n from events group by all")
+def json_props(spark, sf_dir):
+    return table(spark, sf_dir, "events").groupBy("event_type", F.from_json("props", "k bigint")["k"].alias("k")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("select event_type, round(avg(value), 4) as mean, min(value) as least, max(value) as most from events group by event_type")
+def mean_min_max(spark, sf_dir):
+    return project.mean_min_max(table(spark, sf_dir, "events"), "event_type", "value").withColumn("mean", F.round("mean", 4))
+
+
+@query("select c_custkey as id, case c_custkey % 2 when 0 then 'heavy' else 'light' end as tier from customer where c_custkey % 2 = 0 and (c_nationkey % 4 in (1, 2))")
+def benchmark_targets(spark, sf_dir):
+    """Targets of one tier whose languages overlap with those asked for."""
+    rows = table(spark, sf_dir, "customer").selectExpr("c_custkey as id", "case c_custkey % 2 when 0 then 'heavy' else 'light' end as tier", "case c_nationkey % 4 when 0 then array('c') when 1 then array('go', 'c') when 2 then array('sql') else array('php') end as languages")
+    return project.targets(rows, tier="heavy", languages={"go", "sql"}).select("id", "tier")
+
+
+# ---------------------------------------------------------------- bundles, rendering, state
+
+
+@query("select conv_id, md5(concat(string_agg(rtrim(text, concat(' ', chr(9), chr(13), chr(10))), concat(chr(10), chr(10)) order by turn), chr(10))) as bundle from conversations group by conv_id")
+def bundle_conversation(spark, sf_dir):
+    out = bundle.bundles(table(spark, sf_dir, "conversations"), "conv_id", "turn", "text")
+    return out.select("conv_id", F.md5(F.encode("bundle", "utf-8")).alias("bundle"))
+
+
+@query("""select conv_id, length(b) as characters, strlen(b) as bytes, length(b) // 4 as tokens_estimate from
+ (select conv_id, concat(string_agg(rtrim(text, concat(' ', chr(9), chr(13), chr(10))), concat(chr(10), chr(10)) order by turn), chr(10)) as b from conversations group by conv_id)""")
+def bundle_stats(spark, sf_dir):
+    out = bundle.bundles(table(spark, sf_dir, "conversations"), "conv_id", "turn", "text")
+    return out.select("conv_id", *bundle.measures(F.col("bundle"))).select("conv_id", "characters", "bytes", "tokens_estimate")
+
+
+_SNAPSHOT = ("doc_id as path", "octet_length(encode(text)) as size", "cast(doc_id * 1000 as bigint) as mtime_ns")
+
+
+def _snapshots(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Files as they are, and a snapshot in which every seventh is missing, every fifth older and some are gone since."""
+    now = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), F.octet_length("text").cast("long").alias("size"), (F.col("doc_id") * 1000).alias("mtime_ns"))
+    old = now.where("path % 7 <> 0").withColumn("mtime_ns", F.expr("case when path % 5 = 0 then mtime_ns - 1 else mtime_ns end"))
+    gone = now.where("path % 11 = 0").select((-F.col("path") - 1).alias("path"), "size", "mtime_ns")
+    return now, old.unionByName(gone)
+
+
+@query("select doc_id as path from documents where doc_id % 7 <> 0 and doc_id % 5 <> 0")
+def cache_hits(spark, sf_dir):
+    return snapshot.hits(*_snapshots(spark, sf_dir)).select("path")
+
+
+@query("select doc_id as path from documents where doc_id % 7 = 0 or doc_id % 5 = 0")
+def cache_misses(spark, sf_dir):
+    return snapshot.misses(*_snapshots(spark, sf_dir)).select("path")
+
+
+@query("select -doc_id - 1 as path from documents where doc_id % 11 = 0")
+def deleted_paths(spark, sf_dir):
+    return snapshot.deleted(*_snapshots(spark, sf_dir)).select("path")
+
+
+@query("select doc_id as path, strlen(text) as size, doc_id * 1000 as mtime_ns, (doc_id % 7 = 0 or doc_id % 5 = 0) as parsed from documents")
+def snapshot_merge(spark, sf_dir):
+    now, old = _snapshots(spark, sf_dir)
+    return snapshot.merged(now, old.withColumn("parsed", F.lit(False)), lambda rows: rows.withColumn("parsed", F.lit(True)))
+
+
+@query("select doc_id as path, sha256(text) as content_sha256 from documents")
+def content_hashes(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), F.sha2(F.encode("text", "utf-8"), 256).alias("content_sha256"))
+
+
+# ---------------------------------------------------------------- parsers: no SQL, held against brute force in the tests
+
+
+def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(path, size, mtime_ns, content): one source file for each part and language, with names from the table."""
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("k"), F.initcap(F.translate("p_name", " ", "")).alias("C"), F.split("p_name", " ")[0].alias("f"))
+    each = F.explode(F.map_from_arrays(F.array(*[F.lit(s) for s in parsers.SAMPLES]), F.array(*[F.lit(t) for t in parsers.SAMPLES.values()])))
+    rows = rows.select("*", each.alias("suffix", "template"))
+    text = rows.withColumn("content", F.replace(F.replace(F.replace("template", F.lit("@K"), F.col("k")), F.lit("@C"), F.col("C")), F.lit("@F"), F.col("f")))
+    return text.select(F.concat(F.lit("src/m"), F.col("k"), F.col("suffix")).alias("path"), F.octet_length("content").cast("long").alias("size"), F.lit(0).cast("long").alias("mtime_ns"), "content")
+
+
+def _symbols(suffix: str):
+    def run(spark, sf_dir):
+        found = parsers.parsed(sources(spark, sf_dir).where(F.endswith("path", F.lit(suffix))))
+        return found.select("path", "language", "module_docstring", *[F.to_json(c).alias(c) for c in ("imports", "exports", "classes", "functions", "external_calls")], "error")
+
+    return run
+
+
+for _name, _suffix in {"python_symbols": ".py", "js_symbols": ".js", "java_scan": ".java", "yaml_manifest": ".yaml", "hcl_blocks": ".tf", "go_symbols": ".go", "rust_symbols": ".rs", "csharp_symbols": ".cs", "sql_symbols": ".sql", "docker_symbols": ".dockerfile", "shell_symbols": ".sh", "env_symbols": ".properties", "ruby_symbols": ".rb"}.items():
+    QUERIES[_name] = _symbols(_suffix)
+
+
+@query()
+def rendered_modules(spark, sf_dir):
+    """The Markdown document of every source file."""
+    return render.modules(parsers.parsed(sources(spark, sf_dir)))

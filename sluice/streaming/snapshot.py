@@ -12,7 +12,7 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -20,6 +20,10 @@ VERSION = 1
 SIGNATURE = ("size", "mtime_ns")
 
 
+def by(key: str, *order: str):
+    return Window.partitionBy(key).orderBy(*order)
+
+
 def _same(new: DataFrame, old: DataFrame, signature) -> DataFrame:
     keys = ["path", *signature]
     marked = old.select(*[F.col(k).alias(f"__{k}") for k in keys]).dropDuplicates(["__path"])
