@@ -15,13 +15,11 @@ import logging
 import os
 import shutil
 import sys
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .functions.languages import base_name, language_filter
+from .functions.languages import language_filter
 from .functions.text import human_size, token_estimate, word_count
 from .operators import links, parsers, project, render, stack
 from .schemas import PARSED
@@ -145,15 +143,24 @@ class NothingToBundle(Exception):
 
 
 def bundle_files(spark: SparkSession, folder: str) -> DataFrame:
-    """(name, text) of the index and the documents below a folder of ``init``, the index first."""
-    rows = T.StructType([T.StructField("path", T.StringType()), T.StructField("content", T.BinaryType())])
-    read = lambda at: spark.read.format("binaryFile").load(f"file://{at}").select("path", "content")
-    parts = [read(p) for p in (f"{folder}/project_index.md", f"{folder}/modules") if os.path.isfile(p) or (os.path.isdir(p) and os.listdir(p))]
-    if not parts:
-        return spark.createDataFrame([], rows).select(F.col("path").alias("name"), F.col("content").cast("string").alias("text"))
-    both = reduce(DataFrame.unionByName, parts)
-    name = base_name(F.col("path"))
-    return both.select(F.when(name == "project_index.md", name).otherwise(F.concat(F.lit("modules/"), name)).alias("name"), F.decode("content", "utf-8").alias("text"))
+    """(name, text) of the index and the documents below a folder of ``init``.
+
+    The names are listed on the driver and read by the tasks: built-in sources leave out ``_env.md``.
+    """
+    modules = os.path.join(folder, "modules")
+    names = ["project_index.md"] * os.path.isfile(os.path.join(folder, "project_index.md")) + [f"modules/{n}" for n in (sorted(os.listdir(modules)) if os.path.isdir(modules) else []) if n.endswith(".md")]
+
+    @F.pandas_udf("string")
+    def read(paths):
+        import pandas as pd
+
+        out = []
+        for p in paths:
+            with open(os.path.join(folder, p), encoding="utf-8", errors="replace") as f:
+                out.append(f.read())
+        return pd.Series(out)
+
+    return spark.createDataFrame([(n,) for n in names], "name string").select("name", read("name").alias("text"))
 
 
 def bundle(spark: SparkSession, path: str, output: str | None = None) -> dict:

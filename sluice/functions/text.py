@@ -53,37 +53,45 @@ def connection_type(value: Column) -> Column:
     return F.when(value.isNotNull(), out)
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _connection(kind: Column, **fields: Column) -> Column:
+    none = F.lit(None).cast("string")
+    return F.struct(kind.alias("connection_type"), *[fields.get(f, none).alias(f) for f in ("host", "port", "user", "schema", "database")])
+
+
+def _jdbc(raw: Column) -> Column:
+    part = lambda g: empty_to_null(F.regexp_extract(raw, P.JDBC_PARTS, g))
+    return _connection(F.lit("jdbc"), host=part(1), port=part(2), database=part(3))
+
+
+def _uri(raw: Column) -> Column:
+    split = lambda g: F.regexp_extract(raw, r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?", g)
+
+    def fields(p: Column) -> Column:
+        host = empty_to_null(F.lower(F.regexp_extract(p["at"], r"^\[?([^:\]]*)", 1)))
+        port = F.regexp_extract(p["at"], r":([0-9]+)$", 1)
+        number = F.when(port != "", port.cast("decimal(38,0)"))
+        user = F.when(F.contains(p["place"], F.lit("@")), empty_to_null(F.regexp_extract(p["place"], r"^([^:@]*)", 1)))
+        schema = empty_to_null(F.regexp_extract(p["query"], r"(?:^|&)schema=([^&]+)", 1))
+        database = empty_to_null(F.ltrim(p["path"], F.lit("/")))
+        whole = lambda n: _connection(connection_type(raw), host=host, port=F.when(n > 0, n.cast("string")), user=user, schema=schema, database=database)
+        return let(number, lambda n: F.when(n.isNull() | (n <= 65535), whole(n)).otherwise(_connection(connection_type(raw), host=host)))
+
+    placed = let(split(1), lambda place: F.struct(place.alias("place"), F.regexp_replace(place, r"^.*@", "").alias("at"), split(2).alias("path"), split(3).alias("query")))
+    return let(placed, fields)
+
+
 def parse_connection(value: Column) -> Column:
     """struct(connection_type, host, port, user, schema, database) of a connection string.
 
     Null for placeholders. An invalid port leaves only type and host.
     """
-    raw = F.btrim(strip(value), F.lit("\"'"))
-    jdbc = raw.startswith("jdbc:")
-    part = lambda g: empty_to_null(F.regexp_extract(raw, P.JDBC_PARTS, g))
-    rest = F.regexp_replace(raw, r"^[A-Za-z][A-Za-z0-9+.-]*:", "")
-    has_place = rest.startswith("//")
-    place = F.when(has_place, F.regexp_extract(rest, r"^//([^/?#]*)", 1)).otherwise(F.lit(""))
-    path = F.regexp_extract(rest, r"^(?://[^/?#]*)?([^?#]*)", 1)
-    query = F.regexp_extract(rest, r"^[^?#]*\?([^#]*)", 1)
-    host_port = F.regexp_replace(place, r"^.*@", "")
-    host = empty_to_null(F.lower(F.regexp_extract(host_port, r"^\[?([^:\]]*)", 1)))
-    digits = F.regexp_extract(host_port, r":([0-9]+)$", 1)
-    port = F.when(digits != "", digits.cast("decimal(38,0)"))
-    valid = port.isNull() | (port <= 65535)
-    user = F.when(F.contains(place, F.lit("@")), empty_to_null(F.regexp_extract(place, r"^([^:@]*)", 1)))
-    schema = empty_to_null(F.regexp_extract(query, r"(?:^|&)schema=([^&]+)", 1))
-    pick = lambda j, u: F.when(jdbc, j).otherwise(u)
-    none = F.lit(None).cast("string")
-    fields = F.struct(
-        F.when(jdbc, F.lit("jdbc")).otherwise(connection_type(raw)).alias("connection_type"),
-        pick(part(1), host).alias("host"),
-        pick(part(2), F.when(valid & (port > 0), port.cast("string"))).alias("port"),
-        pick(none, F.when(valid, user)).alias("user"),
-        pick(none, F.when(valid, schema)).alias("schema"),
-        pick(part(3), F.when(valid, empty_to_null(F.ltrim(path, F.lit("/"))))).alias("database"),
-    )
-    return F.when((raw != "") & ~raw.isin(*P.PLACEHOLDERS), fields)
+    given = lambda raw: (raw != "") & ~raw.isin(*P.PLACEHOLDERS)
+    return let(F.btrim(strip(value), F.lit("\"'")), lambda raw: F.when(given(raw), F.when(raw.startswith("jdbc:"), _jdbc(raw)).otherwise(_uri(raw))))
 
 
 def document_name(path: Column, limit: int = 180, digits: int = 12) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
-from ..functions.text import BLANKS, clean_url, connection_type, context, empty_to_null, parse_connection, redact_secrets, strip, url_host  # noqa: F401
+from ..functions.text import clean_url, context, let, parse_connection, redact_secrets, strip, url_host
 
 FIELDS = ("connection_type", "host", "port", "user", "schema", "database")
 
@@ -33,52 +33,67 @@ def may_hold_endpoint(line: Column) -> Column:
     return line.rlike(r"[=:{}]") | F.lower(line).rlike("http|db_|host")
 
 
-def _endpoint(line: Column, line_no: Column, raw: Column, branch: str, **fields: Column) -> Column:
+def _endpoint(about: Column, raw: Column, branch: str, **fields: Column) -> Column:
+    """about: struct(line, line_no, context)."""
     text = F.lit(None).cast("string")
     return F.struct(
         *[fields.get(f, text).cast("string").alias(f) for f in FIELDS],
-        line_no.cast("int").alias("line"),
-        context(line).alias("context"),
+        about["line_no"].cast("int").alias("line"),
+        about["context"].alias("context"),
         redact_secrets(raw).alias("raw_redacted"),
         F.lit(branch).alias("branch"),
     )
 
 
-def env_name(line: Column) -> Column:
-    return F.upper(F.regexp_extract(strip(line), P.ENV_LINE, 1))
+def _about(line: Column, line_no: Column, use) -> Column:
+    return let(F.struct(line.alias("line"), line_no.alias("line_no"), context(line).alias("context")), use)
 
 
-def env_value(line: Column) -> Column:
-    return strip(F.btrim(strip(F.regexp_extract(strip(line), P.ENV_LINE, 2)), F.lit("\"'")))
+def _variable(line: Column) -> Column:
+    """struct(name, value) of a line that sets a variable; empty strings for any other."""
+    value = strip(F.btrim(strip(F.regexp_extract(strip(line), P.ENV_LINE, 2)), F.lit("\"'")))
+    return F.struct(F.upper(F.regexp_extract(strip(line), P.ENV_LINE, 1)).alias("name"), value.alias("value"))
+
+
+def _handled(variable: Column) -> Column:
+    return variable["name"].isin(*P.ENV_NAMES) & (variable["value"] != "")
 
 
 def env_handled(line: Column) -> Column:
     """Whether the line sets one of the known variables to something."""
-    return env_name(line).isin(*P.ENV_NAMES) & (env_value(line) != "")
+    return let(_variable(line), _handled)
 
 
-def env_endpoint(line: Column, line_no: Column) -> Column:
-    """struct or null: a known variable, read by its name and the shape of its value."""
-    name, value = env_name(line), env_value(line)
-    parsed = parse_connection(value)
+def _env(about: Column, variable: Column) -> Column:
+    name, value = variable["name"], variable["value"]
     raw = F.concat(name, F.lit("="), value)
-    is_uri = F.contains(value, F.lit("://")) | name.rlike("_UR[LI]$")
-    uri = F.when(parsed.isNotNull(), _endpoint(line, line_no, value, "uri", **{f: parsed[f] for f in FIELDS}))
-    part = lambda branch, field: _endpoint(line, line_no, raw, branch, connection_type=F.lit("env"), **{field: value})
+    uri = let(parse_connection(value), lambda p: F.when(p.isNotNull(), _endpoint(about, value, "uri", **{f: p[f] for f in FIELDS})))
+    part = lambda branch, field: _endpoint(about, raw, branch, connection_type=F.lit("env"), **{field: value})
     by_name = (
-        F.when(is_uri, uri)
+        F.when(F.contains(value, F.lit("://")) | name.rlike("_UR[LI]$"), uri)
         .when(name.rlike("_HOST$|^PGHOST$"), part("env", "host"))
         .when(name.rlike("_USER(NAME)?$|^PGUSER$"), part("env", "user"))
         .when(name.rlike("_(DATABASE|NAME|DB)$|^PGDATABASE$"), part("env", "database"))
         .when(name.rlike("_SCHEMA$"), part("env", "schema"))
         .when(name.rlike("_PORT$|^PGPORT$"), part("env", "port"))
     )
-    return F.when(env_handled(line), by_name)
+    return F.when(_handled(variable), by_name)
+
+
+def env_endpoint(line: Column, line_no: Column) -> Column:
+    """struct or null: a known variable, read by its name and the shape of its value."""
+    return _about(line, line_no, lambda about: let(_variable(line), lambda v: _env(about, v)))
 
 
 def _value(line: Column, pattern: str) -> Column:
-    v = F.btrim(strip(F.regexp_extract(line, pattern, 1)), F.lit("\"'"))
-    return F.when((v != "") & ~v.isin(*P.PLACEHOLDERS), v)
+    return let(F.btrim(strip(F.regexp_extract(line, pattern, 1)), F.lit("\"'")), lambda v: F.when((v != "") & ~v.isin(*P.PLACEHOLDERS), v))
+
+
+def _key_value(about: Column) -> Column:
+    line = about["line"]
+    found = F.struct(*[F.coalesce(_value(line, P.DICT_VALUE[f]), _value(line, P.KEY_VALUE[f])).alias(f) for f in FIELDS[1:]])
+    row = lambda f: _endpoint(about, strip(line), "config", connection_type=F.lit("config"), **{n: f[n] for n in FIELDS[1:]})
+    return F.when(~F.contains(line, F.lit("://")), let(found, lambda f: F.when(F.coalesce(*[f[n] for n in FIELDS[1:]]).isNotNull(), row(f))))
 
 
 def key_value_endpoint(line: Column, line_no: Column) -> Column:
@@ -86,48 +101,54 @@ def key_value_endpoint(line: Column, line_no: Column) -> Column:
 
     Values of quoted dictionary keys come before those of bare keys.
     """
-    fields = {f: F.coalesce(_value(line, P.DICT_VALUE[f]), _value(line, P.KEY_VALUE[f])) for f in FIELDS[1:]}
-    row = _endpoint(line, line_no, strip(line), "config", connection_type=F.lit("config"), **fields)
-    return F.when(~F.contains(line, F.lit("://")) & F.coalesce(*fields.values()).isNotNull(), row)
+    return _about(line, line_no, _key_value)
 
 
-def _connections(line: Column, line_no: Column, pattern: str, group: int = 0) -> Column:
+def _connections(about: Column, pattern: str, group: int = 0) -> Column:
     def one(raw: Column) -> Column:
-        parsed = parse_connection(raw)
-        return F.when(parsed.isNotNull(), _endpoint(line, line_no, F.btrim(strip(raw), F.lit("\"'")), "uri", **{f: parsed[f] for f in FIELDS}))
+        return let(parse_connection(raw), lambda p: F.when(p.isNotNull(), _endpoint(about, F.btrim(strip(raw), F.lit("\"'")), "uri", **{f: p[f] for f in FIELDS})))
+
+    return F.transform(F.regexp_extract_all(about["line"], F.lit(pattern), F.lit(group)), one)
+
 
-    return F.transform(F.regexp_extract_all(line, F.lit(pattern), F.lit(group)), one)
+def _driver(about: Column) -> Column:
+    called = about["line"].rlike(r"create_engine|connect\(|createConnection")
+    return F.when(called, _connections(about, P.DRIVER, 1)).otherwise(F.array().cast(_row_type()))
 
 
 def uri_endpoints(line: Column, line_no: Column) -> Column:
-    return _connections(line, line_no, P.CONNECTION)
+    return _about(line, line_no, lambda about: _connections(about, P.CONNECTION))
 
 
 def jdbc_endpoints(line: Column, line_no: Column) -> Column:
-    return _connections(line, line_no, P.JDBC)
+    return _about(line, line_no, lambda about: _connections(about, P.JDBC))
 
 
 def driver_endpoints(line: Column, line_no: Column) -> Column:
     """Strings given to a driver's connect call; the words are looked for in their own case first."""
-    called = line.rlike(r"create_engine|connect\(|createConnection")
-    return F.when(called, _connections(line, line_no, P.DRIVER, 1)).otherwise(F.array().cast(_row_type()))
+    return _about(line, line_no, _driver)
 
 
 def _row_type() -> str:
     return "array<struct<" + ",".join(f"{f}:string" for f in FIELDS) + ",line:int,context:string,raw_redacted:string,branch:string>>"
 
 
+def _first_of_each(every: Column) -> Column:
+    same = lambda a, b: a["host"].eqNullSafe(b["host"]) & a["user"].eqNullSafe(b["user"]) & a["database"].eqNullSafe(b["database"]) & a["port"].eqNullSafe(b["port"])
+    return F.filter(every, lambda e, i: (e["branch"] == "env") | ~F.exists(F.slice(every, F.lit(1), i), lambda o: (o["branch"] != "env") & same(o, e)))
+
+
 def line_endpoints(line: Column, line_no: Column) -> Column:
     """All endpoints of a line, the first of each (host, user, database, port) only.
 
     Parts from single variables other than a host's don't take part in the comparison.
     """
-    config = F.when(F.coalesce(env_handled(line), F.lit(False)), F.lit(None)).otherwise(key_value_endpoint(line, line_no))
-    every = F.concat(F.array(env_endpoint(line, line_no)), F.array(config), uri_endpoints(line, line_no), jdbc_endpoints(line, line_no), driver_endpoints(line, line_no))
-    every = F.filter(every, lambda e: e.isNotNull())
-    same = lambda a, b: a["host"].eqNullSafe(b["host"]) & a["user"].eqNullSafe(b["user"]) & a["database"].eqNullSafe(b["database"]) & a["port"].eqNullSafe(b["port"])
-    first = F.filter(every, lambda e, i: (e["branch"] == "env") | ~F.exists(F.slice(every, F.lit(1), i), lambda o: (o["branch"] != "env") & same(o, e)))
-    return F.when(may_hold_endpoint(line), first).otherwise(F.array().cast(_row_type()))
+
+    def found(about: Column) -> Column:
+        env = let(_variable(about["line"]), lambda v: F.array(_env(about, v), F.when(~_handled(v), _key_value(about))))
+        return F.filter(F.concat(env, _connections(about, P.CONNECTION), _connections(about, P.JDBC), _driver(about)), lambda e: e.isNotNull())
+
+    return F.when(may_hold_endpoint(line), let(_about(line, line_no, found), _first_of_each)).otherwise(F.array().cast(_row_type()))
 
 
 def line_urls(line: Column) -> Column:

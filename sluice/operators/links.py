@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.languages import base_name, suffix
+from ..functions.text import let
 
 #: A path is looked up by at most so many of its last segments.
 MAX_SEGMENTS = 12
@@ -83,7 +84,7 @@ def edges_resolved(imports: DataFrame, files: DataFrame) -> DataFrame:
     imports: (path, language, stmt). ``x.*`` of the JVM links every file of that package's folder.
     """
     named = imports.select(F.col("path").alias("source"), "language", "stmt", import_target(F.col("stmt"), F.col("language")).alias("wanted")).where("wanted is not null")
-    tried = named.where("not endswith(wanted, '*')").select("source", "stmt", F.posexplode(candidates(F.col("source"), F.col("wanted"), F.col("language"))).alias("ord", "end"))
+    tried = named.where("not endswith(wanted, '*')").select("source", "stmt", F.posexplode(let(F.struct("source", "wanted", "language"), lambda i: candidates(i["source"], i["wanted"], i["language"]))).alias("ord", "end"))
     found = tried.join(path_ends(files), "end").where("source <> path")
     first = Window.partitionBy("source", "stmt").orderBy("ord", F.desc("whole"), "path")
     single = found.withColumn("n", F.row_number().over(first)).where("n = 1").select("source", F.col("path").alias("target"))

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import context, strip
+from ..functions.text import context, let, strip
 
 _REPLACE = r"(?:OR\s+REPLACE\s+)?"
 #: Statement label -> words; statements are reported by label in this order, then by place.
@@ -49,16 +49,23 @@ def is_plsql(path: Column, text: Column) -> Column:
 
 def _matches(text: Column, pattern: str) -> Column:
     """array<struct<match, line>> of a pattern: the text between matches tells the line."""
-    found = F.regexp_extract_all(text, F.lit(pattern), 0)
-    between = F.split(text, pattern)
-    line = lambda i: 1 + F.aggregate(F.slice(between, F.lit(1), i + 1), F.lit(0), lambda n, t: n + F.size(F.split(t, "\n")) - 1) + F.aggregate(F.slice(found, F.lit(1), i), F.lit(0), lambda n, t: n + F.size(F.split(t, "\n")) - 1)
-    return F.transform(found, lambda m, i: F.struct(m.alias("match"), line(i).cast("int").alias("line"), F.element_at(between, (i + 2).cast("int")).alias("after")))
+    ends = lambda texts: F.aggregate(texts, F.lit(0), lambda n, t: n + F.length(t) - F.length(F.replace(t, F.lit("\n"))))
+
+    def rows(f: Column) -> Column:
+        line = lambda i: 1 + ends(F.slice(f["between"], F.lit(1), i + 1)) + ends(F.slice(f["found"], F.lit(1), i))
+        return F.transform(f["found"], lambda m, i: F.struct(m.alias("match"), line(i).cast("int").alias("line"), F.element_at(f["between"], (i + 2).cast("int")).alias("after")))
+
+    return let(F.struct(F.regexp_extract_all(text, F.lit(pattern), 0).alias("found"), F.split(text, pattern).alias("between")), rows)
 
 
 def sql_statements(files: DataFrame, key: str = "path", content: str = "content") -> DataFrame:
     """(key, label, signature, line, ord): one row a statement, by label and then by place."""
     text = F.col(content)
-    each = F.array(*[F.transform(_matches(text, word(p)), lambda m, i, n=n, label=label: F.struct(F.lit(n).alias("n"), i.alias("i"), F.lit(label).alias("label"), F.substring(m["match"], 1, 200).alias("signature"), m["line"].alias("line"))) for n, (label, p) in enumerate(STATEMENTS)])
+
+    def of(label: str, pattern: str) -> Column:
+        return F.transform(_matches(text, word(pattern)), lambda m: F.struct(F.lit(label).alias("label"), F.substring(m["match"], 1, 200).alias("signature"), m["line"].alias("line")))
+
+    each = F.array(*[of(label, p) for label, p in STATEMENTS])
     rows = files.select(key, F.posexplode(F.flatten(each)).alias("ord", "s"))
     return rows.select(key, "s.label", "s.signature", "s.line", "ord")
 

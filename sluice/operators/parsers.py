@@ -150,7 +150,7 @@ class Source:
 
     def block(self, at: int, stop: str = ";") -> tuple[int, int] | None:
         """The braces that open after ``at`` before any sign of ``stop``; to the end where none closes."""
-        m = re.compile(rf"[{{{stop}]").search(self.mask, at)
+        m = re.compile(rf"[{{}}{stop}]").search(self.mask, at)
         if not m or m[0] != "{":
             return None
         return m.start(), self.close.get(m.start(), len(self.text))
@@ -185,6 +185,8 @@ class Profile:
     style: str = "c"
     #: functions and methods are told apart by the class around them only
     all_methods: bool = False
+    #: signs that end a declaration without braces
+    stop: str = ";"
     lead: str = ""
     not_functions: frozenset = frozenset("catch do else elif for if return sizeof switch throw while new".split())
 
@@ -192,15 +194,15 @@ class Profile:
 _WORDS = r"(?:[\w@]+[ \t]+)*?"
 _TYPED = r"^[ \t]*(?:[\w:<>,\[\]*&?.]+[ \t*&]+)+(?P<name>~?[A-Za-z_]\w*(?:::~?\w+)?)[ \t]*(?P<params>\()"
 PROFILES = {
-    "go": Profile(r"^[ \t]*(?:import[ \t]+)?(?:[\w.]+[ \t]+)?\"(?P<name>[^\"\n]+)\"[ \t]*$", r"^type[ \t]+(?P<name>\w+)(?:\[[^\]]*\])?[ \t]+(?:struct|interface)", r"^func[ \t]+(?:\([^)]*\)[ \t]*)?(?P<name>\w+)(?:\[[^\]]*\])?(?P<params>\()", r"^func[ \t]+\([^)]*?\*?(?P<of>\w+)(?:\[[^\]]*\])?\)", lead="func "),
+    "go": Profile(r"^[ \t]*(?:import[ \t]+)?(?:[\w.]+[ \t]+)?\"(?P<name>[^\"\n]+)\"[ \t]*$", r"^type[ \t]+(?P<name>\w+)(?:\[[^\]]*\])?[ \t]+(?:struct|interface)", r"^func[ \t]+(?:\([^)]*\)[ \t]*)?(?P<name>\w+)(?:\[[^\]]*\])?(?P<params>\()", r"^func[ \t]+\([^)]*?\*?(?P<of>\w+)(?:\[[^\]]*\])?\)", lead="func ", stop=";\n"),
     "rust": Profile(r"^[ \t]*(?P<name>(?:pub[ \t]+)?use[ \t][^;]+;)", r"^[ \t]*(?:pub(?:\([^)]*\))?[ \t]+)?(?:struct|enum|trait)[ \t]+(?P<name>\w+)", r"^[ \t]*" + _WORDS + r"(?:pub\([^)]*\)[ \t]+)?fn[ \t]+(?P<name>\w+)(?:<[^>\n]*>)?[ \t]*(?P<params>\()", r"^[ \t]*impl(?:<[^>\n]*>)?[ \t]+(?:[\w:<>]+[ \t]+for[ \t]+)?(?P<of>\w+)", style="rust", all_methods=True, lead="fn "),
     "cpp": Profile(r"^[ \t]*(?P<name>#[ \t]*include[^\n]+)", r"^[ \t]*(?:template[ \t]*<[^>\n]*>\s*)?(?:class|struct)[ \t]+(?P<name>\w+)", _TYPED),
     "c": Profile(r"^[ \t]*(?P<name>#[ \t]*include[^\n]+)", r"^[ \t]*(?:typedef[ \t]+)?struct[ \t]+(?P<name>\w+)", _TYPED),
     "csharp": Profile(r"^[ \t]*(?P<name>(?:global[ \t]+)?using[ \t]+(?:static[ \t]+)?[\w.= ]+;)", r"^[ \t]*" + _WORDS + r"(?:class|struct|interface)[ \t]+(?P<name>\w+)", r"^[ \t]*(?:(?:public|private|protected|internal|static|async|override|virtual|abstract|sealed|partial)[ \t]+)+(?:[\w<>\[\],.?]+[ \t]+)?(?P<name>\w+)(?:<[^>\n]*>)?[ \t]*(?P<params>\()", all_methods=True),
     "php": Profile(r"^[ \t]*(?P<name>use[ \t]+[^;(]+;)", r"^[ \t]*" + _WORDS + r"(?:class|interface|trait)[ \t]+(?P<name>\w+)", r"^[ \t]*" + _WORDS + r"function[ \t]+&?(?P<name>\w+)[ \t]*(?P<params>\()"),
-    "kotlin": Profile(r"^[ \t]*(?P<name>import[ \t]+[\w.*]+(?:[ \t]+as[ \t]+\w+)?)", r"^[ \t]*" + _WORDS + r"(?:class|interface|object)[ \t]+(?P<name>\w+)", r"^[ \t]*" + _WORDS + r"fun[ \t]+(?:<[^>\n]*>[ \t]*)?(?:\w+\.)?(?P<name>\w+)[ \t]*(?P<params>\()", all_methods=True),
-    "scala": Profile(r"^[ \t]*(?P<name>import[ \t]+[^\n;]+)", r"^[ \t]*" + _WORDS + r"(?:class|object|trait)[ \t]+(?P<name>\w+)", r"^[ \t]*" + _WORDS + r"def[ \t]+(?P<name>\w+)(?:\[[^\]]*\])?[ \t]*(?P<params>\(?)"),
-    "swift": Profile(r"^[ \t]*(?P<name>(?:@\w+[ \t]+)?import[ \t]+[\w.]+)", r"^[ \t]*" + _WORDS + r"(?:class|struct|enum|protocol)[ \t]+(?P<name>\w+)", r"^[ \t]*" + _WORDS + r"(?:func[ \t]+(?P<name>\w+)|(?P<init>init)\??)(?:<[^>\n]*>)?[ \t]*(?P<params>\()", all_methods=True),
+    "kotlin": Profile(r"^[ \t]*(?P<name>import[ \t]+[\w.*]+(?:[ \t]+as[ \t]+\w+)?)", r"^[ \t]*" + _WORDS + r"(?:class|interface|object)[ \t]+(?P<name>\w+)", r"^[ \t]*" + _WORDS + r"fun[ \t]+(?:<[^>\n]*>[ \t]*)?(?:\w+\.)?(?P<name>\w+)[ \t]*(?P<params>\()", all_methods=True, stop=";\n"),
+    "scala": Profile(r"^[ \t]*(?P<name>import[ \t]+[^\n;]+)", r"^[ \t]*" + _WORDS + r"(?:class|object|trait)[ \t]+(?P<name>\w+)", r"^[ \t]*" + _WORDS + r"def[ \t]+(?P<name>\w+)(?:\[[^\]]*\])?[ \t]*(?P<params>\(?)", stop=";\n"),
+    "swift": Profile(r"^[ \t]*(?P<name>(?:@\w+[ \t]+)?import[ \t]+[\w.]+)", r"^[ \t]*" + _WORDS + r"(?:class|struct|enum|protocol)[ \t]+(?P<name>\w+)", r"^[ \t]*" + _WORDS + r"(?:func[ \t]+(?P<name>\w+)|(?P<init>init)\??)(?:<[^>\n]*>)?[ \t]*(?P<params>\()", all_methods=True, stop=";\n"),
 }
 
 
@@ -233,7 +235,7 @@ def parse_profile(language: str, path: str, text: str) -> dict:
         else:
             at = [(m.start("name"), m.end("name")) for m in re.compile(p.imports, re.M).finditer(text)]
             out["imports"] = [text[a:b].strip() for a, b in at if s.mask[a] == text[a]]
-    classes = _spanned(s, p.classes, "name")
+    classes = _spanned(s, p.classes, "name", p.stop)
     owners = classes + (_spanned(s, p.owners, "of") if p.owners else [])
     known: dict[str, dict] = {}
     for name, start, end, _ in classes:
@@ -241,7 +243,7 @@ def parse_profile(language: str, path: str, text: str) -> dict:
         out["classes"].append(known[name])
         out["exports"].append(name)
     seen: list[tuple[int, int]] = []
-    for name, start, end, m in _spanned(s, p.functions, "name"):
+    for name, start, end, m in _spanned(s, p.functions, "name", p.stop):
         name = name or m.groupdict().get("init")
         words = set(re.findall(r"\w+", s.mask[start : m.start("params")]))
         if name in p.not_functions or words & {"return", "else", "new", "throw", "delete", "case"} or (language in ("c", "cpp") and not s.block(end if s.mask[end : end + 1] != "}" else m.end(), ";)") and s.mask[end : end + 1] != "}"):

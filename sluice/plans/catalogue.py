@@ -68,7 +68,7 @@ LINES = {
     "ruby": ("orders", "o_orderkey", """concat(case o_orderkey % 3 when 0 then '  require ' when 1 then 'require_relative ' else 'required ' end, '''x', o_custkey, '''')"""),
     "clash": ("part", "p_partkey", """concat('a/', case p_partkey % 3 when 0 then 'b_c' when 1 then 'b/c' else 'b c' end, p_size, case when p_partkey % 7 = 0 then repeat('/deep', 50) else '' end, '.', lower(p_brand))"""),
     "file": ("customer", "c_custkey", """concat('pkg', c_nationkey, case c_custkey % 2 when 0 then '/' else '/sub/' end, 'm', c_custkey % 400, case c_custkey % 3 when 0 then '.py' when 1 then '.js' else '.java' end)"""),
-    "import": ("orders", "o_orderkey", """case o_custkey % 3 when 0 then concat('from pkg', o_orderkey % 25, '.m', o_orderkey % 400, ' import x') when 1 then concat('import a from "./m', o_orderkey % 400, '"')
+    "import": ("orders", "o_orderkey", """case o_custkey % 4 when 3 then concat('import helpers, m', o_orderkey % 400) when 0 then concat('from pkg', o_orderkey % 25, '.m', o_orderkey % 400, ' import x') when 1 then concat('import a from "./m', o_orderkey % 400, '"')
         else concat('import static pkg', o_orderkey % 25, '.m', o_orderkey % 400, ';') end"""),
     "braces": ("lineitem", "l_orderkey", """case l_linenumber % 4 when 0 then 'if (x) {' when 1 then '} else { {' when 2 then '}' else 'y;' end"""),
 }
@@ -237,7 +237,7 @@ def url_extract(spark, sf_dir):
     return endpoints.urls(endpoints.lines(projected(spark, sf_dir, "links", value="content"))).select("path", "line", "url")
 
 
-@query(f"select sum(e) as endpoints, sum(u) as urls from (select 4 * count(*) as e, 0 as u from supplier union all select 0, 4 * count(*) from supplier)")
+@query("select 4 * count(*) as endpoints, 5 * count(*) as urls from supplier")
 def project_totals(spark, sf_dir):
     """Endpoints and URLs of whole texts as nested columns, without a shuffle of lines."""
     both = projected(spark, sf_dir, "mixed", value="content").unionByName(projected(spark, sf_dir, "links", value="content"))
@@ -362,15 +362,15 @@ def short_names(spark, sf_dir):
 
 
 def _imports(spark, sf_dir) -> DataFrame:
-    rows = projected(spark, sf_dir, "import", "case o_custkey % 3 when 0 then 'python' when 1 then 'javascript' else 'java' end as language", "o_custkey % 25 as folder", key="k", value="stmt")
+    rows = projected(spark, sf_dir, "import", "case o_custkey % 4 when 1 then 'javascript' when 2 then 'java' else 'python' end as language", "o_custkey % 25 as folder", key="k", value="stmt")
     end = F.create_map(*[F.lit(x) for kv in {"python": ".py", "javascript": ".js", "java": ".java"}.items() for x in kv])
     return rows.select(F.concat(F.lit("pkg"), F.col("folder").cast("string"), F.lit("/main"), end[F.col("language")]).alias("path"), "language", "stmt")
 
 
-_IMPORTS_SQL = "(select concat('pkg', folder, '/main', case language when 'python' then '.py' when 'javascript' then '.js' else '.java' end) as source, folder, language, line as stmt from " + cte("import", "case o_custkey % 3 when 0 then 'python' when 1 then 'javascript' else 'java' end as language", "o_custkey % 25 as folder") + ")"
+_IMPORTS_SQL = "(select concat('pkg', folder, '/main', case language when 'python' then '.py' when 'javascript' then '.js' else '.java' end) as source, folder, language, line as stmt from " + cte("import", "case o_custkey % 4 when 1 then 'javascript' when 2 then 'java' else 'python' end as language", "o_custkey % 25 as folder") + ")"
 
 
-@query(f"""with f as (select distinct line as path from {cte('file')}), i as (select distinct source, unnest(string_split(regexp_replace(stmt, '[ "'';]+', ' ', 'g'), ' ')) as token from {_IMPORTS_SQL}),
+@query(f"""with f as (select distinct line as path from {cte('file')}), i as (select distinct source, unnest(string_split(regexp_replace(stmt, '[ "'';,]+', ' ', 'g'), ' ')) as token from {_IMPORTS_SQL}),
  t as (select token, min(path) as target from (select path, regexp_extract(path, '([^/.]*)\\.', 1) as token from f union all select path, replace(regexp_extract(path, '([^/]*)$', 1), '.', '_') from f) group by token)
  select distinct source, target from i join t using (token) where source <> target""")
 def dep_edges_stem(spark, sf_dir):
@@ -387,7 +387,7 @@ def dep_edges_resolved(spark, sf_dir):
     return links.edges_resolved(_imports(spark, sf_dir), files)
 
 
-@query(f"""select language, case language when 'javascript' then concat('./', regexp_extract(stmt, 'm[0-9]+')) else regexp_extract(stmt, '(pkg[0-9]+\\.m[0-9]+)', 1) end as target, count(*) as n from {_IMPORTS_SQL} group by all""")
+@query(f"""select language, case language when 'javascript' then concat('./', regexp_extract(stmt, 'm[0-9]+')) else regexp_extract(stmt, '(pkg[0-9]+\\.m[0-9]+|helpers)', 1) end as target, count(*) as n from {_IMPORTS_SQL} group by all""")
 def import_targets(spark, sf_dir):
     rows = _imports(spark, sf_dir)
     return rows.groupBy("language", links.import_target(F.col("stmt"), F.col("language")).alias("target")).agg(F.count(F.lit(1)).alias("n"))

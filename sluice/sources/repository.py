@@ -3,10 +3,10 @@
 Built-in file sources leave out names that start with ``.`` or ``_`` (``.env``, ``__init__.py``),
 so trees are read by a Python data source. The driver lists the tree once, pruning folders before
 it goes into them, and plans partitions of about ``partitionBytes`` bytes; the tasks read the
-files. A file that can't be read has a null content.
+files. Files that can't be read, and those with a zero byte at the start, are left out.
 
 Options: ``maxBytes`` (524288), ``partitionBytes`` (16 MiB), ``languages`` (a comma-separated
-filter), ``content`` (``false`` lists without reading). On a cluster the root must be a folder
+filter), ``content`` (``false`` reads no more than the start). On a cluster the root must be a folder
 that all executors share.
 """
 
@@ -158,17 +158,13 @@ class RepositoryReader(DataSourceReader):
 
     def read(self, partition: Files):
         for path, size, mtime in partition.files:
-            content = None
-            if self.with_content:
-                try:
-                    with open(os.path.join(partition.root, path), "rb") as f:
-                        data = f.read()
-                except OSError:
-                    continue
-                if b"\0" in data[:SNIFFED]:
-                    continue
-                content = data.decode("utf-8", "replace")
-            yield path, size, mtime, content
+            try:
+                with open(os.path.join(partition.root, path), "rb") as f:
+                    data = f.read() if self.with_content else f.read(SNIFFED)
+            except OSError:
+                continue
+            if b"\0" not in data[:SNIFFED]:
+                yield path, size, mtime, data.decode("utf-8", "replace") if self.with_content else None
 
 
 class RepositorySource(DataSource):
