@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import U64, Words, documents, each_partition, maybe_broadcast, mix, packed_exchange, runs, slices, texts_of, written
+from .common import U64, Words, documents, each_partition, fresh, maybe_broadcast, mix, packed_exchange, runs, slices, texts_of, written
 
 N_GRAM = 3
 THRESHOLD = 0.7
@@ -299,9 +299,10 @@ def one_of_each_group(docs: DataFrame, n: int = N_GRAM, threshold: float = THRES
     """
     pairs = near_duplicates(docs, n, threshold, shared)
     labels = components(pairs.select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b")))
-    gone = written(labels.where("id <> label").select(F.col("id").alias("__gone")), "near-duplicates")
+    name = fresh(docs, "__gone")
+    gone = written(labels.where("id <> label").select(F.col("id").alias(name)), "near-duplicates")
     gone = maybe_broadcast(gone, gone.count(), 32)
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")
+    return docs.join(gone, F.col("doc_id").cast("long") == F.col(name), "left_anti")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

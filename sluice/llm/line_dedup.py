@@ -24,10 +24,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BASE, TOP, U64, char_values, code_points, documents, each_partition, maybe_broadcast, mix, packed_exchange, powers, prefix_hashes, run_pairs, runs, slices, texts_of, written
+from .common import BASE, TOP, U64, char_values, code_points, documents, each_partition, fresh, maybe_broadcast, mix, packed_exchange, powers, prefix_hashes, run_pairs, runs, slices, texts_of, written
 
 MIN_CHARS = 24
 BLANKS = " \t\r\x0b\x0c"
@@ -75,8 +75,6 @@ def near_classes(classes: DataFrame, lined: DataFrame) -> DataFrame:
     role = lambda m, half, tag, own: F.struct(F.xxhash64(m, half, F.lit(tag)).alias("k"), F.lit(own).alias("own"))
     n, m = F.col("n"), F.col("n") - 1
     keyed = classes.select("h", "doc_id", "line_no", F.explode(F.array(role(n, F.col("head"), 0, True), role(n, F.col("tail"), 1, True), role(m, F.col("head_less"), 0, False), role(m, F.col("tail_less"), 1, False))).alias("r"))
-    from pyspark.sql import Window
-
     within = Window.partitionBy("r.k")
     alive = keyed.withColumn("c", F.count(F.lit(1)).over(within)).withColumn("own", F.max("r.own").over(within)).where("c > 1 and own")
     left = written(alive.select("h", "doc_id", "line_no").distinct(), "line-survivors")
@@ -125,14 +123,14 @@ def without_repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataF
 
     Documents of which only blanks are left are dropped; those that lose no line stay as they are.
     """
-    gone = repeated_lines(docs, min_chars, with_hash=True).groupBy("doc_id").agg(F.collect_set(F.struct("line_no", "h")).alias("gone"))
-    gone = gone.select(F.col("doc_id").alias("__id"), F.col("gone").alias("__gone"))
-    kept = F.filter(F.split(F.col("text").cast("string"), "\n"), lambda line, i: ~F.array_contains(F.col("__gone"), F.struct(i.alias("line_no"), F.xxhash64(normal(line)).alias("h"))))
-    joined = docs.join(gone, F.col("doc_id").cast("long") == F.col("__id"), "left")
-    text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    out = joined.withColumn("text", text).where(F.col("__gone").isNull() | (F.length(F.btrim("text", F.lit(BLANKS + "\n"))) > 0))
+    id_, lost = fresh(docs, "__id"), fresh(docs, "__gone")
+    gone = repeated_lines(docs, min_chars, with_hash=True).groupBy(F.col("doc_id").alias(id_)).agg(F.collect_set(F.struct("line_no", "h")).alias(lost))
+    kept = F.filter(F.split(F.col("text").cast("string"), "\n"), lambda line, i: ~F.array_contains(F.col(lost), F.struct(i.alias("line_no"), F.xxhash64(normal(line)).alias("h"))))
+    joined = docs.join(gone, F.col("doc_id").cast("long") == F.col(id_), "left")
+    text = F.when(F.col(lost).isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+    out = joined.withColumn("text", text).where(F.col(lost).isNull() | (F.length(F.btrim("text", F.lit(BLANKS + "\n"))) > 0))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("__gone").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
+        out = out.withColumn("n_chars", F.when(F.col(lost).isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
     return out.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
