@@ -46,6 +46,8 @@ GRAY = np.array([0, 1, 3, 2], np.uint32)
 MAX_ERROR = 0.15
 LEAST_OVERLAP = 16
 NEAR_OFFSETS = 1
+#: Recordings that are rendered at once.
+BATCH = 64
 
 
 # ---------------------------------------------------------------- audio
@@ -155,7 +157,7 @@ def fingerprints(media: DataFrame) -> DataFrame:
             if ids:
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(prints, pa.binary())], ["id", "fingerprint"])
 
-    return media.select(F.col("id").cast("long").alias("id"), "media").where("id is not null and media is not null").mapInArrow(run, "id long, fingerprint binary")
+    return media.select(F.col("id").cast("long").alias("id"), F.col("media").cast("binary").alias("media")).where("id is not null and media is not null").mapInArrow(run, "id long, fingerprint binary")
 
 
 # ---------------------------------------------------------------- alignment
@@ -214,15 +216,16 @@ def alignments(prints: DataFrame, max_error: float = MAX_ERROR, least_overlap: i
 
 
 def tones(embeddings: DataFrame) -> DataFrame:
-    """(id, media): a recording of each embedding (vec_id, embedding)."""
+    """(id, media): a recording of each embedding (vec_id, embedding), a few recordings a batch."""
 
-    @F.pandas_udf("binary")
-    def sound(vectors):
-        import pandas as pd
-
-        return pd.Series([None if v is None else wav(render(np.nan_to_num(np.array(v, float)))) for v in vectors])
+    def sound(batches):
+        for batch in batches:
+            for i in range(0, batch.num_rows, BATCH):
+                part = batch.slice(i, BATCH)
+                media = [None if v is None else wav(render(np.nan_to_num(np.array(v, float)))) for v in part.column("embedding").to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(media, pa.binary())], ["id", "media"])
 
-    return embeddings.select(F.col("vec_id").cast("long").alias("id"), sound("embedding").alias("media"))
+    return embeddings.select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("embedding")).mapInArrow(sound, "id long, media binary")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
