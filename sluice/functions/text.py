@@ -112,7 +112,7 @@ def plain_name(name: Column) -> Column:
 
 def human_size(n: Column) -> Column:
     kb, mb = F.lit(1024.0), F.lit(1024.0 * 1024)
-    return F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B"))).when(n < 1024 * 1024, F.concat(F.format_string("%.1f", n / kb), F.lit(" KB"))).otherwise(F.concat(F.format_string("%.2f", n / mb), F.lit(" MB")))
+    return F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B"))).when(n < 1024 * 1024, F.concat(F.format_string("%.1f", F.bround(n / kb, 1)), F.lit(" KB"))).otherwise(F.concat(F.format_string("%.2f", F.bround(n / mb, 2)), F.lit(" MB")))
 
 
 def token_estimate(characters: Column) -> Column:

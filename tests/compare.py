@@ -33,7 +33,7 @@ def assert_same(df, sql: str, sf: str):
     names, values = oracle(sql, sf)
     assert sorted(names) == sorted(df.columns)
     mine, theirs = rows(df.columns, [tuple(r) for r in df.collect()]), rows(names, values)
-    only = ([r for r in mine if r not in set(theirs)][:3], [r for r in theirs if r not in set(mine)][:3])
+    only = (sorted(set(mine) - set(theirs), key=repr)[:3], sorted(set(theirs) - set(mine), key=repr)[:3])
     assert len(mine) == len(theirs), (len(mine), len(theirs), only)
     assert mine == theirs, only
     return len(mine)
