@@ -13,8 +13,8 @@ totals of their contexts and with the probabilities of the order below::
 
     p(w | h) = max(c(hw) - D(c), 0) / c(h) + g(h) * p(w | h')
 
-Documents are scored against the model from arrays that each executor holds, after a check
-of their size, or beyond it by joining the counts of each document's n-grams with the shards
+Documents are scored against the model from arrays that each worker reads from the shared
+folder, after a check of their size, or beyond it by joining the counts of each document's n-grams with the shards
 of each order; both give the same perplexities. A document is kept if its perplexity is at
 most the ``quantile`` of trusted documents of its language that the model wasn't trained on
 (one in ``HELD_OUT`` by hash of the id; where a language has none, of those it was trained on).
@@ -30,6 +30,7 @@ says so; an empty label table keeps nothing. Other columns are not looked at.
 from __future__ import annotations
 
 import math
+import uuid
 from functools import lru_cache
 
 import numpy as np
@@ -37,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import code_points, documents, maybe_broadcast, slices, texts_of, written
+from .common import code_points, documents, maybe_broadcast, shared_dir, slices, texts_of, written
 
 ORDER = 5
 BITS = 12
@@ -157,15 +158,31 @@ def model(trusted: DataFrame, letters: list[int], order: int = ORDER) -> DataFra
 
 
 class Scorer:
-    """The model as sorted arrays: (lang, k, context?) -> n-grams and logarithms."""
+    """The model as sorted arrays: (lang, k, context?) -> n-grams and logarithms, read when first asked for."""
 
-    def __init__(self, tables: dict, letters: list[int], order: int):
-        self.tables, self.order = tables, order
+    def __init__(self, folder: str, langs: list[str], letters: list[int], order: int):
+        self.folder, self.langs, self.order = folder, langs, order
+        self.tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         self.ids = ids_table(letters)
         self.unseen = -math.log(len(letters) + 2)
 
+    def _table(self, part: int) -> tuple[np.ndarray, np.ndarray]:
+        if part not in self.tables:
+            from pyarrow import dataset, fs
+
+            files, path = fs.FileSystem.from_uri(self.folder if "://" in self.folder or self.folder.startswith("file:") else f"file://{self.folder}")
+            at = f"{path}/part={part}"
+            if files.get_file_info(at).type == fs.FileType.NotFound:
+                self.tables[part] = np.empty(0, np.int64), np.empty(0)
+            else:
+                rows = dataset.dataset(at, filesystem=files, format="parquet").to_table(columns=["gram", "lp"])
+                gram = rows.column("gram").to_numpy()
+                order = np.argsort(gram, kind="stable")
+                self.tables[part] = gram[order], rows.column("lp").to_numpy()[order]
+        return self.tables[part]
+
     def _find(self, lang: str, k: int, context: bool, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        keys, values = self.tables.get((lang, k, context), (np.empty(0, np.int64), np.empty(0)))
+        keys, values = self._table(_part(self.langs.index(lang), k, context))
         if not len(keys):
             return np.zeros(len(grams), bool), np.zeros(len(grams))
         at = np.minimum(np.searchsorted(keys, grams), len(keys) - 1)
@@ -198,17 +215,19 @@ def _scorer(shared) -> Scorer:
     return Scorer(*shared.value)
 
 
-def _held(fitted: DataFrame, letters: list[int], order: int):
-    rows = fitted.select("lang", "k", "context", "gram", F.log("p").alias("p")).toArrow().to_pandas()
-    tables = {}
-    for key, part in rows.groupby(["lang", "k", "context"]):
-        part = part.sort_values("gram")
-        tables[key[0], int(key[1]), bool(key[2])] = part["gram"].to_numpy(np.int64), part["p"].to_numpy(np.float64)
-    return fitted.sparkSession.sparkContext.broadcast((tables, letters, order))
+def _part(lang: int, k: int, context: bool) -> int:
+    return lang << 8 | k << 1 | int(context)
 
 
 def score_held(docs: DataFrame, fitted: DataFrame, letters: list[int], order: int = ORDER) -> DataFrame:
-    shared, known = _held(fitted, letters, order), {r[0] for r in fitted.select("lang").distinct().collect()}
+    """Every worker reads the tables that it needs from the shared folder; nothing passes the driver."""
+    spark = docs.sparkSession
+    langs = sorted(r[0] for r in fitted.select("lang").distinct().collect())
+    folder = f"{shared_dir(spark)}/ngram-tables-{uuid.uuid4().hex}"
+    number = F.create_map(*[F.lit(x) for i, lang in enumerate(langs) for x in (lang, i)]) if langs else F.create_map(F.lit(""), F.lit(0))
+    part = F.shiftleft(number[F.col("lang")], 8).bitwiseOR(F.shiftleft("k", 1)).bitwiseOR(F.col("context").cast("int"))
+    fitted.select(part.alias("part"), "gram", F.log("p").alias("lp")).repartition("part").write.partitionBy("part").parquet(folder)
+    shared, known = spark.sparkContext.broadcast((folder, langs, letters, order)), set(langs)
 
     def score(batches):
         for batch in batches:
