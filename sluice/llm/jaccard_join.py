@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from .common import U64, Words, documents, each_partition, fresh, maybe_broadcast, mix, packed_exchange, runs, slices, texts_of, written
 
 N_GRAM = 3
-THRESHOLD = 0.7
+THRESHOLD = 0.6
 #: Leading n-grams that a close pair must share, as a part of the smaller set.
 SHARED = 0.2
 LEAF = 32

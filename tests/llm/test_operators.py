@@ -500,7 +500,7 @@ def test_regions_are_exact():
             both = len(np.intersect1d(a, sets[j]))
             if both / (len(a) + len(sets[j]) - both) >= 0.7:
                 expected[i, j] = both / (len(a) + len(sets[j]) - both)
-    assert jaccard_join.close_pairs(sets) == pytest.approx(expected)
+    assert jaccard_join.close_pairs(sets, 0.7) == pytest.approx(expected)
 
 
 def groups(pairs):
