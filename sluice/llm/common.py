@@ -167,9 +167,15 @@ class Words:
         self.length = self.end - self.start
         self.doc = np.searchsorted(self.base, self.start, side="right") - 1
         self.first = np.searchsorted(self.doc, np.arange(len(texts) + 1))
-        sums = prefix_hashes(np.where(inside, char_values()[np.minimum(self.norm, TOP - 1)], U64(0)))
-        _, down = powers(len(codes) + 1)
-        self.hash = mix((sums[self.end] - sums[self.start]) * down[self.start])
+        self._sums = prefix_hashes(np.where(inside, char_values()[np.minimum(self.norm, TOP - 1)], U64(0)))
+        _, self._down = powers(len(codes) + 1)
+        self.hash = mix((self._sums[self.end] - self._sums[self.start]) * self._down[self.start])
+
+    def heads(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """(words of more than k characters, hashes of their first k characters)."""
+        longer = np.flatnonzero(self.length > k)
+        at = self.start[longer]
+        return longer, mix((self._sums[at + k] - self._sums[at]) * self._down[at] + U64(k))
 
 
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:

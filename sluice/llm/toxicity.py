@@ -1,7 +1,8 @@
 """Operator 5, toxicity: non-negative positive-unlabelled learning on hashed words.
 
-A linear classifier over the set of words of a text is trained in numpy from documents
-confirmed as toxic and from unlabelled ones. The unlabelled ones hold toxic text too, so
+A linear classifier over the set of a text's words and of their first ``HEADS`` characters
+(which inflected and compound forms share, so that rare forms are known too) is trained in numpy
+from documents confirmed as toxic and from unlabelled ones. The unlabelled ones hold toxic text too, so
 the risk of calling them negative is corrected by the class prior ``pi``::
 
     pi * R_p(+) + max(0, R_u(-) - pi * R_p(-))
@@ -31,15 +32,21 @@ from pyspark.sql import functions as F
 
 from .common import Words, documents, parts, slices, texts_of
 
-BITS = 18
+BITS = 20
+HEADS = (4, 5)
 MAX_POSITIVE = 4_000
 MAX_UNLABELLED = 12_000
 
 
 def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(text, bucket) of each distinct word, sorted by text."""
+    """(text, bucket) of each distinct word and head of a word, sorted by text."""
     w = Words(texts)
-    pairs = np.unique((w.doc.astype(np.int64) << BITS) | (w.hash >> np.uint64(64 - BITS)).astype(np.int64))
+    doc, hashed = [w.doc], [w.hash]
+    for k in HEADS:
+        longer, head = w.heads(k)
+        doc.append(w.doc[longer])
+        hashed.append(head)
+    pairs = np.unique((np.concatenate(doc).astype(np.int64) << BITS) | (np.concatenate(hashed) >> np.uint64(64 - BITS)).astype(np.int64))
     return pairs >> BITS, pairs & ((1 << BITS) - 1)
 
 
@@ -75,13 +82,14 @@ class Bags:
 def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, min_positives: int = 5, l1: float = 1e-3, steps: int = 200, rate: float = 0.05) -> Model:
     """Full-batch Adam on the non-negative risk with a one-sided soft threshold after each step.
 
-    Words in fewer than ``min_positives`` confirmed documents get no weight.
+    Features of fewer than ``min_positives`` confirmed documents get no weight.
     """
-    width = 1 << BITS
+    weights = np.zeros(1 << BITS)
     if not positive or not unlabelled or not 0 < prior < 1:
-        return Model(np.zeros(width), -1.0)
-    support = np.bincount(np.concatenate(positive).astype(np.int64), minlength=width) >= min(min_positives, max(1, len(positive) // 2))
-    p, u = (Bags([s[support[s]] for s in sets]) for sets in (positive, unlabelled))
+        return Model(weights, -1.0)
+    support = np.bincount(np.concatenate(positive).astype(np.int64), minlength=len(weights)) >= min(min_positives, max(1, len(positive) // 2))
+    dense, width = np.cumsum(support) - 1, int(support.sum())
+    p, u = (Bags([dense[s[support[s]]] for s in sets]) for sets in (positive, unlabelled))
     w, b = np.zeros(width), float(np.log(prior / (1 - prior)))
     m, v, mb, vb = np.zeros(width), np.zeros(width), 0.0, 0.0
     sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
@@ -99,7 +107,8 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
         w = w - scale * m / c1
         w = np.maximum(w - scale * l1, 0)
         b -= rate * mb / c1 / (np.sqrt(vb / c2) + 1e-4)
-    return Model(w, float(b))
+    weights[support] = w
+    return Model(weights, float(b))
 
 
 def train(docs: DataFrame, labels: DataFrame, prior: float | None = None, max_positive: int = MAX_POSITIVE, max_unlabelled: int = MAX_UNLABELLED) -> Model:
@@ -133,7 +142,8 @@ def train(docs: DataFrame, labels: DataFrame, prior: float | None = None, max_po
 
     rows = read.mapInArrow(bag, "doc_id long, positive boolean, features binary").collect()
     sets = {True: [], False: []}
-    for r in sorted(rows, key=lambda r: (r[0], bytes(r[2]))):
+    rows.sort(key=lambda r: (r[0], bytes(r[2])))
+    for r in rows:
         if r[2]:
             sets[r[1]].append(np.frombuffer(r[2], np.int32))
     return fit(sets[True], sets[False], prior)
