@@ -17,9 +17,7 @@ FIELDS = ("connection_type", "host", "port", "user", "schema", "database")
 
 def split_lines(text: Column) -> Column:
     """Array of lines as Python's ``splitlines`` gives it: no element after a final line end."""
-    parts = F.split(text, P.LINE_END)
-    last = F.element_at(parts, -1)
-    return F.when(last == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+    return let(F.split(text, P.LINE_END), lambda parts: F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts))
 
 
 def lines(files: DataFrame, key: str = "path", content: str = "content") -> DataFrame:

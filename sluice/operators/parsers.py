@@ -539,11 +539,11 @@ def parsed(files: DataFrame) -> DataFrame:
 
     known = files.where("path is not null").withColumn("__lang", detect_language(F.col("path"))).where(F.col("__lang").isin(*PARSERS))
     found = known.withColumn("__s", F.from_json(read("path", "__lang", "content"), SYMBOLS))
-    text, searched = F.coalesce("content", F.lit("")), ~F.col("__s.language").isin(*NOT_SEARCHED)
+    text = F.coalesce("content", F.lit(""))
+    searched = F.when(F.col("__s.language").isin(*NOT_SEARCHED), F.lit("")).otherwise(text)
     calls = F.transform("__s.external_calls", lambda c: c.withField("context", redact_secrets(c["context"])))
     columns = [calls.alias(f) if f == "external_calls" else F.col(f"__s.{f}").alias(f) for f in SYMBOLS.names]
-    urls, ends = text_urls(text), text_endpoints(text)
-    return found.select("path", "size", "mtime_ns", F.sha2(F.encode(text, "utf-8"), 256).alias("content_sha256"), *columns, F.when(searched, urls).otherwise(F.slice(urls, 1, 0)).alias("external_urls"), F.when(searched, ends).otherwise(F.slice(ends, 1, 0)).alias("database_endpoints"))
+    return found.select("path", "size", "mtime_ns", F.sha2(F.encode(text, "utf-8"), 256).alias("content_sha256"), *columns, text_urls(searched).alias("external_urls"), text_endpoints(searched).alias("database_endpoints"))
 
 
 #: Templates of source files by suffix: @K a number, @C a type's name, @F a function's.
