@@ -1,10 +1,12 @@
 """Operator 3, chat formatting: reply trees.
 
-A forest of messages (tree, id, parent, role, text, score) is walked by iterative self-joins:
-paths start at the roots, and each round joins the open paths with the replies to their last
-message, until none has any. A path without a reply is a branch. Branches of a tree are ranked
-by the mean score of their messages (higher first, then the longer path, then the smaller leaf
-id), and each of the best ``keep`` becomes one conversation, formatted turn by turn.
+A forest of messages (tree, id, parent, role, text, score) is walked by iterative self-joins.
+In each round every message joins the one that its climb has reached, and so climbs twice as far:
+paths of n messages are known after log2(n) rounds, with their lengths and the sums of their
+scores. A message without a reply ends a branch. Branches of a tree are ranked by the mean score
+of their messages (higher first, then the longer path, then the smaller leaf id). The paths of the
+best ``keep`` are enumerated by the same rounds, and each becomes one conversation, formatted turn
+by turn.
 
 The joins carry ids and scores only; texts are joined once at the end, for the chosen paths.
 
@@ -44,28 +46,36 @@ def messages(conversations: DataFrame) -> DataFrame:
     return rows.withColumn("score", score)
 
 
-def branches(forest: DataFrame) -> DataFrame:
-    """(tree, leaf, path, score): every root-to-leaf path, as the ids from the root on."""
-    links = written(forest.groupBy("tree", "id").agg(F.min(F.struct("parent", "score")).alias("m")).select("tree", "id", "m.parent", F.coalesce("m.score", F.lit(0.0)).alias("score")), "reply-links")
-    parents = links.select("tree", F.col("id").alias("parent"))
-    roots = links.where("parent is null").unionByName(links.where("parent is not null").join(parents, ["tree", "parent"], "left_anti").select(links.columns))
-    open_ = roots.select("tree", F.col("id").alias("leaf"), F.array("id").alias("path"), F.col("score").alias("total"))
-    replies = links.where("parent is not null").select("tree", F.col("parent").alias("leaf"), "id", "score")
-    done = None
-    while True:
-        stepped = written(open_.join(replies, ["tree", "leaf"], "left"), "reply-paths")
-        ended = stepped.where("id is null").select("tree", "leaf", "path", (F.col("total") / F.size("path")).alias("score"))
-        done = ended if done is None else done.unionByName(ended)
-        open_ = stepped.where("id is not null").select("tree", F.col("id").alias("leaf"), F.concat("path", F.array("id")).alias("path"), (F.col("total") + F.col("score")).alias("total"))
-        if open_.isEmpty():
-            return done
+def climbs(forest: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """(tree, leaf, turns, score) of every root-to-leaf path, and (tree, id, up): the message 2 ** k above, for each k."""
+    links = forest.groupBy("tree", "id").agg(F.min(F.struct("parent", "score")).alias("m")).select("tree", "id", "m.parent", F.coalesce("m.score", F.lit(0.0)).alias("total"))
+    known = links.select("tree", F.col("id").alias("parent"), F.lit(True).alias("there"))
+    links = written(links.join(known, ["tree", "parent"], "left").select("tree", "id", F.when(F.col("there"), F.col("parent")).alias("up"), "total", F.lit(1).alias("turns")), "reply-links")
+    largest = links.groupBy("tree").count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]
+    leaves = links.join(links.select("tree", F.col("up").alias("id")).where("id is not null"), ["tree", "id"], "left_anti").select("tree", "id")
+    now, ups = links, []
+    # A climb that hasn't ended after as many steps as its tree has messages is on a cycle.
+    for _ in range(largest.bit_length()):
+        ups.append(now.where("up is not null").select("tree", "id", "up"))
+        if ups[-1].isEmpty():
+            break
+        further = now.select("tree", F.col("id").alias("up"), F.col("up").alias("then"), F.col("total").alias("more"), F.col("turns").alias("steps"))
+        joined = now.join(further, ["tree", "up"], "left")
+        now = written(joined.select("tree", "id", F.col("then").alias("up"), (F.col("total") + F.coalesce("more", F.lit(0.0))).alias("total"), (F.col("turns") + F.coalesce("steps", F.lit(0))).alias("turns")), "reply-climbs")
+    ended = now.where("up is null").join(leaves, ["tree", "id"], "left_semi")
+    return ended.select("tree", F.col("id").alias("leaf"), "turns", (F.col("total") / F.col("turns")).alias("score")), ups
 
 
 def conversations(forest: DataFrame, keep: int = KEEP, opening: str = "<|", closing: str = "|>\n", end: str = "\n") -> DataFrame:
     """(conv_id, rank, leaf, turns, score, chat): the best branches of each tree, formatted."""
-    best = Window.partitionBy("tree").orderBy(F.desc("score"), F.desc(F.size("path")), "leaf", "path")
-    chosen = branches(forest).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= keep)
-    steps = chosen.select("tree", "rank", "leaf", "score", F.size("path").alias("turns"), F.posexplode("path").alias("at", "id"))
+    forest = forest.where("tree is not null and id is not null")
+    paths, ups = climbs(forest)
+    best = Window.partitionBy("tree").orderBy(F.desc("score"), F.desc("turns"), "leaf")
+    steps = paths.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= keep).withColumn("id", F.col("leaf")).withColumn("at", F.col("turns") - 1)
+    for k, up in enumerate(ups):
+        # Of each message of a path so far, the one 2 ** k above joins the path.
+        both = F.filter(F.array(F.struct("id", "at"), F.struct(F.col("up").alias("id"), (F.col("at") - (1 << k)).alias("at"))), lambda m: m["id"].isNotNull())
+        steps = steps.join(up, ["tree", "id"], "left").select("tree", "rank", "leaf", "score", "turns", F.inline(both))
     texts = forest.groupBy("tree", "id").agg(F.min(F.struct(F.col("parent"), F.col("role"), F.col("text"))).alias("m"))
     said = F.concat(F.lit(opening), F.coalesce("m.role", F.lit("")), F.lit(closing), F.coalesce("m.text", F.lit("")), F.lit(end))
     joined = steps.join(texts, ["tree", "id"]).select("tree", "rank", "leaf", "score", "turns", F.struct("at", said.alias("said")).alias("turn"))
