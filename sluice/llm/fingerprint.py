@@ -6,11 +6,16 @@ over (frame, pitch class) gives every rectangle sum in four look-ups; 16 filters
 rectangles within a window of ``WINDOW`` frames, and each is quantised to two bits (in Gray
 code, so that neighbouring levels differ in one bit).
 
-Two recordings are aligned by the offset histogram of their equal integers: the offsets of a
-pair with the most equal integers (at most ``near_offsets`` steps apart count together) is its
-alignment, and the share of unequal bits over the overlap there decides. Every recording is a
-query and every pair that shares an integer is a candidate; integers are joined with the integer
-after them, which makes a chance meeting rare, and nothing is capped.
+Two recordings are aligned if the share of unequal bits is at most ``MAX_ERROR`` at some offset
+with ``LEAST_OVERLAP`` common steps or more. Of such offsets the histogram of equal integers
+decides: the one with the most of them is the alignment (offsets at most ``NEAR_OFFSETS`` steps
+apart count together), then the one with the least error, then the nearest to 0.
+
+Every pair is looked at at every offset, so none is missed and the work grows with the square of
+the number of recordings. No probe by equal integers would be whole: an alignment at the limit
+may have no step with fewer than four unequal bits, and nearly all unrelated pairs have steps as
+near as that. Bits as -1 and 1 are correlated in blocks of recordings by Fourier transform, which
+gives the unequal bits at all offsets at once; what reaches the limit is counted again in bits.
 
 The tables have no audio, so :func:`tones` renders one: each value of an embedding is a note.
 
@@ -24,7 +29,10 @@ looked at.
 from __future__ import annotations
 
 import io
+import math
+import uuid
 import wave
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -32,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, each_partition, mix, packed_exchange, run_pairs, runs, written
+from .common import documents, shared_dir, written
 
 RATE = 4_000
 NOTE_SECONDS = 0.125
@@ -48,6 +56,9 @@ LEAST_OVERLAP = 16
 NEAR_OFFSETS = 1
 #: Recordings that are rendered at once.
 BATCH = 64
+#: Integers of a block of recordings; pairs times offsets that are correlated at once.
+BLOCK = 1 << 15
+TILE = 1 << 19
 
 
 # ---------------------------------------------------------------- audio
@@ -172,47 +183,120 @@ def bit_error(a: np.ndarray, b: np.ndarray, offset: int) -> tuple[float, int]:
     return float(np.bitwise_count(a[start + offset : stop + offset] ^ b[start:stop]).sum()) / (32 * n), n
 
 
+def _blocks(prints: DataFrame, least_overlap: int) -> tuple[str, int]:
+    """(folder, number of blocks): the prints in files of about ``BLOCK`` integers, of like lengths."""
+    spark = prints.sparkSession
+    once = prints.dropDuplicates(["id"]).where(F.octet_length("fingerprint") >= 4 * least_overlap)
+    once = written(once.withColumn("size", F.ceil(F.log2(F.octet_length("fingerprint") / 4)).cast("int")), "recordings")
+    first, total = [], 0
+    for size, n in sorted((r[0], r[1]) for r in once.groupBy("size").count().collect()):
+        blocks = -(-n * 2**size // BLOCK)
+        first.append((size, total, blocks))
+        total += blocks
+    folder = f"{shared_dir(spark)}/fingerprint-blocks-{uuid.uuid4().hex}"
+    if total:
+        place = F.coalesce(*[F.when(F.col("size") == size, at + F.pmod(F.xxhash64("id"), F.lit(blocks))) for size, at, blocks in first])
+        once.select(place.alias("block"), "id", "fingerprint").repartition("block").write.partitionBy("block").parquet(folder)
+    return folder, total
+
+
+class Block:
+    """Some recordings, and the transforms of their bits, which every block they meet uses again."""
+
+    def __init__(self, ids: np.ndarray, prints: list[np.ndarray]):
+        self.ids, self.prints, self.held = ids, prints, (0, None)
+        self.size = np.fromiter(map(len, prints), np.int64, len(prints))
+
+    def spectra(self, length: int) -> np.ndarray:
+        """(frequency, recording, bit): the transforms of the bits as -1 and 1, 0 after the end."""
+        if self.held[0] != length:
+            signs = np.zeros((len(self.prints), length, 32), np.float32)
+            for k, f in enumerate(self.prints):
+                signs[k, : len(f)] = ((f[:, None] >> np.arange(32, dtype=np.uint32)) & np.uint32(1)).astype(np.float32) * 2 - 1
+            self.held = length, np.ascontiguousarray(np.fft.rfft(signs, axis=1).transpose(1, 0, 2))
+        return self.held[1]
+
+
+@lru_cache(4)
+def _block(folder: str, block: int) -> Block:
+    from pyarrow import dataset, fs
+
+    files, path = fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{folder}")
+    at = f"{path}/block={block}"
+    if files.get_file_info(at).type == fs.FileType.NotFound:
+        return Block(np.empty(0, np.int64), [])
+    rows = dataset.dataset(at, filesystem=files, format="parquet").to_table(columns=["id", "fingerprint"])
+    return Block(rows.column("id").to_numpy(), [np.frombuffer(x, "<u4") for x in rows.column("fingerprint").to_pylist()])
+
+
+def close_offsets(left: Block, right: Block, max_error: float, least_overlap: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(number in left, number in right, offset), by tiles: all that may align, and few others."""
+    la, lb = left.size, right.size
+    # long enough that offsets of ``least_overlap`` common steps meet no other's
+    length = -(-int(la.max() + lb.max() - least_overlap) // 16) * 16
+    offset = np.arange(length)
+    offset = np.where(offset < la.max(), offset, offset - length)[:, None, None]
+    side = max(1, math.isqrt(TILE // length))
+    mine, theirs = left.spectra(length), right.spectra(length)
+    for q in range(0, len(lb), side):
+        across = theirs[:, q : q + side].conj().transpose(0, 2, 1)
+        for p in range(0, len(la), side):
+            same = np.fft.irfft(mine[:, p : p + side] @ across, length, axis=0)  # equal less unequal bits
+            a, b = la[None, p : p + side, None], lb[None, None, q : q + side]
+            if a.min() == a.max() and b.min() == b.max():
+                a, b = a[:, :1], b[:, :, :1]
+            n = np.minimum(b, a - offset) - np.maximum(0, -offset)
+            least = np.where(n >= least_overlap, 32 * n * (1 - 2 * max_error) - 1 - 1e-5 * length, np.inf).astype(np.float32)
+            at, i, j = np.unravel_index(np.flatnonzero(same >= least), same.shape)
+            yield p + i, q + j, offset[at, 0, 0]
+
+
+def votes_near(a: np.ndarray, b: np.ndarray, offset: int) -> int:
+    """Equal integers at an offset and those at most ``NEAR_OFFSETS`` from it."""
+    out = 0
+    for o in range(offset - NEAR_OFFSETS, offset + NEAR_OFFSETS + 1):
+        start, stop = max(0, -o), min(len(b), len(a) - o)
+        if stop > start:
+            out += int((a[start + o : stop + o] == b[start:stop]).sum())
+    return out
+
+
 def alignments(prints: DataFrame, max_error: float = MAX_ERROR, least_overlap: int = LEAST_OVERLAP) -> DataFrame:
     """(id_a, id_b, offset, overlap, votes, error) of recordings that align, id_a < id_b."""
-    prints = written(prints, "fingerprints")
-
-    def emit(batch):
-        for i, data in zip(batch.column("id").to_pylist(), batch.column("fingerprint").to_pylist()):
-            f = np.frombuffer(data, "<u4").astype(np.int64)
-            if len(f) > 1:
-                key = mix(((f[:-1] << 32) | f[1:]).view(np.uint64)).view(np.int64)
-                yield np.stack([key, np.full(len(key), i), np.arange(len(key))], axis=1)
-
-    def meet(rows):
-        rows = rows[np.lexsort((rows[:, 2], rows[:, 1], rows[:, 0]))]
-        start, end = runs(rows[:, 0])
-        many = end - start > 1
-        for i, j in run_pairs(start[many], end[many]):
-            other = rows[i, 1] != rows[j, 1]
-            i, j = i[other], j[other]
-            if len(i):
-                votes, n = np.unique(np.stack([rows[i, 1], rows[j, 1], rows[i, 2] - rows[j, 2]], axis=1), axis=0, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(votes[:, 0]), pa.array(votes[:, 1]), pa.array(votes[:, 2]), pa.array(n.astype(np.int64))], ["id_a", "id_b", "offset", "votes"])
-
-    votes = each_partition(packed_exchange(prints, emit, 3), meet, 3, "id_a long, id_b long, offset long, votes long")
-    votes = votes.groupBy("id_a", "id_b", "offset").agg(F.sum("votes").alias("votes"))
-    near = votes.select("id_a", "id_b", "votes", F.explode(F.sequence(F.col("offset") - NEAR_OFFSETS, F.col("offset") + NEAR_OFFSETS)).alias("near"))
-    peaks = votes.select("id_a", "id_b", "offset").join(near.groupBy("id_a", "id_b", F.col("near").alias("offset")).agg(F.sum("votes").alias("votes")), ["id_a", "id_b", "offset"])
-    best = peaks.groupBy("id_a", "id_b").agg(F.max(F.struct("votes", (-F.abs("offset")).alias("closeness"), "offset")).alias("best")).select("id_a", "id_b", "best.offset", "best.votes")
-    once = prints.dropDuplicates(["id"])
-    both = best.join(once.select(F.col("id").alias("id_a"), F.col("fingerprint").alias("a")), "id_a").join(once.select(F.col("id").alias("id_b"), F.col("fingerprint").alias("b")), "id_b")
-
-    def verify(batches):
-        for batch in batches:
-            rows = []
-            for a, b, offset, votes_, x, y in zip(*(batch.column(c).to_pylist() for c in ("id_a", "id_b", "offset", "votes", "a", "b"))):
-                error, n = bit_error(np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4"), offset)
-                if error <= max_error and n >= least_overlap:
-                    rows.append((a, b, offset, n, votes_, error))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.float64() if k == 5 else pa.int64()) for k, c in enumerate(zip(*rows))], ["id_a", "id_b", "offset", "overlap", "votes", "error"])
+    spark = prints.sparkSession
+    least_overlap = max(1, least_overlap)
+    folder, blocks = _blocks(prints, least_overlap)
 
-    return both.mapInArrow(verify, "id_a long, id_b long, offset long, overlap long, votes long, error double")
+    def meet(batches):
+        for batch in batches:
+            for number in batch.column("id").to_pylist():
+                x = (math.isqrt(8 * number + 1) - 1) // 2
+                y = number - x * (x + 1) // 2
+                left, right = _block(folder, x), _block(folder, y)
+                if not left.prints or not right.prints:
+                    continue
+                best = {}
+                for hits in close_offsets(left, right, max_error, least_overlap):
+                    for i, j, offset in zip(*(h.tolist() for h in hits)):
+                        a, b = int(left.ids[i]), int(right.ids[j])
+                        if a == b or (x == y and a > b):
+                            continue
+                        f, g = left.prints[i], right.prints[j]
+                        if a > b:
+                            a, b, f, g, offset = b, a, g, f, -offset
+                        error, n = bit_error(f, g, offset)
+                        if error <= max_error and n >= least_overlap:
+                            votes = votes_near(f, g, offset)
+                            rank = (votes, -error, -abs(offset), offset)
+                            if (a, b) not in best or rank > best[a, b][0]:
+                                best[a, b] = rank, (a, b, offset, n, votes, error)
+                if best:
+                    rows = zip(*(row for _, row in best.values()))
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.float64() if k == 5 else pa.int64()) for k, c in enumerate(rows)], ["id_a", "id_b", "offset", "overlap", "votes", "error"])
+
+    pairs = blocks * (blocks + 1) // 2
+    tasks = max(1, min(pairs, 8 * spark.sparkContext.defaultParallelism))
+    return spark.range(0, pairs, 1, tasks).mapInArrow(meet, "id_a long, id_b long, offset long, overlap long, votes long, error double")
 
 
 def tones(embeddings: DataFrame) -> DataFrame:
@@ -231,6 +315,6 @@ def tones(embeddings: DataFrame) -> DataFrame:
 def query(spark, sf_dir: str) -> DataFrame:
     """Fingerprint and best alignment of every recording with another one, null where it has none."""
     prints = written(fingerprints(tones(documents(spark, sf_dir, "embeddings"))), "fingerprints")
-    found = alignments(prints)
+    found = written(alignments(prints), "alignments")
     either = found.select(F.col("id_a").alias("id"), F.col("id_b").alias("other"), "offset", "overlap", "error").unionByName(found.select(F.col("id_b").alias("id"), F.col("id_a").alias("other"), (-F.col("offset")).alias("offset"), "overlap", "error"))
     return prints.select(F.col("id").alias("vec_id"), "fingerprint").join(either.withColumnRenamed("id", "vec_id"), "vec_id", "left")

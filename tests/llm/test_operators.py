@@ -331,6 +331,31 @@ def test_alignment(spark):
     assert fingerprint.alignments(prints.limit(0)).isEmpty()
 
 
+def test_alignment_misses_no_pair(spark):
+    """Against every pair at every offset, up to the greatest error and with short overlaps."""
+    rng = np.random.default_rng(12)
+    rows, prints = [], []
+    for k in range(12):
+        base = fingerprint.render(rng.normal(0, 0.2, 64))
+        noisy = [np.clip(base + rng.normal(0, s, len(base)), -1, 1) for s in (0.3, 0.4, 0.5)]
+        for sound in (base, *noisy, base[int(8.25 * fingerprint.HOP) :], base[int(30.5 * fingerprint.HOP) :]):
+            prints.append(fingerprint.fingerprint(sound))
+            if len(prints) % 3 == 0:
+                prints[-1] = prints[-1][rng.integers(0, 4) :][:22]
+    rows = [(i, bytearray(f.astype("<u4").tobytes())) for i, f in enumerate(prints)]
+    expected = {}
+    for i, a in enumerate(prints):
+        for j in range(i + 1, len(prints)):
+            b = prints[j]
+            for offset in range(-len(b), len(a) + 1):
+                error, n = fingerprint.bit_error(a, b, offset)
+                if error <= fingerprint.MAX_ERROR and n >= fingerprint.LEAST_OVERLAP:
+                    expected.setdefault((i, j), {})[offset] = (n, error)
+    found = {(r["id_a"], r["id_b"]): r for r in fingerprint.alignments(spark.createDataFrame(rows, "id long, fingerprint binary")).collect()}
+    assert len(expected) > 60 and set(found) == set(expected)
+    assert all(expected[k][r["offset"]] == (r["overlap"], r["error"]) for k, r in found.items())
+
+
 # ---------------------------------------------------------------- 7
 
 
