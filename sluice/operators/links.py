@@ -8,9 +8,6 @@ from pyspark.sql import functions as F
 from ..functions.languages import base_name, suffix
 from ..functions.text import let
 
-#: A path is looked up by at most so many of its last segments.
-MAX_SEGMENTS = 12
-
 
 def stem(path: Column) -> Column:
     name, end = base_name(path), suffix(base_name(path))
@@ -71,10 +68,9 @@ def candidates(source: Column, target: Column, language: Column) -> Column:
 
 
 def path_ends(files: DataFrame) -> DataFrame:
-    """(end, path, whole): each path by its last segments, so that ends can be joined by equality."""
+    """(end, path, whole): each path by all its ends, however deep it is, so that ends can be joined by equality."""
     parts = F.split("path", "/")
-    n = F.least(F.size(parts), F.lit(MAX_SEGMENTS))
-    ends = F.transform(F.sequence(F.lit(1), n), lambda k: F.array_join(F.slice(parts, F.size(parts) - k + 1, k), "/"))
+    ends = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, F.size(parts) - k + 1, k), "/"))
     return files.select("path", F.explode(ends).alias("end")).withColumn("whole", F.col("end") == F.col("path"))
 
 

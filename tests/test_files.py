@@ -182,3 +182,13 @@ def test_render_empty(spark):
     row = spark.createDataFrame([("a.py", 0, 0, "")], "path string, size long, mtime_ns long, content string")
     text = render.modules(parsers.parsed(row)).first()["markdown"]
     assert "*No module-level documentation found.*" in text and "## Imports" not in text
+
+
+def test_links_of_deep_paths(spark):
+    deep = "/".join(f"d{i}" for i in range(14))
+    paths = [f"{deep}/a.ts", f"{deep}/b.ts", f"{deep}/m.py", f"{deep}/n.py", f"{deep}/T.java", "x/U.java", "x/v.py"]
+    files = spark.createDataFrame([(p,) for p in paths], "path string")
+    dotted = deep.replace("/", ".")
+    imports = spark.createDataFrame([(paths[0], "typescript", "import b from './b'"), (paths[2], "python", "from .n import z"), ("x/v.py", "python", f"import {dotted}.m"), ("x/U.java", "java", f"import {dotted}.*;")], "path string, language string, stmt string")
+    found = {tuple(r) for r in links.edges_resolved(imports, files).collect()}
+    assert {(paths[0], paths[1]), (paths[2], paths[3]), ("x/v.py", paths[2]), ("x/U.java", paths[4])} <= found
