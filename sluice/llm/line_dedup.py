@@ -1,8 +1,8 @@
-"""Operator 8, line dedup: a deletion-neighbourhood join with an edit bound of 1.
+"""Operator 8, line dedup: a join within an edit bound, by deletion neighbourhoods or pieces.
 
 A line is dropped if an earlier line of the corpus, in order of (doc_id, line number), is
-within one edit (a character inserted, deleted or replaced) of it; the earliest such line
-is named. Lines are compared trimmed and in lower case; those of fewer than ``min_chars``
+within ``max_edits`` edits (a character inserted, deleted or replaced; 1 by default) of it; the
+earliest such line is named. Lines are compared trimmed and in lower case; those of fewer than ``min_chars``
 characters take no part, as short lines are alike by chance.
 
 1. Equal lines become one class by hash; its first line stands for it.
@@ -13,6 +13,10 @@ characters take no part, as short lines are alike by chance.
    hashed keys (a rolling hash gives the n variants of n characters in one pass); equal
    keys make candidate pairs, and each pair's edit distance is verified on the text.
 
+With a bound of 2 or more, 2 and 3 give way to pieces: the shorter line of a pair is cut into
+``max_edits`` + 1, one of which the other has unchanged, moved by as much as the bound and the
+lengths allow; such places make the candidate pairs. The result is exact for any bound.
+
 Cases: null text or id takes no part; an empty text has no line long enough; lines of any
 length are taken whole; rows with the same ``doc_id`` are one document: the same line number
 with the same content in it is one line and never drops itself; ties can't occur, as (doc_id,
@@ -22,6 +26,8 @@ as they are.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -30,6 +36,7 @@ from pyspark.sql import functions as F
 from .common import BASE, TOP, U64, char_values, code_points, documents, each_partition, fresh, maybe_broadcast, mix, packed_exchange, powers, prefix_hashes, run_pairs, runs, slices, texts_of, written
 
 MIN_CHARS = 24
+MAX_EDITS = 1
 BLANKS = " \t\r\x0b\x0c"
 
 
@@ -70,8 +77,58 @@ def deletion_variants(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([np.arange(len(texts)), doc[new]]), np.concatenate([whole, less[new]])
 
 
-def near_classes(classes: DataFrame, lined: DataFrame) -> DataFrame:
-    """(h, other): classes within one edit of each other, in both directions."""
+def pieces(texts: list[str], max_edits: int) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+    """(text numbers, hashed pieces, whether they are a text's own): own pieces of the shorter text of a
+    pair meet the places of the longer one where they can be if at most ``max_edits`` edits lie between."""
+    codes = code_points("".join(texts))
+    size = np.fromiter(map(len, texts), np.int64, len(texts))
+    start = np.cumsum(size) - size
+    sums = prefix_hashes(char_values()[np.minimum(codes, TOP - 1)])
+    _, down = powers(len(codes) + 1)
+    for more in range(max_edits + 1):
+        short = size - more
+        for piece in range(max_edits + 1):
+            longer = short % (max_edits + 1)
+            length = short // (max_edits + 1) + (piece >= max_edits + 1 - longer)
+            first = piece * (short // (max_edits + 1)) + np.maximum(0, piece - (max_edits + 1 - longer))
+            for move in range(-((max_edits - more) // 2), (max_edits + more) // 2 + 1):
+                at = first + move
+                fits = np.flatnonzero((short > 0) & (at >= 0) & (at + length <= size))
+                a, n = start[fits] + at[fits], length[fits]
+                key = mix(mix((sums[a + n] - sums[a]) * down[a]) + (short[fits] * (max_edits + 1) + piece).astype(U64))
+                if more == move == 0:
+                    yield fits, key, True
+                yield fits, key, False
+
+
+def near_by_pieces(lined: DataFrame, max_edits: int) -> tuple[DataFrame, DataFrame]:
+    """(candidate pairs (a, b), texts (h, line)) for any bound."""
+    texts = written(lined.select(F.xxhash64("line").alias("h"), "line").dropDuplicates(["h"]), "line-texts")
+
+    def emit(batch):
+        for part in slices(batch, "line", 200_000):
+            ids = part.column("h").to_numpy()
+            for text, key, own in pieces(texts_of(part, "line"), max_edits):
+                yield np.stack([key.view(np.int64), np.full(len(key), not own, np.int64), ids[text]], axis=1)
+
+    def meet(rows):
+        rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
+        start, end = runs(rows[:, 0])
+        own = np.add.reduceat(1 - rows[:, 1], start)
+        for a, b, m in zip(*(x[(own > 0) & (end - start > 2)].tolist() for x in (start, end, own))):
+            step = max(1, (1 << 20) // (b - a - m))
+            for i in range(a, a + m, step):
+                x, y = rows[i : min(i + step, a + m), 2], rows[a + m : b, 2]
+                x, y = np.repeat(x, len(y)), np.tile(y, len(x))
+                x, y = x[x != y], y[x != y]
+                if len(x):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
+
+    return each_partition(packed_exchange(texts, emit, 3), meet, 3, "a long, b long").distinct(), texts
+
+
+def near_by_halves(classes: DataFrame, lined: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(candidate pairs (a, b), texts (h, line)) for a bound of 1."""
     role = lambda m, half, tag, own: F.struct(F.xxhash64(m, half, F.lit(tag)).alias("k"), F.lit(own).alias("own"))
     n, m = F.col("n"), F.col("n") - 1
     keyed = classes.select("h", "doc_id", "line_no", F.explode(F.array(role(n, F.col("head"), 0, True), role(n, F.col("tail"), 1, True), role(m, F.col("head_less"), 0, False), role(m, F.col("tail_less"), 1, False))).alias("r"))
@@ -96,13 +153,18 @@ def near_classes(classes: DataFrame, lined: DataFrame) -> DataFrame:
             pair = np.unique(np.stack([rows[i, 1], rows[j, 1]], axis=1), axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], ["a", "b"])
 
-    pairs = each_partition(packed_exchange(texts, emit, 2), equal, 2, "a long, b long").distinct()
+    return each_partition(packed_exchange(texts, emit, 2), equal, 2, "a long, b long").distinct(), texts
+
+
+def near_classes(classes: DataFrame, lined: DataFrame, max_edits: int = MAX_EDITS) -> DataFrame:
+    """(h, other, edits): classes within the bound of each other, in both directions."""
+    pairs, texts = near_by_halves(classes, lined) if max_edits == 1 else near_by_pieces(lined, max_edits)
     left_text, right_text = texts.select(F.col("h").alias("a"), F.col("line").alias("x")), texts.select(F.col("h").alias("b"), F.col("line").alias("y"))
-    close = pairs.join(left_text, "a").join(right_text, "b").where(F.levenshtein("x", "y", 1) >= 0).select("a", "b")
-    return close.select(F.explode(F.array(F.struct(F.col("a").alias("h"), F.col("b").alias("other")), F.struct(F.col("b").alias("h"), F.col("a").alias("other")))).alias("p")).select("p.*")
+    close = pairs.join(left_text, "a").join(right_text, "b").withColumn("edits", F.levenshtein("x", "y", max_edits)).where("edits >= 0")
+    return close.select("edits", F.explode(F.array(F.struct(F.col("a").alias("h"), F.col("b").alias("other")), F.struct(F.col("b").alias("h"), F.col("a").alias("other")))).alias("p")).select("p.*", "edits")
 
 
-def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, with_hash: bool = False) -> DataFrame:
+def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, with_hash: bool = False, max_edits: int = MAX_EDITS) -> DataFrame:
     """(doc_id, line_no, kept_doc_id, kept_line_no, distance): the lines to drop and what they repeat."""
     lined = lines(docs, min_chars)
     keyed = _keys(lined)
@@ -110,21 +172,21 @@ def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, with_hash: bool
     halves = ("n", "head", "tail", "head_less", "tail_less")
     classes = written(keyed.groupBy("h").agg(F.min(place).alias("first"), F.max(place).alias("last"), *[F.min(c).alias(c) for c in halves]).select("h", "first.*", (F.col("first") != F.col("last")).alias("many"), *halves), "line-classes")
     firsts = classes.select(F.col("h").alias("other"), F.struct("doc_id", "line_no").alias("at"))
-    earlier = near_classes(classes, lined).join(firsts, "other").groupBy("h").agg(F.min("at").alias("near"))
+    earlier = near_classes(classes, lined, max_edits).join(firsts, "other").groupBy("h").agg(F.min(F.struct("at", "edits")).alias("m")).select("h", F.col("m.at").alias("near"), "m.edits")
     # F.least of structs compares field by field, as the order of lines does.
     kept = classes.select("h", "many", F.struct("doc_id", "line_no").alias("first")).join(earlier, "h", "left")
-    kept = kept.where("many or near < first").select("h", F.least("first", F.coalesce("near", "first")).alias("kept"), (F.coalesce(F.col("near") < F.col("first"), F.lit(False))).cast("int").alias("distance"))
+    kept = kept.where("many or near < first").select("h", F.least("first", F.coalesce("near", "first")).alias("kept"), F.when(F.col("near") < F.col("first"), F.col("edits")).otherwise(0).alias("distance"))
     out = keyed.select("doc_id", "line_no", "h").join(kept, "h").where(F.struct("doc_id", "line_no") != F.col("kept"))
     return out.select("doc_id", "line_no", F.col("kept.doc_id").alias("kept_doc_id"), F.col("kept.line_no").alias("kept_line_no"), "distance", *(["h"] if with_hash else [])).distinct()
 
 
-def without_repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+def without_repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, max_edits: int = MAX_EDITS) -> DataFrame:
     """``docs`` with the repeated lines taken out of ``text``, and ``n_chars`` to match.
 
     Documents of which only blanks are left are dropped; those that lose no line stay as they are.
     """
     id_, lost = fresh(docs, "__id"), fresh(docs, "__gone")
-    gone = repeated_lines(docs, min_chars, with_hash=True).groupBy(F.col("doc_id").alias(id_)).agg(F.collect_set(F.struct("line_no", "h")).alias(lost))
+    gone = repeated_lines(docs, min_chars, with_hash=True, max_edits=max_edits).groupBy(F.col("doc_id").alias(id_)).agg(F.collect_set(F.struct("line_no", "h")).alias(lost))
     kept = F.filter(F.split(F.col("text").cast("string"), "\n"), lambda line, i: ~F.array_contains(F.col(lost), F.struct(i.alias("line_no"), F.xxhash64(normal(line)).alias("h"))))
     joined = docs.join(gone, F.col("doc_id").cast("long") == F.col(id_), "left")
     text = F.when(F.col(lost).isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))

@@ -437,6 +437,36 @@ def test_without_repeated_lines(spark):
     assert sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=repr) == sorted(without_lines(rows), key=repr)
 
 
+def edits_between(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+@pytest.mark.parametrize("most", [2, 3])
+def test_line_dedup_with_more_edits(spark, most):
+    rng = random.Random(21)
+    rows = []
+    for i in range(60):
+        line = rng.choice([prose(rng, 6), "é漢🙂" * 9, "ab" * rng.randrange(12, 15)]) if i % 5 == 0 else line
+        for _ in range(rng.randrange(0, 5)):
+            at = rng.randrange(len(line))
+            line = rng.choice([line[:at] + line[at + 1 :], line[:at] + "q" + line[at:], line[:at] + "z" + line[at + 1 :]])
+        rows.append((i, line + "\nshort"))
+    lines = [(i, 0, t.split("\n")[0]) for i, t in rows if len(t.split("\n")[0]) >= line_dedup.MIN_CHARS]
+    expected = set()
+    for k, (i, n, x) in enumerate(lines):
+        near = [(j, m, edits_between(x, y)) for j, m, y in lines[:k]]
+        near = [r for r in near if r[2] <= most]
+        if near:
+            expected.add((i, n, *near[0]))
+    found = [tuple(r) for r in line_dedup.repeated_lines(table(spark, rows), max_edits=most).collect()]
+    assert set(found) == expected and len(found) == len(expected) and {r[4] for r in found} >= {most}
+
+
 # ---------------------------------------------------------------- 9
 
 
