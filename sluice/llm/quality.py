@@ -4,7 +4,9 @@ The model is made of character n-grams of order ``ORDER`` for each language: the
 bounded by the language, not by the corpus, and they see broken words, stray signs and odd
 case where a word model sees only unknown words. It is trained on the whole texts of all
 documents labelled quality = 1, but for those held out to set the thresholds; no n-gram is
-sampled or pruned.
+sampled or pruned, and every code point of trusted text is told from every other. Where there
+are more than ``ALPHABET`` of them, over all languages, the rarest are written as two signs each:
+``ORDER`` signs then span fewer of these letters, and a perplexity is that of a sign.
 
 Counts are summed per (language, n-gram); each lower order counts the distinct n-grams that
 extend it to the left. Discounts come from the counts of counts of each language and order.
@@ -42,7 +44,7 @@ from .common import code_points, documents, maybe_broadcast, shared_dir, slices,
 
 ORDER = 5
 BITS = 12
-#: Ids: 0 before a text, 1 after it, 2 any sign outside the alphabet, then the alphabet.
+#: Ids: 0 before a text, 1 after it, 2 any sign that trusted text doesn't have, then the alphabet.
 START, END, OTHER, FIRST = 0, 1, 2, 3
 ALPHABET = (1 << BITS) - FIRST
 QUANTILE = 0.99
@@ -53,7 +55,7 @@ HELD_NGRAMS = 8_000_000
 
 
 def alphabet(trusted: DataFrame) -> list[int]:
-    """The most frequent code points of trusted text, ties by code point."""
+    """All code points of trusted text, the most frequent first, ties by code point."""
 
     def count(batches):
         total = np.zeros(0x110000, np.int64)
@@ -63,13 +65,31 @@ def alphabet(trusted: DataFrame) -> list[int]:
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(total[seen], pa.int64())], ["c", "n"])
 
-    rows = trusted.select("text").mapInArrow(count, "c long, n long").groupBy("c").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "c").limit(ALPHABET).select("c").collect()
+    rows = trusted.select("text").mapInArrow(count, "c long, n long").groupBy("c").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "c").select("c").collect()
     return [r[0] for r in rows]
 
 
+def signs(letters: list[int]) -> tuple[int, int]:
+    """(letters that have an id of their own, ids of each half of the others): a letter beyond the ids is two signs."""
+    if len(letters) <= ALPHABET:
+        return len(letters), 0
+    half = next(t for t in range(1, ALPHABET // 2 + 1) if t * t >= len(letters) - (ALPHABET - 2 * t))
+    return ALPHABET - 2 * half, half
+
+
+def unseen_p(letters: list[int]) -> float:
+    own, half = signs(letters)
+    return 1.0 / (own + 2 * half + 2)
+
+
 def ids_table(letters: list[int]) -> np.ndarray:
+    """Code point -> its id, and above ``BITS`` bits the id that follows it if it is two signs."""
     table = np.full(0x110000, OTHER, np.int64)
-    table[np.array(letters, np.int64)] = np.arange(FIRST, FIRST + len(letters))
+    own, half = signs(letters)
+    table[np.array(letters[:own], np.int64)] = np.arange(FIRST, FIRST + own)
+    if half:
+        rest = np.arange(len(letters) - own)
+        table[np.array(letters[own:], np.int64)] = FIRST + own + rest // half | (FIRST + own + half + rest % half) << BITS
     return table
 
 
@@ -77,6 +97,13 @@ def n_grams(texts: list[str], table: np.ndarray, order: int = ORDER) -> tuple[np
     """(n-gram ending at each sign, its text), the sign after each text included."""
     codes = table[code_points("".join(texts))]
     size = np.fromiter(map(len, texts), np.int64, len(texts))
+    two = codes >> BITS > 0
+    if two.any():
+        size = np.bincount(np.repeat(np.arange(len(texts)), size), 1 + two, len(texts)).astype(np.int64)
+        second = np.cumsum(1 + two)[two] - 1
+        after = codes[two] >> BITS
+        codes = np.repeat(codes & ((1 << BITS) - 1), 1 + two)
+        codes[second] = after
     step = size + order
     ends = np.cumsum(step)
     line = np.full(ends[-1] if len(ends) else 0, START, np.int64)
@@ -146,7 +173,7 @@ def model(trusted: DataFrame, letters: list[int], order: int = ORDER) -> DataFra
         totals = table.groupBy("lang", "h").agg(F.sum("c").alias("total"), (F.sum("d") / F.sum("c")).alias("g"))
         table = table.join(totals, ["lang", "h"])
         if k == 1:
-            lower = F.lit(1.0 / (len(letters) + 2))
+            lower = F.lit(unseen_p(letters))
         else:
             table = table.join(below.select("lang", F.col("gram").alias("suffix"), F.col("p").alias("lower")), (table["lang"] == below["lang"]) & (F.col("gram").bitwiseAND((1 << (BITS * (k - 1))) - 1) == F.col("suffix"))).drop(below["lang"])
             lower = F.col("lower")
@@ -164,7 +191,7 @@ class Scorer:
         self.folder, self.langs, self.order = folder, langs, order
         self.tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         self.ids = ids_table(letters)
-        self.unseen = -math.log(len(letters) + 2)
+        self.unseen = math.log(unseen_p(letters))
 
     def _table(self, part: int) -> tuple[np.ndarray, np.ndarray]:
         if part not in self.tables:
@@ -267,7 +294,7 @@ def score_sharded(docs: DataFrame, fitted: DataFrame, letters: list[int], order:
         hit = joined.where("lp is not null").select("doc_id", "lang", "key", "n", (F.col("s") + F.col("lp")).alias("s"))
         done = hit if done is None else done.unionByName(hit)
         left = joined.where("lp is null").drop("lp").withColumn("of", F.shiftright("gram", BITS)).join(table(True), ["lang", "of"], "left").withColumn("s", F.col("s") + F.coalesce("lp", F.lit(0.0))).drop("lp", "of")
-    done = done.unionByName(left.select("doc_id", "lang", "key", "n", (F.col("s") - math.log(len(letters) + 2)).alias("s")))
+    done = done.unionByName(left.select("doc_id", "lang", "key", "n", (F.col("s") + math.log(unseen_p(letters))).alias("s")))
     known = fitted.select("lang").distinct()
     return done.join(known, "lang", "left_semi").groupBy("doc_id", "lang", "key").agg(F.exp(-F.sum(F.col("n") * F.col("s")) / F.sum("n")).alias("perplexity")).select("doc_id", "lang", "perplexity")
 

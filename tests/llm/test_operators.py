@@ -149,6 +149,27 @@ def test_quality_keeps_clean_and_drops_junk(spark):
     assert Counter(r["doc_id"] for r in joined.collect()).keys() == ids.keys()
 
 
+def test_quality_with_many_letters(spark):
+    """More letters than there are ids: a script outside of the most frequent ones is still learnt."""
+    rng = random.Random(31)
+    han, word = [chr(0x4E00 + i) for i in range(9000)], "აბგდევზთ"
+    trusted = [(1, "zh", "".join(han * 20)), (2, "ka", word * 9)]
+    junk = list(word * 9)
+    rng.shuffle(junk)
+    docs = [(3, "ka", word * 5), (4, "ka", "".join(junk)), (5, "zh", "".join(han[100:140])), (6, "zh", "".join(han[8900:8940][::-1])), (7, "ka", "ჩ" * 40), (8, "ka", "")]
+    make = lambda rows: spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    letters = quality.alphabet(make(trusted))
+    assert set(letters) == {ord(c) for _, _, text in trusted for c in text}
+    codes = quality.ids_table(letters)[np.array(letters)]
+    assert len(set(codes.tolist())) == len(letters) and quality.OTHER not in codes
+    grams, doc = quality.n_grams(["აბ", "", "ა"], quality.ids_table(letters))
+    assert np.bincount(doc).tolist() == [5, 1, 3] and grams[-1] & 0xFFF == quality.END
+    fitted = quality.model(make(trusted), letters)
+    held, sharded = ({r["doc_id"]: r["perplexity"] for r in score(make(docs), fitted, letters).collect()} for score in (quality.score_held, quality.score_sharded))
+    assert held == pytest.approx(sharded)
+    assert held[3] * 2 < held[4] and held[5] * 2 < held[6] and held[3] * 2 < held[7]
+
+
 # ---------------------------------------------------------------- 3
 
 
