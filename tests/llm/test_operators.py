@@ -296,11 +296,44 @@ def test_toxicity_on_held_out(spark):
     assert toxicity.toxic_documents(docs.limit(0), labels).isEmpty()
 
 
-def test_risk_is_not_driven_below_zero():
+def brute_risk(positive, unlabelled, w, b, prior):
+    """(pi R_p(+), R_u(-) - pi R_p(-)) with the logistic loss, document by document."""
+    score = lambda s: b + sum(w[i] for i in s)
+    loss = lambda z: math.log1p(math.exp(-z))
+    mean = lambda values: sum(values) / len(values)
+    return prior * mean([loss(score(s)) for s in positive]), mean([loss(-score(s)) for s in unlabelled]) - prior * mean([loss(-score(s)) for s in positive])
+
+
+@pytest.mark.parametrize("bias", [-2.0, 0.5])
+def test_risk_and_gradient(bias):
+    """Against sums over documents, and the gradient against differences; below 0 that of the negatives' part is reversed."""
+    rng = np.random.default_rng(7)
+    positive, unlabelled = ([rng.choice(12, rng.integers(1, 6), replace=False).astype(np.int32) for _ in range(n)] for n in (30, 50))
+    signs = set()
+    for prior in (0.2, 0.9):
+        w = rng.random(12)
+        if prior == 0.9:  # the positives' features speak, so that the negatives' part falls below 0
+            unlabelled = [s[:1] % 3 for s in unlabelled]
+            w[:3] = 0
+        value, negative, g, gb = toxicity.risk(toxicity.Bags(positive), toxicity.Bags(unlabelled), w, bias, prior)
+        first, second = brute_risk(positive, unlabelled, w, bias, prior)
+        assert value == pytest.approx(first + max(0, second)) and negative == pytest.approx(second)
+        signs.add(second >= 0)
+        step = (lambda w, b: sum(brute_risk(positive, unlabelled, w, b, prior))) if second >= 0 else (lambda w, b: -brute_risk(positive, unlabelled, w, b, prior)[1])  # noqa: B023
+        for i in range(12):
+            e = np.eye(12)[i] * 1e-5
+            assert g[i] == pytest.approx((step(w + e, bias) - step(w - e, bias)) / 2e-5, abs=1e-6)
+        assert gb == pytest.approx((step(w, bias + 1e-5) - step(w, bias - 1e-5)) / 2e-5, abs=1e-6)
+    assert signs == {True, False}
+
+
+def test_fit_weighs_what_speaks_for_toxicity():
     rng = np.random.default_rng(7)
-    sets = [rng.integers(0, 50, 8) for _ in range(80)]
-    model = toxicity.fit(sets[:40], sets[40:], 0.3)
-    assert np.isfinite(model.weights).all() and (model.weights >= 0).all() and math.isfinite(model.bias)
+    clean = [rng.integers(0, 50, 8).astype(np.int32) for _ in range(120)]
+    toxic = [np.append(rng.integers(0, 50, 8), 77).astype(np.int32) for _ in range(40)]
+    model = toxicity.fit(toxic[:20], toxic[20:] + clean, 0.14)
+    assert (model.values > 0).all() and model.weights[77] == model.weights.max() > -model.bias > 0
+    assert not len(toxicity.fit([], clean, 0.1).values) and not len(toxicity.fit(toxic, [], 0.1).values)
 
 
 # ---------------------------------------------------------------- 6
