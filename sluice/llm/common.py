@@ -6,6 +6,7 @@ character is a handful of vectorised numpy steps instead of Python objects.
 
 from __future__ import annotations
 
+import math
 import os
 import tempfile
 import unicodedata
@@ -21,12 +22,14 @@ from pyspark.sql import functions as F
 
 U64 = np.uint64
 BASE = U64(0x9E3779B97F4A7C15 | 1)
-#: Code points above this are no letters that any of the operators looks at.
-TOP = 0x40000
+#: All code points are below this.
+TOP = 0x110000
 #: Characters that are worked on at once; a longer text is a chunk of its own.
 CHUNK_CHARS = 1_000_000
 #: A table of at most this many bytes may be broadcast; beyond it the join shuffles.
 BROADCAST_BYTES = 64 << 20
+#: Bytes of records that a task works on at once after a packed exchange.
+PART_BYTES = 32 << 20
 
 
 # ---------------------------------------------------------------- storage
@@ -59,6 +62,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def filesystem(uri: str):
+    """(file system, path) of a folder that Spark names, for reading and writing in Python workers."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A name for a helper column that no column of ``df`` has."""
     taken = {c.lower() for c in df.columns}
@@ -106,9 +116,13 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 @lru_cache(1)
 def word_table() -> np.ndarray:
-    """Code point -> its lower-case form for letters, marks and digits; 0 for all else."""
+    """Code point -> its lower-case form for letters, marks and digits; 0 for all else.
+
+    A letter whose lower case is longer than one character stays as it is. No plane between the
+    third and the fourteenth has a character.
+    """
     table = np.zeros(TOP, np.uint32)
-    for c in range(TOP):
+    for c in (*range(0x40000), *range(0xE0000, 0xE0200)):
         if unicodedata.category(chr(c))[0] in "LNM":
             low = chr(c).lower()
             table[c] = ord(low) if len(low) == 1 else c
@@ -233,21 +247,40 @@ def parts(texts, most: int = CHUNK_CHARS) -> Iterator[tuple[int, list[str]]]:
 # ---------------------------------------------------------------- packed exchange
 
 
-def packed_exchange(df: DataFrame, emit, width: int, flush_rows: int = 1 << 20) -> DataFrame:
+def plan_bytes(df: DataFrame) -> int:
+    """The size of ``df`` as the optimizer estimates it from its files; 0 where it can't."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < 1 << 60 else 0
+
+
+def partitions(df: DataFrame, growth: float = 1.0, most: int = PART_BYTES) -> int:
+    """Partitions for ``growth`` times the bytes of ``df``, ``spark.sql.shuffle.partitions`` at least."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(plan_bytes(df) * growth / most))
+
+
+def packed_exchange(df: DataFrame, emit, width: int, flush_rows: int = 1 << 20, growth: float = 1.0, route=None) -> DataFrame:
     """Shuffle fixed-width records in binary blocks instead of rows.
 
     ``emit(record batch)`` yields int64 arrays of shape (n, width) whose first column is the
-    key; records of equal key end in the same partition of the result, (part, data). Millions
-    of small records then cost their own bytes and no object or row each. There are as many
-    partitions as ``spark.sql.shuffle.partitions``; read them with :func:`each_partition`.
+    key; records of equal key end in the same partition of the result, (part, data), or those
+    for which ``route(records)``, 64-bit hashes, is equal. Millions of small records then cost
+    their own bytes and no object or row each. Records that repeat within a block are sent once,
+    so that a key of many copies doesn't weigh more than its different records. The partitions
+    follow the data (``growth`` is the records' size in sizes of ``df``); read them with
+    :func:`each_partition`.
     """
-    count = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    count = partitions(df, growth)
 
     def blocks(held: list[np.ndarray]) -> pa.RecordBatch:
         rows = np.concatenate(held)
-        part = (mix(rows[:, 0].view(U64)) % U64(count)).astype(np.int64)
-        order = np.argsort(part, kind="stable")
-        rows, part = rows[order], part[order]
+        part = (route(rows) if route else mix(rows[:, 0].view(U64))) % U64(count)
+        whole = rows[:, 0].view(U64)
+        for k in range(1, width):
+            whole = mix(whole) ^ rows[:, k].view(U64)
+        order = np.lexsort((mix(whole), part)) if count >= 1 << 20 else np.argsort((part << U64(44)) | (mix(whole) >> U64(20)))
+        rows, part = rows[order], part[order].astype(np.int64)
+        new = np.concatenate([[True], (rows[1:] != rows[:-1]).any(axis=1)])
+        rows, part = rows[new], part[new]
         ids, first = np.unique(part, return_index=True)
         ends = [*first[1:], len(part)]
         data = [rows[a:b].tobytes() for a, b in zip(first, ends)]

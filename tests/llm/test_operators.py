@@ -40,48 +40,70 @@ def brute_spans(rows, items, n=8, least=5):
         if doc is None or not text:
             continue
         w, words = Words([text]), words_of(text)
-        for item, passage in items:
-            p = words_of(passage or "")
-            if item is None or len(p) < least:
-                continue
-            k = min(n, len(p))
-            wanted = {tuple(p[i : i + k]) for i in range(len(p) - k + 1)}
+        lines = np.cumsum([c == "\n" for c in text])[w.start].tolist() if len(w.start) else []
+        for item in {i for i, _ in items if i is not None}:
+            wanted = set()
+            for p in (words_of(passage or "") for i, passage in items if i == item):
+                k = min(n, len(p))
+                wanted |= {tuple(p[i : i + k]) for i in range(len(p) - k + 1) if k}
+            found = []
+            for i in range(len(words)):
+                for k in {len(p) for p in wanted}:
+                    whole = i + k <= len(words) and lines[i] == lines[i + k - 1] and (not i or lines[i - 1] < lines[i]) and (i + k == len(words) or lines[i + k] > lines[i])
+                    if tuple(words[i : i + k]) in wanted and (k >= least or whole):
+                        found.append((i, k))
             now = None
-            for i in range(len(words) - k + 1):
-                if tuple(words[i : i + k]) in wanted:
-                    if now and i <= now[2]:
-                        now[1], now[2], now[3] = int(w.end[i + k - 1]), i + k, now[3] + 1
-                    else:
-                        if now:
-                            out.append((doc, item, now[0], now[1], now[3]))
-                        now = [int(w.start[i]), int(w.end[i + k - 1]), i + k, 1]
+            for i, k in sorted(found):
+                if now and i <= now[2]:
+                    now[1], now[2], now[3] = max(now[1], int(w.end[i + k - 1])), max(now[2], i + k), now[3] + 1
+                else:
+                    if now:
+                        out.append((doc, item, now[0], now[1], now[3]))
+                    now = [int(w.start[i]), int(w.end[i + k - 1]), i + k, 1]
             if now:
                 out.append((doc, item, now[0], now[1], now[3]))
     return sorted(out)
 
 
-def test_decontaminate(spark):
+@pytest.mark.parametrize("item_bytes", [1 << 20, 150])
+def test_decontaminate(spark, monkeypatch, item_bytes):
+    """With one automaton, and with the items in parts."""
+    monkeypatch.setattr(decontaminate, "ITEM_BYTES", item_bytes)
     rng = random.Random(1)
-    items = [(1, prose(rng, 30)), (2, "Six short words of one item"), (3, "too short"), (4, None), (None, prose(rng, 20)), (5, prose(rng, 30)), (6, "")]
+    items = [(1, prose(rng, 30)), (2, "Six short words of one item"), (3, "too short"), (4, None), (None, prose(rng, 20)), (5, prose(rng, 30)), (6, ""), (8, "42"), (8, "seven"), (9, "x y z " * 9)]
     items.append((7, items[0][1]))
     rows = [(i, prose(rng, 60)) for i in range(12)]
     rows[2] = (2, rows[2][1] + "! " + items[0][1].upper().replace(" ", ",\n ") + " und weiter")
     rows[3] = (3, "SIX short -- words of one ITEM, six short words of one item")
     rows[4] = (4, " ".join(items[5][1].split()[3:14]) + " é́ " + prose(rng, 5))
     rows[5] = (5, " ".join(items[5][1].split()[:7]))
+    rows += [(20, "an answer\n (42)\nis it"), (21, "it is 42\n42 it is\ntoo short a line\n"), (22, "Too, short!"), (23, "a\n\nseven\n\ntoo\nshort"), (24, "x y z " * 7), (25, "a\U000e0101b six short words of one item\U000e0101"), (26, "İ six short words of one item")]
     rows += [(2, rows[2][1]), *ODD]
-    benchmark = table(spark, items, "item_id long, text string, doc_id long")
+    benchmark = table(spark, items, "item_id long, text string, doc_id long, part int")
     found = decontaminate.contaminated_spans(table(spark, rows), benchmark)
-    assert sorted(tuple(r) for r in found.collect()) == brute_spans(rows, items)
+    expected = brute_spans(rows, items)
+    assert sorted(tuple(r) for r in found.collect()) == expected and {20, 21, 22, 23} & {d for d, *_ in expected} == {20, 22, 23}
     docs = table(spark, rows)
     kept = decontaminate.decontaminate(docs, benchmark)
     assert kept.columns == docs.columns
-    leaking = {d for d, *_ in brute_spans(rows, items)}
+    leaking = {d for d, *_ in expected}
     assert sorted(map(str, (r["doc_id"] for r in kept.collect()))) == sorted(str(i) for i, _ in rows if i not in leaking)
     assert decontaminate.contaminated_spans(docs, benchmark.limit(0)).isEmpty() and decontaminate.decontaminate(docs, benchmark.limit(0)).count() == len(rows)
     assert decontaminate.contaminated_spans(docs.limit(0), benchmark).isEmpty()
 
 
+#: More than a batch of characters.
+LONG = ("lorem w1x w2x é " * 75_000)[:-1]
+
+
+def test_decontaminate_long_text(spark):
+    text = LONG + "\nsix short words of one item\n" + LONG + "\n42"
+    benchmark = table(spark, [(2, "Six short words of one item"), (8, "42")], "item_id long, text string")
+    found = decontaminate.contaminated_spans(table(spark, [(30, text), (31, LONG)]), benchmark)
+    at = len(LONG) + 1
+    assert len(LONG) > 1_000_000 and sorted(tuple(r) for r in found.collect()) == [(30, 2, at, at + 27, 1), (30, 8, len(text) - 2, len(text), 1)]
+
+
 # ---------------------------------------------------------------- 2
 
 
@@ -369,20 +391,42 @@ def test_integral_image_filters():
         assert bits == int(got[at])
 
 
-def test_alignment(spark):
+def brute_alignments(prints, queries):
+    """{(query, id): (offset, overlap, votes, error)} over every pair at every offset."""
+    out = {}
+    for i in queries:
+        for j in prints:
+            a, b, ranks = prints[i], prints[j], []
+            for offset in range(-len(b), len(a) + 1) if i != j else ():
+                error, n = fingerprint.bit_error(a, b, offset)
+                if error <= fingerprint.MAX_ERROR and n >= fingerprint.LEAST_OVERLAP:
+                    votes = sum(int(a[t + o] == b[t]) for o in (offset - 1, offset, offset + 1) for t in range(len(b)) if 0 <= t + o < len(a))
+                    ranks.append((votes, -error, -abs(offset), offset, n))
+            if ranks:
+                votes, error, _, offset, n = max(ranks)
+                out[i, j] = offset, n, votes, pytest.approx(-error)
+    return out
+
+
+def test_search(spark):
     rng = np.random.default_rng(9)
     base = fingerprint.render(rng.normal(0, 0.2, 64))
     other = [fingerprint.render(rng.normal(0, 0.2, 64)) for _ in range(6)]
     shift = 8 * fingerprint.HOP
     noisy = np.clip(base + rng.normal(0, 0.003, len(base)), -1, 1)
-    media = [(1, fingerprint.wav(base)), (2, fingerprint.wav(base)), (3, fingerprint.wav(base[shift:])), (4, fingerprint.wav(noisy))] + [(10 + i, fingerprint.wav(x)) for i, x in enumerate(other)]
-    media += [(None, fingerprint.wav(base)), (50, None), (51, b""), (52, b"no sound"), (53, fingerprint.wav(base[:100])), (54, fingerprint.wav(np.zeros(8000))), (1, fingerprint.wav(base))]
-    prints = fingerprint.fingerprints(table(spark, media, "id long, media binary, fingerprint string"))
-    assert {r["id"] for r in prints.collect()} == {1, 2, 3, 4, 53, 54, *range(10, 16)}
-    found = {(r["id_a"], r["id_b"]): (r["offset"], r["error"]) for r in fingerprint.alignments(prints).collect()}
-    assert found[1, 2] == (0, 0.0) and found[1, 3][0] == 8 and found[1, 3][1] < 0.05 and found[1, 4][0] == 0
-    assert set(found) == {(1, 2), (1, 3), (1, 4), (2, 3), (2, 4), (3, 4)}
-    assert fingerprint.alignments(prints.limit(0)).isEmpty()
+    sounds = {1: base, 2: base, 3: base[shift:], 4: noisy, 60: np.zeros(16000), 61: np.zeros(20000), 62: np.zeros(16000), **{10 + i: x for i, x in enumerate(other)}, 53: base[:100], 54: np.zeros(4000)}
+    media = [(i, fingerprint.wav(x)) for i, x in sounds.items()] + [(None, fingerprint.wav(base)), (50, None), (51, b""), (52, b"no sound"), (1, fingerprint.wav(base)), (3, fingerprint.wav(base[shift:])), (3, fingerprint.wav(other[0]))]
+    prints = {i: fingerprint.fingerprint(*fingerprint.pcm(fingerprint.wav(x))) for i, x in sounds.items()}
+    prints[3] = min(prints[3], fingerprint.fingerprint(*fingerprint.pcm(fingerprint.wav(other[0]))), key=lambda f: f.astype("<u4").tobytes())
+    first = {i: min(j for j, g in prints.items() if f.tobytes() == g.tobytes()) if len(f) else None for i, f in prints.items()}
+    single = {i: f for i, f in prints.items() if first[i] == i}
+    for divisor in (1, 2, 7):
+        aligned = brute_alignments(single, {first[i] for i in prints if i % divisor == 0} - {None})
+        found = fingerprint.searched(table(spark, media, "id long, media binary, fingerprint string, class_id string, asked int"), F.col("id") % divisor == 0).collect()
+        assert {(r["id"], r["class_id"], bytes(r["fingerprint"])) for r in found} == {(i, first[i], f.astype("<u4").tobytes()) for i, f in prints.items()}
+        assert {(r["id"], r["other"]): (r["offset"], r["overlap"], r["votes"], r["error"]) for r in found if r["other"] is not None} == aligned
+        assert len(found) == len(prints) - len({i for i, _ in aligned}) + len(aligned)
+    assert fingerprint.searched(table(spark, [], "id long, media binary"), F.col("id") % 2 == 0).isEmpty()
 
 
 def test_alignment_misses_no_pair(spark):
@@ -397,17 +441,9 @@ def test_alignment_misses_no_pair(spark):
             if len(prints) % 3 == 0:
                 prints[-1] = prints[-1][rng.integers(0, 4) :][:22]
     rows = [(i, bytearray(f.astype("<u4").tobytes())) for i, f in enumerate(prints)]
-    expected = {}
-    for i, a in enumerate(prints):
-        for j in range(i + 1, len(prints)):
-            b = prints[j]
-            for offset in range(-len(b), len(a) + 1):
-                error, n = fingerprint.bit_error(a, b, offset)
-                if error <= fingerprint.MAX_ERROR and n >= fingerprint.LEAST_OVERLAP:
-                    expected.setdefault((i, j), {})[offset] = (n, error)
-    found = {(r["id_a"], r["id_b"]): r for r in fingerprint.alignments(spark.createDataFrame(rows, "id long, fingerprint binary")).collect()}
-    assert len(expected) > 60 and set(found) == set(expected)
-    assert all(expected[k][r["offset"]] == (r["overlap"], r["error"]) for k, r in found.items())
+    expected = brute_alignments(dict(enumerate(prints)), range(len(prints)))
+    found = {(r["query"], r["id"]): (r["offset"], r["overlap"], r["votes"], r["error"]) for r in fingerprint.alignments(spark.createDataFrame(rows, "id long, fingerprint binary")).collect()}
+    assert len(expected) > 120 and found == expected
 
 
 # ---------------------------------------------------------------- 7
@@ -590,26 +626,58 @@ def near_rows():
     return [(i, changed(rng.choice(base))) for i in range(220)] + [(300 + i, base[3] + " ." * i) for i in range(40)] + [(600, prose(rng, 5000)), *ODD, (901, "")]
 
 
-@pytest.mark.parametrize("points", [8_000, 20])
-def test_jaccard_join(spark, monkeypatch, points):
-    monkeypatch.setattr(jaccard_join, "REGION_POINTS", points)
-    rows = near_rows()
-    found = jaccard_join.near_duplicates(table(spark, rows))
-    got = {(r["doc_a"], r["doc_b"]): r["jaccard"] for r in found.collect()}
-    assert got == pytest.approx(brute_pairs(rows)) and found.count() == len(got)
+def brute_links(rows, threshold=jaccard_join.THRESHOLD):
+    """(doc_id, class_id, links) of every document and different text."""
+    entries = sorted({(d, grams(t)) for d, t in rows if d is not None and grams(t)}, key=lambda e: (e[0], sorted(e[1])))
+    sets = sorted({s for _, s in entries}, key=sorted)
+    close = {s: [t for t in sets if t != s and len(s & t) / len(s | t) >= threshold] for s in sets}
+    holders = Counter(s for _, s in entries)
+    low = {s: min(d for d, t in entries if t == s) for s in sets}
+    for _ in sets:
+        low = {s: min([low[s], *(low[t] for t in close[s])]) for s in sets}
+    return Counter((d, low[s], holders[s] - 1 + sum(holders[t] for t in close[s])) for d, s in entries)
+
+
+@pytest.mark.parametrize("points, grams, hot", [(8_000, 1 << 20, 1 << 22), (20, 1 << 20, 1 << 22), (8_000, 900, 1 << 22), (30, 2000, 3)])
+def test_jaccard_join(spark, monkeypatch, tmp_path, points, grams, hot):
+    """In one task a region, in cells by points and by n-grams, and with blocks too large to gather."""
+    for name, value in (("REGION_POINTS", points), ("REGION_GRAMS", grams), ("HOT_CLASSES", hot)):
+        monkeypatch.setattr(jaccard_join, name, value)
+    rows = [*near_rows(), (5, "another text of an id that has one"), (5, "another text of an id that has one")]
+    table(spark, rows).drop("`line.no`").write.parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs")
+    if hot == 3:
+        assert len(jaccard_join.hot_grams(docs.select("doc_id", "text").where("text is not null and doc_id is not null"), 3, 0.6, 0.2)) > 10
+    found = jaccard_join.near_duplicates(docs)
+    assert Counter(tuple(r) for r in found.collect()) == brute_links(rows)
+    assert jaccard_join.near_duplicates(docs.limit(0)).isEmpty()
 
 
 def test_regions_are_exact():
     rng = np.random.default_rng(15)
     base = [np.unique(rng.integers(0, 4000, 60)) for _ in range(20)]
     sets = [np.unique(np.where(rng.random(len(b)) < rng.choice([0, 0.05, 0.2]), rng.integers(0, 4000, len(b)), b)) for b in base for _ in range(20)]
-    expected = {}
-    for i, a in enumerate(sets):
-        for j in range(i + 1, len(sets)):
-            both = len(np.intersect1d(a, sets[j]))
-            if both / (len(a) + len(sets[j]) - both) >= 0.7:
-                expected[i, j] = both / (len(a) + len(sets[j]) - both)
-    assert jaccard_join.close_pairs(sets, 0.7) == pytest.approx(expected)
+    sets += [np.unique(np.append(base[0][: 30 + i % 30], 5000 + i % 7)) for i in range(60)]
+    similar = {(i, j) for i, a in enumerate(sets) for j in range(i + 1, len(sets)) if (both := len(np.intersect1d(a, sets[j]))) / (len(a) + len(sets[j]) - both) >= 0.7}
+    assert jaccard_join.close_pairs(sets, 0.7) == similar
+    # two sides, weights, and pairs that another region has
+    side, weight = np.arange(len(sets)) % 3 == 0, rng.integers(1, 5, len(sets))
+    earlier = [np.array([i % 5] if i % 2 else [], np.int64) for i in range(len(sets))]
+    region = jaccard_join.Region(sets, 0.7, weight, earlier, side)
+    region.join(np.arange(len(sets)))
+    left = [(i, j) for i, j in similar if side[i] != side[j] and not (i % 2 and j % 2 and i % 5 == j % 5)]
+    links = np.zeros(len(sets), np.int64)
+    for i, j in left:
+        links[i] += weight[j]
+        links[j] += weight[i]
+    assert region.links.tolist() == links.tolist() and region.inferred > 0
+    label = {}
+    for i, j in sorted(left):
+        label.setdefault(i, i), label.setdefault(j, j)
+    for _ in label:
+        for i, j in left:
+            label[i] = label[j] = min(label[i], label[j])
+    assert all(region.label[i] == label.get(i, i) for i in range(len(sets)))
 
 
 def groups(pairs):
