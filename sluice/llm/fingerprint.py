@@ -11,19 +11,23 @@ with ``LEAST_OVERLAP`` common steps or more. Of such offsets the histogram of eq
 decides: the one with the most of them is the alignment (offsets at most ``NEAR_OFFSETS`` steps
 apart count together), then the one with the least error, then the nearest to 0.
 
-Every pair is looked at at every offset, so none is missed and the work grows with the square of
-the number of recordings. No probe by equal integers would be whole: an alignment at the limit
-may have no step with fewer than four unequal bits, and nearly all unrelated pairs have steps as
-near as that. Bits as -1 and 1 are correlated in blocks of recordings by Fourier transform, which
-gives the unequal bits at all offsets at once; what reaches the limit is counted again in bits.
+The search takes stated recordings as queries, against all recordings. Recordings of equal
+fingerprints are one class, which its smallest id stands for. Every query is compared with every
+class at every offset, so that no alignment is missed: no probe by equal integers would be whole,
+as an alignment at the limit may have no step with fewer than four unequal bits, and nearly all
+unrelated pairs have steps as near as that. Bits as -1 and 1 are correlated in blocks of queries
+and blocks of recordings by Fourier transform, which gives the unequal bits at all offsets at
+once; what reaches the limit is counted again in bits. Blocks have bounded size, whatever
+recordings are alike, so no kind of recording makes a task larger.
 
 The tables have no audio, so :func:`tones` renders one: each value of an embedding is a note.
 
 Cases: null ids or media and what is no 16-bit PCM WAV have no fingerprint; recordings shorter
 than a window have an empty one, which aligns with nothing; several channels are averaged;
-silence (no energy) is a frame of zeros; rows that repeat an id are one recording each and
-aren't aligned with their own id; equal recordings align at offset 0. Other columns are not
-looked at.
+silence (no energy) is a frame of zeros and aligns with other silence, as equal steps do;
+of rows that repeat an id the recording with the least fingerprint (as bytes) counts; equal recordings
+are of one class; offsets of equal rank are decided by the greater one; recordings of any length are
+taken whole; an empty table gives an empty result. Other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -37,10 +41,10 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, shared_dir, written
+from .common import documents, filesystem, shared_dir, written
 
 RATE = 4_000
 NOTE_SECONDS = 0.125
@@ -54,6 +58,8 @@ GRAY = np.array([0, 1, 3, 2], np.uint32)
 MAX_ERROR = 0.15
 LEAST_OVERLAP = 16
 NEAR_OFFSETS = 1
+#: Recordings whose id this divides are the queries of the registered search.
+EVERY = 50
 #: Recordings that are rendered at once.
 BATCH = 64
 #: Integers of a block of recordings; pairs times offsets that are correlated at once.
@@ -183,20 +189,26 @@ def bit_error(a: np.ndarray, b: np.ndarray, offset: int) -> tuple[float, int]:
     return float(np.bitwise_count(a[start + offset : stop + offset] ^ b[start:stop]).sum()) / (32 * n), n
 
 
-def _blocks(prints: DataFrame, least_overlap: int) -> tuple[str, int]:
-    """(folder, number of blocks): the prints in files of about ``BLOCK`` integers, of like lengths."""
+def classes(prints: DataFrame) -> DataFrame:
+    """(id, class_id, fingerprint) of each id: the smallest id with the same fingerprint; null for an empty one."""
+    once = prints.groupBy("id").agg(F.min("fingerprint").alias("fingerprint"))
+    first = once.where(F.octet_length("fingerprint") > 0).groupBy(F.sha2("fingerprint", 256).alias("k")).agg(F.min("id").alias("class_id"))
+    return once.withColumn("k", F.sha2("fingerprint", 256)).join(first, "k", "left").select("id", "class_id", "fingerprint")
+
+
+def _blocks(prints: DataFrame) -> tuple[str, int]:
+    """(folder, number of blocks): (id, fingerprint) in files of about ``BLOCK`` integers, of like lengths."""
     spark = prints.sparkSession
-    once = prints.dropDuplicates(["id"]).where(F.octet_length("fingerprint") >= 4 * least_overlap)
-    once = written(once.withColumn("size", F.ceil(F.log2(F.octet_length("fingerprint") / 4)).cast("int")), "recordings")
+    sized = prints.withColumn("size", F.ceil(F.log2(F.octet_length("fingerprint") / 4)).cast("int"))
     first, total = [], 0
-    for size, n in sorted((r[0], r[1]) for r in once.groupBy("size").count().collect()):
+    for size, n in sorted((r[0], r[1]) for r in sized.groupBy("size").count().collect()):
         blocks = -(-n * 2**size // BLOCK)
         first.append((size, total, blocks))
         total += blocks
     folder = f"{shared_dir(spark)}/fingerprint-blocks-{uuid.uuid4().hex}"
     if total:
         place = F.coalesce(*[F.when(F.col("size") == size, at + F.pmod(F.xxhash64("id"), F.lit(blocks))) for size, at, blocks in first])
-        once.select(place.alias("block"), "id", "fingerprint").repartition("block").write.partitionBy("block").parquet(folder)
+        sized.select(place.alias("block"), "id", "fingerprint").repartition(total, "block").write.partitionBy("block").parquet(folder)
     return folder, total
 
 
@@ -221,7 +233,7 @@ class Block:
 def _block(folder: str, block: int) -> Block:
     from pyarrow import dataset, fs
 
-    files, path = fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{folder}")
+    files, path = filesystem(folder)
     at = f"{path}/block={block}"
     if files.get_file_info(at).type == fs.FileType.NotFound:
         return Block(np.empty(0, np.int64), [])
@@ -261,29 +273,31 @@ def votes_near(a: np.ndarray, b: np.ndarray, offset: int) -> int:
     return out
 
 
-def alignments(prints: DataFrame, max_error: float = MAX_ERROR, least_overlap: int = LEAST_OVERLAP) -> DataFrame:
-    """(id_a, id_b, offset, overlap, votes, error) of recordings that align, id_a < id_b."""
+def alignments(prints: DataFrame, queries: Column | None = None, max_error: float = MAX_ERROR, least_overlap: int = LEAST_OVERLAP) -> DataFrame:
+    """(query, id, offset, overlap, votes, error): what each query aligns with, but for itself.
+
+    ``prints`` is (id, fingerprint) without repeats of ids; ``queries`` is a condition on its columns,
+    by default all. ``offset`` is where the first step of ``id`` meets the query.
+    """
     spark = prints.sparkSession
     least_overlap = max(1, least_overlap)
-    folder, blocks = _blocks(prints, least_overlap)
+    long = written(prints.where(F.octet_length("fingerprint") >= 4 * least_overlap), "recordings")
+    asked, lefts = _blocks(long if queries is None else long.where(queries))
+    folder, rights = _blocks(long)
 
     def meet(batches):
         for batch in batches:
             for number in batch.column("id").to_pylist():
-                x = (math.isqrt(8 * number + 1) - 1) // 2
-                y = number - x * (x + 1) // 2
-                left, right = _block(folder, x), _block(folder, y)
+                left, right = _block(asked, number % lefts), _block(folder, number // lefts)
                 if not left.prints or not right.prints:
                     continue
                 best = {}
                 for hits in close_offsets(left, right, max_error, least_overlap):
                     for i, j, offset in zip(*(h.tolist() for h in hits)):
                         a, b = int(left.ids[i]), int(right.ids[j])
-                        if a == b or (x == y and a > b):
+                        if a == b:
                             continue
                         f, g = left.prints[i], right.prints[j]
-                        if a > b:
-                            a, b, f, g, offset = b, a, g, f, -offset
                         error, n = bit_error(f, g, offset)
                         if error <= max_error and n >= least_overlap:
                             votes = votes_near(f, g, offset)
@@ -292,11 +306,11 @@ def alignments(prints: DataFrame, max_error: float = MAX_ERROR, least_overlap: i
                                 best[a, b] = rank, (a, b, offset, n, votes, error)
                 if best:
                     rows = zip(*(row for _, row in best.values()))
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.float64() if k == 5 else pa.int64()) for k, c in enumerate(rows)], ["id_a", "id_b", "offset", "overlap", "votes", "error"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.float64() if k == 5 else pa.int64()) for k, c in enumerate(rows)], ["query", "id", "offset", "overlap", "votes", "error"])
 
-    pairs = blocks * (blocks + 1) // 2
-    tasks = max(1, min(pairs, 8 * spark.sparkContext.defaultParallelism))
-    return spark.range(0, pairs, 1, tasks).mapInArrow(meet, "id_a long, id_b long, offset long, overlap long, votes long, error double")
+    pairs = lefts * rights
+    tasks = max(1, min(pairs, max(8 * spark.sparkContext.defaultParallelism, -(-pairs // 16))))
+    return spark.range(0, pairs, 1, tasks).mapInArrow(meet, "query long, id long, offset long, overlap long, votes long, error double")
 
 
 def tones(embeddings: DataFrame) -> DataFrame:
@@ -312,9 +326,20 @@ def tones(embeddings: DataFrame) -> DataFrame:
     return embeddings.select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("embedding")).mapInArrow(sound, "id long, media binary")
 
 
+def searched(media: DataFrame, queries: Column) -> DataFrame:
+    """(id, class_id, fingerprint, other, offset, overlap, votes, error).
+
+    Each recording has its fingerprint and its class. The class that a query is of has a row, under its
+    smallest id, for each class that it aligns with (``other``); all others have one without.
+    """
+    known = written(classes(fingerprints(media)), "fingerprints")
+    asked = known.where(queries).select(F.col("class_id").alias("id")).where("id is not null").distinct().withColumn("asked", F.lit(True))
+    single = known.where("id = class_id").select("id", "fingerprint").join(asked, "id", "left")
+    single = written(single.select("id", "fingerprint", F.coalesce("asked", F.lit(False)).alias("asked")), "recording-classes")
+    found = alignments(single, F.col("asked"))
+    return known.join(found.select(F.col("query").alias("id"), F.col("id").alias("other"), "offset", "overlap", "votes", "error"), "id", "left")
+
+
 def query(spark, sf_dir: str) -> DataFrame:
-    """Fingerprint and best alignment of every recording with another one, null where it has none."""
-    prints = written(fingerprints(tones(documents(spark, sf_dir, "embeddings"))), "fingerprints")
-    found = written(alignments(prints), "alignments")
-    either = found.select(F.col("id_a").alias("id"), F.col("id_b").alias("other"), "offset", "overlap", "error").unionByName(found.select(F.col("id_b").alias("id"), F.col("id_a").alias("other"), (-F.col("offset")).alias("offset"), "overlap", "error"))
-    return prints.select(F.col("id").alias("vec_id"), "fingerprint").join(either.withColumnRenamed("id", "vec_id"), "vec_id", "left")
+    """All recordings are fingerprinted; those whose id is divisible by ``EVERY`` are the queries against all."""
+    return searched(tones(documents(spark, sf_dir, "embeddings")), F.col("id") % EVERY == 0).withColumnRenamed("id", "vec_id")
