@@ -52,19 +52,42 @@ def _resolved(folder: Column, relative: Column) -> Column:
     return F.array_join(done, "/")
 
 
-def candidates(source: Column, target: Column, language: Column) -> Column:
-    """Paths, or ends of paths, that a target may stand for, the likeliest first."""
-    slash = F.regexp_replace(target, r"\.", "/")
-    folder = F.regexp_replace(source, r"/?[^/]*$", "")
-    dots = F.length(F.regexp_extract(target, r"^(\.+)", 1))
-    up = F.repeat(F.lit("../"), F.greatest(dots - 1, F.lit(0)))
-    name = F.regexp_replace(F.regexp_replace(target, r"^\.+", ""), r"\.", "/")
-    python = F.when(dots > 0, _resolved(folder, F.concat(up, name))).otherwise(slash)
-    python = F.transform(F.array(*[F.lit(x) for x in (".py", "/__init__.py", ".pyw")]), lambda e: F.concat(python, e))
-    script = F.when(target.startswith("."), _resolved(folder, target)).otherwise(target)
-    script = F.transform(F.array(*[F.lit(x) for x in ("", ".js", ".ts", ".jsx", ".tsx", "/index.js", "/index.ts")]), lambda e: F.concat(script, e))
-    jvm = lambda end: F.array(F.concat(slash, F.lit(end)))
-    return F.when(language == "python", python).when(language.isin("javascript", "typescript"), script).when(language == "java", jvm(".java")).when(language == "kotlin", F.concat(jvm(".kt"), jvm(".java"))).when(language == "csharp", jvm(".cs"))
+#: By language: what follows the place that an import names, the likeliest first.
+ENDINGS = {"python": (".py", "/__init__.py"), "java": (".java",), "kotlin": (".kt", ".java"), "csharp": (".cs",)}
+ENDINGS |= dict.fromkeys(("javascript", "typescript"), ("", ".js", ".ts", ".jsx", ".tsx", "/index.js", "/index.ts"))
+
+
+def candidates(named: DataFrame) -> DataFrame:
+    """(source, item, ord, end, exact): what each import may stand for, the likeliest first.
+
+    ``named`` has source, language, stmt and wanted. ``end`` is a path or the end of one, the
+    whole path where ``exact``; ``stem:x`` is any file of that stem. Items are resolved each on
+    its own: an import is one, and so is each name that ``from . import`` lists.
+    """
+    python, script = F.col("language") == "python", F.col("language").isin("javascript", "typescript")
+    relative, wanted, folder = F.startswith("wanted", F.lit(".")), F.col("wanted"), F.regexp_replace("source", r"/?[^/]*$", "")
+    # Dots of Python: the first is this folder, each further one the folder above.
+    bare = F.regexp_replace(wanted, r"^\.+", "")
+    below = F.when(python, F.concat(F.repeat(F.lit("../"), F.length(wanted) - F.length(bare) - 1), F.regexp_replace(bare, r"\.", "/"))).otherwise(wanted)
+    base = F.when(relative, _resolved(folder, below)).otherwise(F.regexp_replace(wanted, r"\.", "/"))
+    rows = named.where(~script | relative).select("source", "language", "stmt", "wanted", folder.alias("folder"), relative.alias("relative"), base.alias("base"))
+    endings = F.create_map(*[F.lit(x) if isinstance(x, str) else F.array(*map(F.lit, x)) for kv in ENDINGS.items() for x in kv])
+    whole = rows.select("source", F.col("stmt").alias("item"), (python & F.col("relative")).alias("exact"), "base", F.posexplode(endings[F.col("language")]).alias("ord", "ending"))
+    whole = whole.select("source", "item", "ord", F.concat("base", "ending").alias("end"), "exact")
+    absolute = rows.where(python & ~F.col("relative"))
+    first = F.regexp_extract("base", "^[^/]*", 0)
+    further = F.array(
+        F.struct(F.lit(2).alias("ord"), F.when(F.contains("base", F.lit("/")), F.concat(F.regexp_replace("base", "/[^/]*$", ""), F.lit(".py"))).alias("end"), F.lit(False).alias("exact")),
+        F.struct(F.lit(3).alias("ord"), F.concat(F.concat_ws("/", F.nullif("folder", F.lit("")), first), F.lit(".py")).alias("end"), F.lit(True).alias("exact")),
+        F.struct(F.lit(4).alias("ord"), F.concat(F.lit("stem:"), first).alias("end"), F.lit(False).alias("exact")),
+    )
+    further = absolute.select("source", F.col("stmt").alias("item"), F.inline(further)).where("end is not null")
+    # ``from . import a, b as c``: the package, by the rows above, and each name that is a file in it.
+    listed = F.split(F.regexp_replace(F.regexp_extract("stmt", r"(?s)\bimport\s+(.*)$", 1), r"[()\\\s]+", " "), ",")
+    names = rows.where(python & F.rlike("wanted", F.lit(r"^\.+$"))).select("source", "stmt", "base", F.explode(F.transform(listed, lambda n: F.regexp_extract(n, r"^\s*(\w+)", 1))).alias("name")).where("name <> ''")
+    names = names.select("source", F.concat_ws("\n", "stmt", "name").alias("item"), F.concat(F.concat_ws("/", F.nullif("base", F.lit("")), "name"), F.lit(".py")).alias("end"))
+    names = names.select("source", "item", F.lit(0).alias("ord"), "end", F.lit(True).alias("exact"))
+    return whole.unionByName(further).unionByName(names)
 
 
 def path_ends(files: DataFrame) -> DataFrame:
@@ -78,14 +101,19 @@ def edges_resolved(imports: DataFrame, files: DataFrame) -> DataFrame:
     """(source, target): each import's first candidate, whole paths before ends, then by path.
 
     imports: (path, language, stmt). ``x.*`` of the JVM links every file of that package's folder.
+    Of the files with one end only the two least can be chosen (two, as a file isn't linked to
+    itself); the others go before anything is joined, so that common ends don't fan out.
     """
-    named = imports.select(F.col("path").alias("source"), "language", "stmt", import_target(F.col("stmt"), F.col("language")).alias("wanted")).where("wanted is not null")
-    tried = named.where("not endswith(wanted, '*')").select("source", "stmt", F.posexplode(let(F.struct("source", "wanted", "language"), lambda i: candidates(i["source"], i["wanted"], i["language"]))).alias("ord", "end"))
-    found = tried.join(path_ends(files), "end").where("source <> path")
-    first = Window.partitionBy("source", "stmt").orderBy("ord", F.desc("whole"), "path")
+    named = imports.select(F.col("path").alias("source"), "language", "stmt", import_target(F.col("stmt"), F.col("language")).alias("wanted")).where("wanted is not null").distinct()
+    ends = path_ends(files).unionByName(files.select(F.concat(F.lit("stem:"), stem(F.col("path"))).alias("end"), "path", F.lit(False).alias("whole")))
+    least = Window.partitionBy("end").orderBy(F.desc("whole"), "path")
+    ends = ends.withColumn("n", F.row_number().over(least)).where("n <= 2").drop("n")
+    tried = candidates(named.where("not endswith(wanted, '*')"))
+    found = tried.join(ends, "end").where("source <> path and (whole or not exact)")
+    first = Window.partitionBy("source", "item").orderBy("ord", F.desc("whole"), "path")
     single = found.withColumn("n", F.row_number().over(first)).where("n = 1").select("source", F.col("path").alias("target"))
     folders = files.select("path", F.regexp_replace("path", r"/[^/]*$", "").alias("path_of")).where("path like '%/%'")
-    ends = path_ends(folders.select(F.col("path_of").alias("path")).distinct()).select("end", F.col("path").alias("path_of"))
+    package_ends = path_ends(folders.select(F.col("path_of").alias("path")).distinct()).select("end", F.col("path").alias("path_of"))
     package = named.where("endswith(wanted, '.*')").select("source", F.regexp_replace(F.expr("substring(wanted, 1, length(wanted) - 2)"), r"\.", "/").alias("end"))
-    wild = package.join(ends, "end").join(folders, "path_of").where("source <> path").select("source", F.col("path").alias("target"))
+    wild = package.join(package_ends, "end").join(folders, "path_of").where("source <> path").select("source", F.col("path").alias("target"))
     return single.unionByName(wild).distinct()
