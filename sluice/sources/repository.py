@@ -14,9 +14,12 @@ from __future__ import annotations
 
 import os
 import re
+import tempfile
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions.languages import ALIASES, NAMES, SUFFIXES, language_filter
@@ -24,7 +27,8 @@ from ..schemas import FILE
 
 MAX_BYTES = 512 * 1024
 SNIFFED = 8192
-SKIPPED = frozenset("__pycache__ bower_components build coverage dist env node_modules out site-packages target vendor venv".split()) | {"htmlcov", "jspm_packages"}
+#: Besides hidden folders and those of installed packages.
+SKIPPED = frozenset("__pycache__ build dist eggs node_modules venv".split())
 BINARY = frozenset("." + x for x in "7z a avi bin bmp bz2 class dll doc docx dylib eot exe flac gif gz ico jar jpeg jpg lib mkv mov mp3 mp4 o obj ogg otf pdf png pyc pyd pyo rar so tar tgz tif tiff ttf war wav webm webp whl woff woff2 xls xlsx xz zip".split())
 
 
@@ -183,3 +187,31 @@ def read_repository(spark: SparkSession, root: str, languages: str = "", **optio
     """(path, size, mtime_ns, content) of a source tree."""
     spark.dataSource.register(RepositorySource)
     return spark.read.format("repository").options(languages=languages, **options).load(root)
+
+
+def write_tree(files: DataFrame, folder: str) -> None:
+    """Write (path, content) below a folder that all executors share, each file by the task that has its row.
+
+    ``content`` is text or bytes; rows of equal path, of which any may be the last, are for the caller to avoid.
+    """
+
+    def write(rows):
+        for r in rows:
+            at = os.path.join(folder, r["path"])
+            os.makedirs(os.path.dirname(at), exist_ok=True)
+            with open(at, "wb") as f:
+                f.write(r["content"])
+
+    files.select("path", F.col("content").cast("binary").alias("content")).foreachPartition(write)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder for a tree, in the one that ``spark.checkpoint.dir`` names; a temporary one in local mode without it."""
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if at and re.match(r"file:|/", at):
+        out = os.path.join(re.sub(r"^file:(//)?", "", at), f"tree-{uuid.uuid4().hex}")
+        os.makedirs(out)
+        return out
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a mounted folder that all executors share")
+    return tempfile.mkdtemp(prefix="sluice-tree-")

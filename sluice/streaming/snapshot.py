@@ -1,8 +1,9 @@
 """Incremental state: which files changed since the last snapshot, and the next snapshot.
 
 A snapshot is a table of rows by ``path`` with ``size`` and ``mtime_ns`` (or a content hash). It
-is written under a version of its own and then named by a pointer file, so that a reader sees one
-snapshot or the other. A snapshot that can't be read is no snapshot.
+is written under a version of its own and then named by a pointer file, which is replaced in one
+step, so that a reader sees one snapshot or the other at any time. The snapshot before stays for
+those that still read it, and goes with the next. A snapshot that can't be read is no snapshot.
 """
 
 from __future__ import annotations
@@ -86,19 +87,26 @@ class Store:
             return empty
 
     def save(self, rows: DataFrame, filters: dict | None = None) -> DataFrame:
-        """Write a snapshot, then point to it, then drop the one before."""
-        before = self._pointer()
+        """Write a snapshot, then point to it, then drop the last but one."""
+        before = self._pointer() or {}
         name = f"snapshot-{uuid.uuid4().hex}"
         rows.select(*self.schema.names).write.parquet(f"{self.folder}/{name}")
-        out = self._fs.create(self._path(f"{self.folder}/CURRENT.new"), True)
-        out.write(bytearray(json.dumps({"version": VERSION, "filter": filters or {}, "data": name}).encode()))
+        part = self._path(f"{self.folder}/.CURRENT-{uuid.uuid4().hex}")
+        out = self._fs.create(part, True)
+        out.write(bytearray(json.dumps({"version": VERSION, "filter": filters or {}, "data": name, "before": before.get("data")}).encode()))
         out.close()
-        self._fs.delete(self._path(f"{self.folder}/CURRENT"), False)
-        self._fs.rename(self._path(f"{self.folder}/CURRENT.new"), self._path(f"{self.folder}/CURRENT"))
-        if before and before.get("data"):
-            self._fs.delete(self._path(f"{self.folder}/{before['data']}"), True)
+        self._replace(part, self._path(f"{self.folder}/CURRENT"))
+        if before.get("before"):
+            self._fs.delete(self._path(f"{self.folder}/{before['before']}"), True)
         return self.load(filters)
 
+    def _replace(self, part, at) -> None:
+        gateway, fs = self.spark.sparkContext._gateway, self.spark.sparkContext._jvm.org.apache.hadoop.fs
+        rename = getattr(fs, "Options$Rename")
+        over = gateway.new_array(rename, 1)
+        over[0] = rename.OVERWRITE
+        fs.FileContext.getFileContext(self._fs.getUri(), self.spark.sparkContext._jsc.hadoopConfiguration()).rename(self._fs.makeQualified(part), self._fs.makeQualified(at), over)
+
     def known_paths(self, filters: dict | None = None) -> DataFrame:
         return self.load(filters).select("path")
 
