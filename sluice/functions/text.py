@@ -1,7 +1,8 @@
 """Column functions on single values: redaction, connection strings, names and sizes.
 
-All are built-in Spark expressions, so they stay inside generated code and their filters reach
-the scan. A null input gives a null.
+All are built-in Spark expressions: no row goes through Python, and their filters reach the scan.
+Those made with :func:`let` are higher-order functions, which Spark evaluates without generated code.
+A null input gives a null.
 """
 
 from __future__ import annotations

@@ -178,4 +178,5 @@ def text_endpoints(text: Column) -> Column:
 def text_urls(text: Column) -> Column:
     """array<url> of a whole text, in line order."""
     numbered = F.transform(split_lines(text), lambda l, i: F.struct(l.alias("l"), (i + 1).cast("int").alias("n")))
-    return F.flatten(F.transform(numbered, lambda s: F.transform(line_urls(s["l"]), lambda u: F.struct(u.alias("url"), s["n"].alias("line"), context(s["l"]).alias("context")))))
+    found = F.flatten(F.transform(numbered, lambda s: F.transform(line_urls(s["l"]), lambda u: F.struct(u.alias("url"), s["n"].alias("line"), context(s["l"]).alias("context")))))
+    return F.when(F.lower(text).rlike("http|ftp://|wss?://"), found).otherwise(F.array().cast("array<struct<url:string,line:int,context:string>>"))

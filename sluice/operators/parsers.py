@@ -3,7 +3,7 @@
 Python files are read by the standard library's own parser. For the languages with braces there
 is no grammar here: comments and strings are masked, brackets are paired, and declarations are
 looked for in what is left; such results are approximations. Parsers run in Arrow batches, one
-call a file, and return one nested value; everything after them is a built-in expression.
+call a file, and return one nested Arrow value; everything after them is a built-in expression.
 
 A file that a parser can't read has its ``error`` set and no symbols; no file fails a batch.
 """
@@ -11,14 +11,15 @@ A file that a parser can't read has its ``error`` set and no symbols; no file fa
 from __future__ import annotations
 
 import ast
-import json
 import re
 from bisect import bisect_right
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.languages import detect_language
 from ..functions.text import redact_secrets
@@ -72,7 +73,7 @@ PYTHON_CALLS = Calls({
 
 
 def parse_python(path: str, text: str) -> dict:
-    """Classes, functions that aren't in functions, module-level imports, calls; a syntax error leaves lines."""
+    """Classes anywhere, functions that aren't in functions, module-level imports, calls; a syntax error leaves lines."""
     try:
         tree = ast.parse(text)
     except (SyntaxError, ValueError) as e:
@@ -84,7 +85,8 @@ def parse_python(path: str, text: str) -> dict:
         returns = f" -> {piece(node.returns)}" if node.returns else ""
         return f"def {node.name}({ast.unparse(node.args)}){returns}"
 
-    def visit(node, inside: str | None) -> None:
+    def visit(node, inside: str | None, hidden: bool = False) -> None:
+        """``hidden``: in a function, where only classes and what they hold count."""
         for child in ast.iter_child_nodes(node):
             if isinstance(child, ast.ClassDef):
                 bases = [piece(b) for b in child.bases if isinstance(b, ast.Name | ast.Attribute | ast.Call)]
@@ -92,11 +94,13 @@ def parse_python(path: str, text: str) -> dict:
                 out["classes"].append(known[child.name])
                 visit(child, child.name)
             elif isinstance(child, ast.FunctionDef | ast.AsyncFunctionDef):
-                calls = sorted({c.func.id for c in ast.walk(child) if isinstance(c, ast.Call) and isinstance(c.func, ast.Name)})
-                f = function(child.name, signature(child), child.lineno, child.end_lineno, ast.get_docstring(child, clean=False), ["@" + piece(d) for d in child.decorator_list], inside, calls=calls)
-                (known[inside]["methods"] if inside else out["functions"]).append(f)
+                if not hidden:
+                    calls = sorted({c.func.id for c in ast.walk(child) if isinstance(c, ast.Call) and isinstance(c.func, ast.Name)})
+                    f = function(child.name, signature(child), child.lineno, child.end_lineno, ast.get_docstring(child, clean=False), ["@" + piece(d) for d in child.decorator_list], inside, calls=calls)
+                    (known[inside]["methods"] if inside else out["functions"]).append(f)
+                visit(child, None, True)
             else:
-                visit(child, inside)
+                visit(child, inside, hidden)
 
     visit(tree, None)
     out["imports"] = [piece(n) for n in tree.body if isinstance(n, ast.Import | ast.ImportFrom)]
@@ -135,7 +139,7 @@ class Source:
     """A text, the same with comments and strings blanked, its lines and its pairs of braces."""
 
     def __init__(self, text: str, style: str):
-        self.text = text
+        self.text, self.style = text, style
         self.mask = _MASKED[style].sub(lambda m: _BLANK.sub(" ", m[0]), text)
         self.starts = [0, *(m.end() for m in re.finditer("\n", text))]
         self.close, stack = {}, []
@@ -166,7 +170,8 @@ class Source:
 
     def comment(self) -> str | None:
         """The comment the text starts with, without its signs."""
-        m = re.match(r"\s*(?:/\*.*?\*/|(?:[ \t]*(?://|#)[^\n]*\n?)+)", self.text, re.S)
+        signs = "//|#" if self.style == "hash" else "//"
+        m = re.match(rf"\s*(?:/\*.*?\*/|(?:[ \t]*(?:{signs})[^\n]*\n?)+)", self.text, re.S)
         if not m:
             return None
         lines = [re.sub(r"^\s*(?:/\*+|\*+/|\*(?!/)|//+!?|#+)?\s?|\s*\*+/\s*$", "", x) for x in m[0].strip().splitlines()]
@@ -188,21 +193,27 @@ class Profile:
     #: signs that end a declaration without braces
     stop: str = ";"
     lead: str = ""
+    #: the type of what a function returns, in what follows the parentheses; it may also be group ``returns``
+    result: str | None = None
+    #: what stands between a signature and that type
+    gives: str = ": "
     not_functions: frozenset = frozenset("catch do else elif for if return sizeof switch throw while new".split())
 
 
 _WORDS = r"(?:[\w@]+[ \t]+)*?"
+_AT = r"(?:^|(?<=[{};]))[ \t]*"
 _TYPED = r"^[ \t]*(?:[\w:<>,\[\]*&?.]+[ \t*&]+)+(?P<name>~?[A-Za-z_]\w*(?:::~?\w+)?)[ \t]*(?P<params>\()"
+_COLON = r"[ \t]*:[ \t]*([^={}\n]+?)[ \t]*(?:[={}]|$)"
 PROFILES = {
-    "go": Profile(r"^[ \t]*(?:import[ \t]+)?(?:[\w.]+[ \t]+)?\"(?P<name>[^\"\n]+)\"[ \t]*$", r"^type[ \t]+(?P<name>\w+)(?:\[[^\]]*\])?[ \t]+(?:struct|interface)", r"^func[ \t]+(?:\([^)]*\)[ \t]*)?(?P<name>\w+)(?:\[[^\]]*\])?(?P<params>\()", r"^func[ \t]+\([^)]*?\*?(?P<of>\w+)(?:\[[^\]]*\])?\)", lead="func ", stop=";\n"),
-    "rust": Profile(r"^[ \t]*(?P<name>(?:pub[ \t]+)?use[ \t][^;]+;)", r"^[ \t]*(?:pub(?:\([^)]*\))?[ \t]+)?(?:struct|enum|trait)[ \t]+(?P<name>\w+)", r"^[ \t]*" + _WORDS + r"(?:pub\([^)]*\)[ \t]+)?fn[ \t]+(?P<name>\w+)(?:<[^>\n]*>)?[ \t]*(?P<params>\()", r"^[ \t]*impl(?:<[^>\n]*>)?[ \t]+(?:[\w:<>]+[ \t]+for[ \t]+)?(?P<of>\w+)", style="rust", all_methods=True, lead="fn "),
+    "go": Profile(r"^[ \t]*(?:import[ \t]+)?(?:[\w.]+[ \t]+)?\"(?P<name>[^\"\n]+)\"[ \t]*$", r"^type[ \t]+(?P<name>\w+)(?:\[[^\]]*\])?[ \t]+(?:struct|interface)", r"^func[ \t]+(?:\([^)]*\)[ \t]*)?(?P<name>\w+)(?:\[[^\]]*\])?(?P<params>\()", r"^func[ \t]+\([^)]*?\*?(?P<of>\w+)(?:\[[^\]]*\])?\)", lead="func ", stop=";\n", result=r"[ \t]*([^{\n]*?)[ \t]*(?:\{|$)", gives=" "),
+    "rust": Profile(r"^[ \t]*(?P<name>(?:pub[ \t]+)?use[ \t][^;]+;)", r"^[ \t]*(?:pub(?:\([^)]*\))?[ \t]+)?(?:struct|enum|trait)[ \t]+(?P<name>\w+)", _AT + _WORDS + r"(?:pub\([^)]*\)[ \t]+)?fn[ \t]+(?P<name>\w+)(?:<[^>\n]*>)?[ \t]*(?P<params>\()", r"^[ \t]*impl(?:<[^>\n]*>)?[ \t]+(?:[\w:<>]+[ \t]+for[ \t]+)?(?P<of>\w+)", style="rust", all_methods=True, lead="fn ", result=r"\s*->\s*([^{;]+?)\s*(?:\bwhere\b[^{;]*)?(?:[{;]|$)", gives=" -> "),
     "cpp": Profile(r"^[ \t]*(?P<name>#[ \t]*include[^\n]+)", r"^[ \t]*(?:template[ \t]*<[^>\n]*>\s*)?(?:class|struct)[ \t]+(?P<name>\w+)", _TYPED),
-    "c": Profile(r"^[ \t]*(?P<name>#[ \t]*include[^\n]+)", r"^[ \t]*(?:typedef[ \t]+)?struct[ \t]+(?P<name>\w+)", _TYPED),
-    "csharp": Profile(r"^[ \t]*(?P<name>(?:global[ \t]+)?using[ \t]+(?:static[ \t]+)?[\w.= ]+;)", r"^[ \t]*" + _WORDS + r"(?:class|struct|interface)[ \t]+(?P<name>\w+)", r"^[ \t]*(?:(?:public|private|protected|internal|static|async|override|virtual|abstract|sealed|partial)[ \t]+)+(?:[\w<>\[\],.?]+[ \t]+)?(?P<name>\w+)(?:<[^>\n]*>)?[ \t]*(?P<params>\()", all_methods=True),
-    "php": Profile(r"^[ \t]*(?P<name>use[ \t]+[^;(]+;)", r"^[ \t]*" + _WORDS + r"(?:class|interface|trait)[ \t]+(?P<name>\w+)", r"^[ \t]*" + _WORDS + r"function[ \t]+&?(?P<name>\w+)[ \t]*(?P<params>\()"),
-    "kotlin": Profile(r"^[ \t]*(?P<name>import[ \t]+[\w.*]+(?:[ \t]+as[ \t]+\w+)?)", r"^[ \t]*" + _WORDS + r"(?:class|interface|object)[ \t]+(?P<name>\w+)", r"^[ \t]*" + _WORDS + r"fun[ \t]+(?:<[^>\n]*>[ \t]*)?(?:\w+\.)?(?P<name>\w+)[ \t]*(?P<params>\()", all_methods=True, stop=";\n"),
-    "scala": Profile(r"^[ \t]*(?P<name>import[ \t]+[^\n;]+)", r"^[ \t]*" + _WORDS + r"(?:class|object|trait)[ \t]+(?P<name>\w+)", r"^[ \t]*" + _WORDS + r"def[ \t]+(?P<name>\w+)(?:\[[^\]]*\])?[ \t]*(?P<params>\(?)", stop=";\n"),
-    "swift": Profile(r"^[ \t]*(?P<name>(?:@\w+[ \t]+)?import[ \t]+[\w.]+)", r"^[ \t]*" + _WORDS + r"(?:class|struct|enum|protocol)[ \t]+(?P<name>\w+)", r"^[ \t]*" + _WORDS + r"(?:func[ \t]+(?P<name>\w+)|(?P<init>init)\??)(?:<[^>\n]*>)?[ \t]*(?P<params>\()", all_methods=True, stop=";\n"),
+    "c": Profile(r"^[ \t]*(?P<name>#[ \t]*include[^\n]+)", r"^[ \t]*(?:typedef[ \t]+)?struct[ \t]+(?P<name>\w+)", _TYPED, not_functions=frozenset("do else for if return sizeof switch while".split())),
+    "csharp": Profile(r"^[ \t]*(?P<name>(?:global[ \t]+)?using[ \t]+(?:static[ \t]+)?[\w.= ]+;)", r"^[ \t]*" + _WORDS + r"(?:class|struct|interface)[ \t]+(?P<name>\w+)", _AT + r"(?:(?:public|private|protected|internal|static|async|override|virtual|abstract|sealed|partial)[ \t]+)+(?:(?P<returns>[\w<>\[\],.?]+)[ \t]+)?(?P<name>\w+)(?:<[^>\n]*>)?[ \t]*(?P<params>\()", all_methods=True),
+    "php": Profile(r"^[ \t]*(?P<name>use[ \t]+[^;(]+;)", r"^[ \t]*" + _WORDS + r"(?:class|interface|trait)[ \t]+(?P<name>\w+)", _AT + _WORDS + r"function[ \t]+&?(?P<name>\w+)[ \t]*(?P<params>\()"),
+    "kotlin": Profile(r"^[ \t]*(?P<name>import[ \t]+[\w.*]+(?:[ \t]+as[ \t]+\w+)?)", r"^[ \t]*" + _WORDS + r"(?:class|interface|object)[ \t]+(?P<name>\w+)", _AT + _WORDS + r"fun[ \t]+(?:<[^>\n]*>[ \t]*)?(?:\w+\.)?(?P<name>\w+)[ \t]*(?P<params>\()", all_methods=True, stop=";\n", result=_COLON),
+    "scala": Profile(r"^[ \t]*(?P<name>import[ \t]+[^\n;]+)", r"^[ \t]*" + _WORDS + r"(?:class|object|trait)[ \t]+(?P<name>\w+)", _AT + _WORDS + r"def[ \t]+(?P<name>\w+)(?:\[[^\]]*\])?[ \t]*(?P<params>\(?)", stop=";\n", result=_COLON),
+    "swift": Profile(r"^[ \t]*(?P<name>(?:@\w+[ \t]+)?import[ \t]+[\w.]+)", r"^[ \t]*" + _WORDS + r"(?:class|struct|enum|protocol)[ \t]+(?P<name>\w+)", _AT + _WORDS + r"(?:func[ \t]+(?P<name>\w+)|(?P<init>init)\??)(?:<[^>\n]*>)?[ \t]*(?P<params>\()", all_methods=True, stop=";\n", result=r"[^{}\n]*?->[ \t]*([^{}\n]+?)[ \t]*(?:\bwhere\b[^{\n]*)?(?:[{}]|$)"),
 }
 
 
@@ -245,8 +256,8 @@ def parse_profile(language: str, path: str, text: str) -> dict:
     seen: list[tuple[int, int]] = []
     for name, start, end, m in _spanned(s, p.functions, "name", p.stop):
         name = name or m.groupdict().get("init")
-        words = set(re.findall(r"\w+", s.mask[start : m.start("params")]))
-        if name in p.not_functions or words & {"return", "else", "new", "throw", "delete", "case"} or (language in ("c", "cpp") and not s.block(end if s.mask[end : end + 1] != "}" else m.end(), ";)") and s.mask[end : end + 1] != "}"):
+        words = set(re.findall(r"\w+", s.mask[start : m.start("name" if m["name"] else "params")]))
+        if name in p.not_functions or words & ({"return", "else", "new", "throw", "delete", "case"} & (p.not_functions | {"return", "delete", "case"})) or (language in ("c", "cpp") and not s.block(end if s.mask[end : end + 1] != "}" else m.end(), ";)") and s.mask[end : end + 1] != "}"):
             continue
         if any(a < start < b for a, b in seen):
             continue
@@ -255,8 +266,11 @@ def parse_profile(language: str, path: str, text: str) -> dict:
         parent = of["of"] if of else _owner(start, owners)
         if "::" in name:
             parent, _, name = name.rpartition("::")
-        params = re.sub(r"\s+", " ", s.arguments(m.start("params"))) if m["params"] else "()"
-        f = function(name, p.lead + name + params, s.line(start), s.line(end), parent=parent, method=True if p.all_methods or of else None)
+        args = s.arguments(m.start("params")) if m["params"] else ""
+        params = re.sub(r"\s+", " ", args) or "()"
+        result = re.compile(p.result, re.M).match(s.mask, m.start("params") + len(args)) if p.result else None
+        returns = text[result.start(1) : result.end(1)] if result else m.groupdict().get("returns")
+        f = function(name, p.lead + name + params + (p.gives + re.sub(r"\s+", " ", returns) if returns else ""), s.line(start), s.line(end), parent=parent, method=True if p.all_methods or of else None)
         if parent in known:
             known[parent]["methods"].append(f)
         else:
@@ -439,11 +453,14 @@ def parse_dockerfile(path: str, text: str) -> dict:
     return out
 
 
+PLSQL_OVERVIEW = "Oracle PL/SQL script with packages, procedures, or blocks."
+
+
 def parse_sql(path: str, text: str) -> dict:
     """Statements by label, and objects where the text is PL/SQL."""
     score = sum(bool(re.search(word(p), text)) for p in PLSQL_SIGNS)
     plsql = score >= 2 or bool(re.search(word(r"EXECUTE\s+IMMEDIATE"), text)) or path.lower().endswith((".plsql", ".pls", ".pkb", ".pks"))
-    out = symbols("plsql" if plsql else "sql")
+    out = symbols("plsql" if plsql else "sql", module_docstring=PLSQL_OVERVIEW if plsql else None)
     line = lambda at: text.count("\n", 0, at) + 1
     for label, p in STATEMENTS:
         for m in re.finditer(word(p), text):
@@ -531,14 +548,13 @@ def parsed(files: DataFrame) -> DataFrame:
     redacted, so that no secret in them is stored.
     """
 
-    @F.pandas_udf("string")
-    def read(paths, languages, texts):
-        import pandas as pd
+    kind = to_arrow_type(SYMBOLS)
 
-        return pd.Series([json.dumps(parse_file(p, lang, t)) for p, lang, t in zip(paths, languages, texts)])
+    def read(paths: pa.Array, languages: pa.Array, texts: pa.Array) -> pa.Array:
+        return pa.array([parse_file(*row) for row in zip(paths.to_pylist(), languages.to_pylist(), texts.to_pylist())], kind)
 
     known = files.where("path is not null").withColumn("__lang", detect_language(F.col("path"))).where(F.col("__lang").isin(*PARSERS))
-    found = known.withColumn("__s", F.from_json(read("path", "__lang", "content"), SYMBOLS))
+    found = known.withColumn("__s", F.arrow_udf(read, SYMBOLS)("path", "__lang", "content"))
     text = F.coalesce("content", F.lit(""))
     searched = F.when(F.col("__s.language").isin(*NOT_SEARCHED), F.lit("")).otherwise(text)
     calls = F.transform("__s.external_calls", lambda c: c.withField("context", redact_secrets(c["context"])))
@@ -561,4 +577,10 @@ SAMPLES = {
     ".sh": '#!/bin/bash\nsource ./env\n@F() {\n  curl "https://host@K.example"\n}\n',
     ".properties": "# db\nDB_HOST=db@K.internal\nname.@F=1\n",
     ".rb": "require 'json'\nclass @C\n  def @F(a)\n    a\n  end\nend\ndef top@K\nend\n",
+    ".c": "#include <stdio.h>\nstruct @C {\n  int n;\n};\nint @F(int a) {\n  return a + @K;\n}\n",
+    ".cpp": "#include <vector>\nclass @C {\n public:\n  int @F() {\n    return @K;\n  }\n};\nvoid run@K(int a) {\n}\n",
+    ".php": "<?php\nuse A\\B;\nclass @C {\n  public function @F($a) {\n    return @K;\n  }\n}\nfunction run@K() {\n}\n",
+    ".kt": "import a.b\nclass @C {\n  fun @F(a: Int): Int {\n    return @K\n  }\n}\n",
+    ".scala": "import a.b\nobject @C {\n  def @F(a: Int): Int = {\n    @K\n  }\n}\n",
+    ".swift": "import Foundation\nstruct @C {\n  func @F(a: Int) -> [Int] {\n    return [@K]\n  }\n}\n",
 }

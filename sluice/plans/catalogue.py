@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 from ..functions import languages as L
 from ..functions import text as T
 from ..operators import bundle, endpoints, links, native, parsers, project, render, stack
+from ..sources import repository
 from ..streaming import snapshot
+from . import expected
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -70,6 +72,17 @@ LINES = {
     "file": ("customer", "c_custkey", """concat('pkg', c_nationkey, case c_custkey % 2 when 0 then '/' else '/sub/' end, 'm', c_custkey % 400, case c_custkey % 3 when 0 then '.py' when 1 then '.js' else '.java' end)"""),
     "import": ("orders", "o_orderkey", """case o_custkey % 4 when 3 then concat('import helpers, m', o_orderkey % 400) when 0 then concat('from pkg', o_orderkey % 25, '.m', o_orderkey % 400, ' import x') when 1 then concat('import a from "./m', o_orderkey % 400, '"')
         else concat('import static pkg', o_orderkey % 25, '.m', o_orderkey % 400, ';') end"""),
+    "module": ("customer", "c_custkey", """concat(case c_custkey % 9 when 0 then concat('src/pkg', c_nationkey, '/m', c_custkey % 60, '.py') when 1 then concat('pkg', c_nationkey, '/m', c_custkey % 60, '.py')
+        when 2 then concat('pkg', c_nationkey, '/m', c_custkey % 60, '/__init__.py') when 3 then concat('web/pkg', c_nationkey, '/m', c_custkey % 60, '.ts') when 4 then concat('web/pkg', c_nationkey, '/m', c_custkey % 60, '/index.js')
+        when 5 then concat(repeat('d/', 14), 'pkg', c_nationkey, '/m', c_custkey % 60, '.js') when 6 then concat('src/main/pkg', c_nationkey, '/m', c_custkey % 60, '.java') when 7 then concat(repeat('d/', 14), 'pkg', c_nationkey, '/m', c_custkey % 60, '.py')
+        else concat('pkg', c_nationkey, '.py') end)"""),
+    "use": ("orders", "o_orderkey", """case o_orderkey % 11 when 0 then concat('import pkg', o_custkey % 25, '.m', o_custkey % 60) when 1 then concat('from pkg', o_custkey % 25, '.m', o_custkey % 60, ' import fn') when 2 then concat('import pkg', o_custkey % 25, '.m', o_custkey % 60, '.fn')
+        when 3 then concat('from .m', o_custkey % 60, ' import a') when 4 then concat('from ..pkg', (o_custkey + 1) % 25, '.m', o_custkey % 60, ' import a') when 5 then concat('from . import m', o_custkey % 60, ', m', (o_custkey + 7) % 60, ' as b') when 6 then concat('import m', o_custkey % 60)
+        when 7 then concat('import a from "./m', o_custkey % 60, '"') when 8 then concat('require("../pkg', (o_custkey + 1) % 25, '/m', o_custkey % 60, '")') when 9 then concat('import pkg', o_custkey % 25, '.m', o_custkey % 60, ';') else concat('import pkg', o_custkey % 25, '.*;') end"""),
+    "doc": ("part", "p_partkey", """case p_partkey % 6 when 0 then concat('\"\"\"', p_name, '\"\"\"') when 1 then concat(repeat(chr(39), 3), ' ', p_name, ' ', repeat(chr(39), 3)) when 2 then concat('  \"', p_name, '\" ')
+        when 3 then concat(chr(39), p_name, chr(39)) when 4 then concat('\"', p_name) else '\"' end"""),
+    "tree": ("part", "p_partkey", """concat(case p_partkey % 14 when 0 then 'src/a/m' when 1 then 'node_modules/m' when 2 then 'build/m' when 3 then '.git/m' when 4 then 'out/m' when 5 then 'eggs/m' when 6 then 'ignored/m' when 7 then 'x.egg-info/m'
+        when 8 then 'src/nul' when 9 then 'src/large' when 10 then 'vendor/target/m' when 11 then 'src/skip.m' when 12 then 'src/kept.skip.m' else 'docs/m' end, p_partkey, case p_partkey % 14 when 10 then '/Dockerfile' when 13 then '.txt' when 4 then '.go' else '.py' end)"""),
     "braces": ("lineitem", "l_orderkey", """case l_linenumber % 4 when 0 then 'if (x) {' when 1 then '} else { {' when 2 then '}' else 'y;' end"""),
 }
 
@@ -378,13 +391,39 @@ def dep_edges_stem(spark, sf_dir):
     return links.edges_by_stem(_imports(spark, sf_dir), files)
 
 
-@query(f"""with f as (select distinct line as path from {cte('file')}), i as (select distinct source, folder, language, stmt, case language when 'javascript' then concat('pkg', folder, '/', regexp_extract(stmt, 'm[0-9]+'), '.js')
- else concat(replace(regexp_extract(stmt, '(pkg[0-9]+\\.m[0-9]+)', 1), '.', '/'), case language when 'python' then '.py' else '.java' end) end as wanted from {_IMPORTS_SQL})
- select distinct source, f.path as target from i join f on f.path = i.wanted where source <> f.path""")
+#: Where an import of ``use`` stands, and its language.
+_USER = ("case o_orderkey % 11 when 6 then 'tools/x.py' when 7 then concat('web/pkg', o_custkey % 25, '/app.ts') when 8 then concat(repeat('d/', 14), 'pkg', o_custkey % 25, '/app.js') when 9 then 'App.java' when 10 then concat('src/main/pkg', o_custkey % 25, '/m', o_custkey % 60, '.java') when 5 then concat(repeat('d/', 14), 'pkg', o_custkey % 25, '/main.py') else concat('pkg', o_custkey % 25, '/main.py') end as source",
+         "case when o_orderkey % 11 in (7, 8) then 'javascript' when o_orderkey % 11 > 8 then 'java' else 'python' end as language")
+
+
+def _tried_sql() -> str:
+    """Each import with the paths it may stand for, told by its kind and numbers and not by its text."""
+    n, up, m, other, deep = "(o_custkey % 25)", "((o_custkey + 1) % 25)", "(o_custkey % 60)", "((o_custkey + 7) % 60)", "repeat('d/', 14)"
+    place = f"concat('pkg', {n}, '/m', {m})"
+    whole = [(f"concat({place}, '.py')", 0), (f"concat({place}, '/__init__.py')", 0)]
+    script = ("", ".js", ".ts", ".jsx", ".tsx", "/index.js", "/index.ts")
+    kinds = {(0, 1): [*whole, (f"concat('pkg', {n}, '.py')", 0), (f"concat('pkg', {n}, '/pkg', {n}, '.py')", 1), (f"concat('stem:pkg', {n})", 0)]}
+    kinds[2,] = [(f"concat({place}, '/fn.py')", 0), (f"concat({place}, '/fn/__init__.py')", 0), (f"concat({place}, '.py')", 0), (f"concat('pkg', {n}, '/pkg', {n}, '.py')", 1), (f"concat('stem:pkg', {n})", 0)]
+    kinds[3,] = [(c, 1) for c, _ in whole]
+    kinds[4,] = [(f"concat('pkg', {up}, '/m', {m}, '{e}')", 1) for e in (".py", "/__init__.py")]
+    kinds[6,] = [(f"concat('m', {m}, '.py')", 0), (f"concat('m', {m}, '/__init__.py')", 0), (f"concat('tools/m', {m}, '.py')", 1), (f"concat('stem:m', {m})", 0)]
+    kinds[7,] = [(f"concat('web/', {place}, '{e}')", 0) for e in script]
+    kinds[8,] = [(f"concat({deep}, 'pkg', {up}, '/m', {m}, '{e}')", 0) for e in script]
+    kinds[9,] = [(f"concat({place}, '.java')", 0)]
+    rows = [(k, "line", ord_, c, exact) for ks, cs in kinds.items() for k in ks for ord_, (c, exact) in enumerate(cs)]
+    rows += [(5, "line", k, f"concat({deep}, 'pkg', {n}, '{e}')", 1) for k, e in enumerate((".py", "/__init__.py"))]
+    rows += [(5, f"concat(line, '{k}')", 0, f"concat({deep}, 'pkg', {n}, '/m', {x}, '.py')", 1) for k, x in enumerate((m, other))]
+    return " union all ".join(f"select distinct source, {item} as item, {ord_} as ord, {c} as cand, {exact} as exact from i where path % 11 = {k}" for k, item, ord_, c, exact in rows)
+
+
+@query(f"""with f as (select distinct line as path from {cte('module')}), i as (select * from {cte('use', 'o_custkey', *_USER)}), t as ({_tried_sql()}),
+ found as (select source, item, ord, f.path <> cand as part, f.path from t join f on f.path = cand or (exact = 0 and ends_with(f.path, concat('/', cand))) or concat('stem:', regexp_extract(f.path, '([^/]*)[.][^./]*$', 1)) = cand where source <> f.path)
+ select source, path as target from found qualify row_number() over (partition by source, item order by ord, part, path) = 1
+ union select distinct source, f.path from i join f on ends_with(concat('/', regexp_replace(f.path, '/[^/]*$', '')), concat('/pkg', o_custkey % 25)) where i.path % 11 = 10 and contains(f.path, '/') and source <> f.path""")
 def dep_edges_resolved(spark, sf_dir):
-    """Imports to files by the rules of each language."""
-    files = projected(spark, sf_dir, "file", key="k").select(F.col("line").alias("path")).distinct()
-    return links.edges_resolved(_imports(spark, sf_dir), files)
+    """Imports to files by the rules of each language: ends of paths, packages, folders above, ties, deep paths and stems."""
+    files = projected(spark, sf_dir, "module", key="k").select(F.col("line").alias("path")).distinct()
+    return links.edges_resolved(projected(spark, sf_dir, "use", *_USER, key="k", value="stmt").select(F.col("source").alias("path"), "language", "stmt"), files)
 
 
 @query(f"""select language, case language when 'javascript' then concat('./', regexp_extract(stmt, 'm[0-9]+')) else regexp_extract(stmt, '(pkg[0-9]+\\.m[0-9]+|helpers)', 1) end as target, count(*) as n from {_IMPORTS_SQL} group by all""")
@@ -404,18 +443,53 @@ def stack_topk(spark, sf_dir):
     return stack.prioritised(rows, "brand", "package", "o")
 
 
-@query("""select ecosystem, package, count(*) as n from (select case p_partkey % 3 when 0 then 'python_packages' when 1 then 'node_packages' else 'go_modules' end as ecosystem,
- unnest(case p_partkey % 3 when 0 then [replace(p_name, ' ', '-'), 'extra'] when 1 then list_sort([replace(p_name, ' ', '-'), 'dev']) else [concat('host/', replace(p_name, ' ', '-'))] end) as package from part) group by all""")
+@query("""select ecosystem, package, count(*) as n from (select case p_partkey % 6 when 0 then 'python_packages' when 1 then 'node_packages' when 2 then 'go_modules' when 3 then 'rust_crates' else 'java_packages' end as ecosystem,
+ unnest(case p_partkey % 6 when 0 then [replace(p_name, ' ', '-'), 'extra'] when 1 then list_sort([replace(p_name, ' ', '-'), 'dev']) when 2 then [concat('host/', replace(p_name, ' ', '-'))] when 3 then [replace(p_name, ' ', '-'), 'serde']
+  when 4 then [concat('org.', p_size, ':', replace(p_name, ' ', '-')), concat('boot:parent', p_size, ' (parent)')] else [concat('g:', replace(p_name, ' ', '-'), ':', p_size), concat('h:k:', p_size)] end) as package from part) group by all""")
 def manifest_packages(spark, sf_dir):
-    """Packages of one manifest a part: a requirements list, a package.json or a go.mod."""
+    """Packages of one manifest a part: a requirements list, a package.json, a go.mod, a Cargo.toml, a pom.xml or a build.gradle."""
     name = "replace(p_name, ' ', '-')"
-    rows = table(spark, sf_dir, "part").selectExpr("p_partkey % 3 as kind", f"""case p_partkey % 3 when 0 then concat('# c', chr(10), {name}, '>=1', chr(10), 'extra[a]==2', chr(10), '-r x')
-      when 1 then concat('{{"dependencies": {{"', {name}, '": "1"}}, "devDependencies": {{"dev": "2"}}}}') else concat('module m', chr(10), 'require (', chr(10), '  host/', {name}, ' v1.0', chr(10), ')') end as content""")
-    found = F.when(F.col("kind") == 0, stack.python_packages(F.col("content"))).when(F.col("kind") == 1, stack.node_packages(F.col("content"))).otherwise(stack.go_modules(F.col("content")))
-    eco = F.when(F.col("kind") == 0, "python_packages").when(F.col("kind") == 1, "node_packages").otherwise("go_modules")
+    rows = table(spark, sf_dir, "part").selectExpr("p_partkey % 6 as kind", f"""case p_partkey % 6 when 0 then concat('# c', chr(10), {name}, '>=1', chr(10), 'extra[a]==2', chr(10), '-r x')
+      when 1 then concat('{{"dependencies": {{"', {name}, '": "1"}}, "devDependencies": {{"dev": "2"}}}}') when 2 then concat('module m', chr(10), 'require (', chr(10), '  host/', {name}, ' v1.0', chr(10), ')')
+      when 3 then concat('[package]', chr(10), 'name = "x"', chr(10), '[dependencies]', chr(10), {name}, ' = "1"', chr(10), '# no = "1"', chr(10), 'serde = {{ version = "1" }}', chr(10), '[dev-dependencies]', chr(10), 'no = "1"')
+      when 4 then concat('<project xmlns="m"><!-- <dependency><groupId>no</groupId><artifactId>no</artifactId></dependency> --><parent><groupId>boot</groupId><artifactId>parent', p_size, '</artifactId></parent><dependencies><dependency><groupId>org.', p_size, '</groupId><artifactId>', {name}, '</artifactId><exclusions><exclusion><groupId>no</groupId></exclusion></exclusions></dependency></dependencies></project>')
+      else concat('dependencies {{', chr(10), '  implementation "g:', {name}, ':', p_size, '"', chr(10), '  custom("h:k:', p_size, '")', chr(10), '}}') end as content""")
+    readers = {"python_packages": (0, stack.python_packages), "node_packages": (1, stack.node_packages), "go_modules": (2, stack.go_modules), "rust_crates": (3, stack.rust_crates), "java_packages": (4, stack.maven_packages), "java_packages ": (5, stack.gradle_packages)}
+    pick = lambda value: F.coalesce(*[F.when(F.col("kind") == k, value(eco, f)) for eco, (k, f) in readers.items()])
+    eco, found = pick(lambda eco, f: F.lit(eco.strip())), pick(lambda eco, f: f(F.col("content")))
     return rows.select(eco.alias("ecosystem"), F.explode(found).alias("package")).groupBy("ecosystem", "package").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(f"select line as path, (7 + length(p_name))::bigint as size, concat('name = ', p_name) as content from {cte('tree', 'p_name')} where path % 14 in (0, 4, 10, 12)")
+def repository_files(spark, sf_dir):
+    """A tree is written and read again: skipped folders, an ignore file, the gates of size and of binary files, languages."""
+    rows = projected(spark, sf_dir, "tree", "p_name", "p_partkey % 14 as kind", key="k", value="path")
+    content = F.concat(F.lit("name = "), "p_name", F.when(F.col("kind") == 8, F.lit("\0")).when(F.col("kind") == 9, F.repeat(F.lit(" "), F.lit(2000))).otherwise(F.lit("")))
+    folder = repository.shared_folder(spark)
+    repository.write_tree(rows.select("path", content.alias("content")), folder)
+    repository.write_tree(spark.createDataFrame([(".gitignore", "# rules\nignored/\n*skip.*\n!kept.*\n")], "path string, content string"), folder)
+    return repository.read_repository(spark, folder, maxBytes="1000").select("path", "size", "content")
+
+
+@query(f"select path, case path % 6 when 4 then concat('\"', p_name) when 5 then '\"' else p_name end as docstring from {cte('doc', 'p_name')}")
+def docstrings(spark, sf_dir):
+    """Docstrings without their quotes; a single quote at one end stays."""
+    return projected(spark, sf_dir, "doc").select("path", T.strip_quotes(F.col("line")).alias("docstring"))
+
+
+_SIGNED = ("p_partkey as path", "case p_partkey % 7 when 0 then 'python' when 1 then 'javascript' when 2 then 'typescript' when 3 then 'go' when 4 then 'rust' when 5 then 'java' else 'kotlin' end as language",
+           "split_part(p_name, ' ', 1) as name", "case when p_partkey % 4 <> 0 then concat('(', lower(p_type), ')') end as params", "case when p_partkey % 3 <> 0 then p_brand end as result")
+
+
+@query(f"""select path, case language when 'python' then concat('def ', name, params, ' -> ' || result) when 'javascript' then concat('function ', name, params, ': ' || result) when 'typescript' then concat('function ', name, params, ': ' || result)
+ when 'go' then concat('func ', name, params, ' ' || result) when 'rust' then concat('fn ', name, params, ' -> ' || result) else concat(name, params, ': ' || result) end as signature
+ from (select path, language, name, coalesce(params, '()') as params, result from (select {', '.join(_SIGNED)} from part))""")
+def signatures(spark, sf_dir):
+    """Signatures as each language writes them, with and without parameters and results."""
+    rows = table(spark, sf_dir, "part").selectExpr(*_SIGNED)
+    return rows.select("path", T.signature(F.col("language"), F.col("name"), F.col("params"), F.col("result")).alias("signature"))
+
+
 @query("select event_type, (props->>'k')::bigint as k, count(*) as n from events group by all")
 def json_props(spark, sf_dir):
     return table(spark, sf_dir, "events").groupBy("event_type", F.from_json("props", "k bigint")["k"].alias("k")).agg(F.count(F.lit(1)).alias("n"))
@@ -486,12 +560,14 @@ def content_hashes(spark, sf_dir):
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), F.sha2(F.encode("text", "utf-8"), 256).alias("content_sha256"))
 
 
-# ---------------------------------------------------------------- parsers: no SQL, held against brute force in the tests
+# ---------------------------------------------------------------- parsers: against what the templates declare
 
 
 def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(path, size, mtime_ns, content): one source file for each part and language, with names from the table."""
-    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("k"), F.initcap(F.translate("p_name", " ", "")).alias("C"), F.split("p_name", " ")[0].alias("f"))
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("k"), F.initcap(F.translate("p_name", " ", "")).alias("C"), F.concat(F.lit("f_"), F.split("p_name", " ")[0]).alias("f"))
+    # The table is one small file; the texts are many.
+    rows = rows.repartition(spark.sparkContext.defaultParallelism, "k")
     each = F.explode(F.map_from_arrays(F.array(*[F.lit(s) for s in parsers.SAMPLES]), F.array(*[F.lit(t) for t in parsers.SAMPLES.values()])))
     rows = rows.select("*", each.alias("suffix", "template"))
     text = rows.withColumn("content", F.replace(F.replace(F.replace("template", F.lit("@K"), F.col("k")), F.lit("@C"), F.col("C")), F.lit("@F"), F.col("f")))
@@ -506,11 +582,12 @@ def _symbols(suffix: str):
     return run
 
 
-for _name, _suffix in {"python_symbols": ".py", "js_symbols": ".js", "java_scan": ".java", "yaml_manifest": ".yaml", "hcl_blocks": ".tf", "go_symbols": ".go", "rust_symbols": ".rs", "csharp_symbols": ".cs", "sql_symbols": ".sql", "docker_symbols": ".dockerfile", "shell_symbols": ".sh", "env_symbols": ".properties", "ruby_symbols": ".rb"}.items():
+for _name, _suffix in {"python_symbols": ".py", "js_symbols": ".js", "java_scan": ".java", "yaml_manifest": ".yaml", "hcl_blocks": ".tf", "go_symbols": ".go", "rust_symbols": ".rs", "csharp_symbols": ".cs", "sql_symbols": ".sql", "docker_symbols": ".dockerfile", "shell_symbols": ".sh", "env_symbols": ".properties", "ruby_symbols": ".rb", "c_symbols": ".c", "cpp_symbols": ".cpp", "php_symbols": ".php", "kotlin_symbols": ".kt", "scala_symbols": ".scala", "swift_symbols": ".swift"}.items():
     QUERIES[_name] = _symbols(_suffix)
+    ORACLES[_name] = expected.symbols_sql(_suffix)
 
 
-@query()
+@query(expected.documents_sql())
 def rendered_modules(spark, sf_dir):
     """The Markdown document of every source file."""
     return render.modules(parsers.parsed(sources(spark, sf_dir)))

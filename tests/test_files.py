@@ -24,6 +24,8 @@ TREE = {
     "deploy/Dockerfile": "FROM base\nRUN x\n",
     "node_modules/x.js": "no",
     "ignored/x.py": "no",
+    "eggs/x.py": "no",
+    "out/target/vendor/env/kept.py": "y = 1\n",
     "kept.log.py": "x = 1\n",
     "data.png": "no",
     "requirements.txt": "alpha>=1\nbeta[x]\n# c\n",
@@ -44,7 +46,7 @@ def tree(tmp_path):
 
 def test_source(spark, tree):
     rows = {r["path"]: r for r in R.read_repository(spark, str(tree), partitionBytes="5000").collect()}
-    assert set(rows) == {".env", "deploy/Dockerfile", "kept.log.py", "pkg/__init__.py", "pkg/broken.py", "pkg/core.py", "pkg/sub/__init__.py", "pkg/util.py", "web/a.js", "web/b.js"}
+    assert set(rows) == {".env", "deploy/Dockerfile", "kept.log.py", "out/target/vendor/env/kept.py", "pkg/__init__.py", "pkg/broken.py", "pkg/core.py", "pkg/sub/__init__.py", "pkg/util.py", "web/a.js", "web/b.js"}
     assert rows["pkg/util.py"]["content"] == TREE["pkg/util.py"] and rows["pkg/util.py"]["size"] == len(TREE["pkg/util.py"])
     only = R.read_repository(spark, str(tree), "env,k8s").collect()
     assert [r["path"] for r in only] == [".env"]
@@ -79,7 +81,7 @@ def test_samples_have_what_they_declare(suffix):
     names = {c["name"] for c in found["classes"]} | {f["name"] for f in found["functions"]} | {m["name"] for c in found["classes"] for m in c["methods"]}
     expected = {
         ".py": {"Widget", "make", "run_make"}, ".js": {"Widget", "constructor", "make", "helper7"}, ".java": {"Widget", "make"}, ".yaml": {"Deployment/make-7"}, ".tf": {"resource.vm", "disk", "module.net7", "resource", "module"}, ".go": {"Widget", "Get7", "make"},
-        ".rs": {"Widget", "make"}, ".cs": {"Widget", "make"}, ".sql": {"TABLE", "SELECT"}, ".dockerfile": {"FROM", "RUN", "COPY"}, ".sh": {"make"}, ".properties": set(), ".rb": {"Widget", "make", "top7"},
+        ".rs": {"Widget", "make"}, ".cs": {"Widget", "make"}, ".sql": {"TABLE", "SELECT"}, ".dockerfile": {"FROM", "RUN", "COPY"}, ".sh": {"make"}, ".properties": set(), ".rb": {"Widget", "make", "top7"}, ".c": {"Widget", "make"}, ".cpp": {"Widget", "make", "run7"}, ".php": {"Widget", "make", "run7"}, ".kt": {"Widget", "make"}, ".scala": {"Widget", "make"}, ".swift": {"Widget", "make"},
     }
     assert names == expected[suffix]
 
@@ -113,25 +115,25 @@ def test_stack(spark):
 
 def test_init_again_and_bundle(spark, tree):
     first = api.init(spark, str(tree))
-    assert first["discovered"] == 10 and first["reused"] == 0 and first["parsed"] == 10
+    assert first["discovered"] == 11 and first["reused"] == 0 and first["parsed"] == 11
     out = tree / api.FOLDER
     names = sorted(os.listdir(out / "modules"))
-    assert "pkg_core_py.md" in names and "_env.md" in names and len(names) == 10
+    assert "pkg_core_py.md" in names and "_env.md" in names and len(names) == 11
     core = (out / "modules/pkg_core_py.md").read_text()
     assert "internal_dependencies" in core and "pkg/util.py" in core and "https://api.example/x" in core
     index = (out / "project_index.md").read_text()
     assert "db.internal" in index and "http://cdn.example/lib.js" in index and "`web/a.js` → `web/b.js`" in index and "- alpha" in index
     assert not any("hunter22" in p.read_text(errors="replace") for p in out.rglob("*.md"))
     again = api.init(spark, str(tree))
-    assert again["reused"] == 10 and again["deleted"] == 0 and sorted(os.listdir(out / "modules")) == names
+    assert again["reused"] == 11 and again["deleted"] == 0 and sorted(os.listdir(out / "modules")) == names
     (tree / "pkg/util.py").write_text("def g(x):\n    return x + 1\n")
     (tree / "web/a.js").unlink()
     third = api.init(spark, str(tree))
-    assert (third["reused"], third["deleted"], third["parsed"]) == (8, 1, 9)
+    assert (third["reused"], third["deleted"], third["parsed"]) == (9, 1, 10)
     assert "def g" in (out / "modules/pkg_util_py.md").read_text() and not (out / "modules/web_a_js.md").exists()
     found = api.bundle(spark, str(tree))
     text = (out / "bundle.md").read_text()
-    assert found["parts"] == 10 and found["characters"] == len(text) and found["words"] == len(text.split()) and text.index("Project Index") < text.index("File: `")
+    assert found["parts"] == 11 and found["characters"] == len(text) and found["words"] == len(text.split()) and text.index("Project Index") < text.index("File: `")
     assert api.main(["bundle", str(tree / "pkg")]) == 1
 
 
@@ -178,6 +180,42 @@ def test_collisions_and_links(spark):
     assert found == {("x/main.py", "x/m.py"), ("lib/main.js", "lib/m.js"), ("com/p/K.java", "com/p/L.java")}
 
 
+def test_python_and_script_imports(spark):
+    paths = ["p/mod.py", "p/__init__.py", "p/q/__init__.py", "p/q/r.py", "lib/p/mod.py", "x/util.ts", "y/util.ts", "util.py", "a/setup.cfg", "a/web/lib.js", "other/mod.js"]
+    files = spark.createDataFrame([(p,) for p in paths], "path string")
+    cases = [
+        ("a/m.py", "python", "import p.mod.fn", {"p/mod.py"}),
+        ("b/m.py", "python", "import p.mod", {"p/mod.py"}),
+        ("p/m.py", "python", "from . import mod, q as z", {"p/__init__.py", "p/mod.py"}),
+        ("p/n.py", "python", "from . import (mod,\n  nothing)", {"p/__init__.py", "p/mod.py"}),
+        ("p/q/s.py", "python", "from .. import mod", {"p/__init__.py", "p/mod.py"}),
+        ("p/q/t.py", "python", "from .r import z", {"p/q/r.py"}),
+        ("p/q/u.py", "python", "from ..mod import z", {"p/mod.py"}),
+        ("c/m.py", "python", "import util", {"util.py"}),
+        ("d/m.py", "python", "import setup.x", {"a/setup.cfg"}),
+        ("e/m.py", "python", "import os", set()),
+        ("q/m.py", "python", "from .mod import z", set()),
+        ("web/a.js", "javascript", 'import b from "lib"', set()),
+        ("a/web/a.js", "javascript", 'const b = require("./lib")', {"a/web/lib.js"}),
+        ("web/c.js", "javascript", 'import b from "./lib"', {"a/web/lib.js"}),
+        ("p/__init__.py", "python", "import p", set()),
+    ]
+    imports = spark.createDataFrame([c[:3] for c in cases], "path string, language string, stmt string")
+    found = {tuple(r) for r in links.edges_resolved(imports, files).collect()}
+    assert found == {(c[0], t) for c in cases for t in c[3]}
+
+
+def test_nested_and_one_line_declarations():
+    found = parsers.parse_python("x", "def f():\n    class I:\n        def m(self):\n            class J: pass\n    def g(): pass\n")
+    assert [c["name"] for c in found["classes"]] == ["I", "J"] and [m["name"] for m in found["classes"][0]["methods"]] == ["m"] and [f["name"] for f in found["functions"]] == ["f"]
+    signatures = lambda lang, text: [(f["signature"], f["parent_class"]) for x in [parsers.parse_file("x", lang, text)] for f in x["functions"] + [m for c in x["classes"] for m in c["methods"]]]
+    assert signatures("rust", "struct A;\nimpl A { fn f(&self) -> u32 { 1 } fn g() {} }\npub fn h<T>(a: T) -> Vec<T> where T: X {\n}\n") == [("fn h(a: T) -> Vec<T>", None), ("fn f(&self) -> u32", "A"), ("fn g()", "A")]
+    assert signatures("go", "package m\nfunc (a *A) M(x int) (int, error) {\n}\nfunc N() {\n}\n") == [("func M(x int) (int, error)", "A"), ("func N()", None)]
+    assert signatures("kotlin", "class K { fun m(a: Int): Int = 1\n fun n() { } }\n") == [("m(a: Int): Int", "K"), ("n()", "K")]
+    assert signatures("csharp", "class K { public static async Task<int> G() { } public K(int n) {} }") == [("G(): Task<int>", "K"), ("K(int n)", "K")]
+    assert parsers.parse_sql("x.sql", "CREATE OR REPLACE PROCEDURE p AS\nBEGIN\nEND;")["module_docstring"]
+
+
 def test_render_empty(spark):
     row = spark.createDataFrame([("a.py", 0, 0, "")], "path string, size long, mtime_ns long, content string")
     text = render.modules(parsers.parsed(row)).first()["markdown"]
