@@ -25,7 +25,7 @@ BASE = U64(0x9E3779B97F4A7C15 | 1)
 #: All code points are below this.
 TOP = 0x110000
 #: Characters that are worked on at once; a longer text is a chunk of its own.
-CHUNK_CHARS = 1_000_000
+CHUNK_CHARS = 1 << 18
 #: A table of at most this many bytes may be broadcast; beyond it the join shuffles.
 BROADCAST_BYTES = 64 << 20
 #: Bytes of records that a task works on at once after a packed exchange.
@@ -54,12 +54,34 @@ def shared_dir(spark: SparkSession) -> str:
     return at
 
 
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A path for a table of this application in the shared folder."""
+    return f"{shared_dir(spark)}/sluice-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table in the shared folder: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def remove(*tables: DataFrame) -> None:
+    """Delete tables of :func:`written` that nothing reads any more."""
+    for table in tables:
+        _delete(table.sparkSession, table._written_at)
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete all tables that this application has left in the shared folder; results that read them end with them."""
+    _delete(spark, f"{shared_dir(spark)}/sluice-{spark.sparkContext.applicationId}")
 
 
 def filesystem(uri: str):
@@ -97,6 +119,7 @@ def slices(batch: pa.RecordBatch, column: str = "text", most: int = CHUNK_CHARS)
         to = max(at + 1, int(np.searchsorted(ends, done + most, side="right")))
         yield batch.slice(at, to - at)
         at = to
+    pa.default_memory_pool().release_unused()
 
 
 def code_points(text: str) -> np.ndarray:
@@ -134,7 +157,7 @@ def char_values() -> np.ndarray:
     return mix(np.arange(1, TOP + 1, dtype=U64) * U64(0xD1B54A32D192ED03))
 
 
-@lru_cache(4)
+@lru_cache(2)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     inverse = U64(pow(int(BASE), -1, 1 << 64))
     up, down = np.full(n, BASE, U64), np.full(n, inverse, U64)
@@ -144,7 +167,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the hash base and of its inverse, at least ``n`` of each."""
-    return _powers(1 << max(21, int(n).bit_length()))
+    return _powers(1 << max(19, int(n).bit_length()))
 
 
 def prefix_hashes(values: np.ndarray) -> np.ndarray:
@@ -230,18 +253,10 @@ def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> Data
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def parts(texts, most: int = CHUNK_CHARS) -> Iterator[tuple[int, list[str]]]:
-    """(position of the first, texts) of a series, nulls as empty, about ``most`` characters at once."""
-    now, at, size = [], 0, 0
-    for t in texts:
-        t = t or ""
-        if now and size + len(t) > most:
-            yield at, now
-            at, now, size = at + len(now), [], 0
-        now.append(t)
-        size += len(t)
-    if now:
-        yield at, now
+def by_text(work, texts: pa.Array, kind: type) -> np.ndarray:
+    """``work(list of texts)``, an array for each part of a column, as one array; null texts are empty."""
+    out = [work(texts_of(part)) for part in slices(pa.RecordBatch.from_arrays([texts], ["text"]))]
+    return np.concatenate([*out, np.empty(0, kind)])
 
 
 # ---------------------------------------------------------------- packed exchange
@@ -277,14 +292,17 @@ def packed_exchange(df: DataFrame, emit, width: int, flush_rows: int = 1 << 20,
         whole = rows[:, 0].view(U64)
         for k in range(1, width):
             whole = mix(whole) ^ rows[:, k].view(U64)
-        order = np.lexsort((mix(whole), part)) if count >= 1 << 20 else np.argsort((part << U64(44)) | (mix(whole) >> U64(20)))
-        rows, part = rows[order], part[order].astype(np.int64)
-        new = np.concatenate([[True], (rows[1:] != rows[:-1]).any(axis=1)])
-        rows, part = rows[new], part[new]
+        # Repeats are found by hash; what is left keeps its order, in which neighbours are alike and pack well.
+        order = np.argsort(mix(whole))
+        kept = rows[order]
+        kept = np.sort(order[np.concatenate([[True], (kept[1:] != kept[:-1]).any(axis=1)])])
+        rows, part = rows[kept], part[kept].astype(np.int64 if count > 1 << 16 else np.uint16)
+        order = np.argsort(part, kind="stable")
+        rows, part = rows[order], part[order]
         ids, first = np.unique(part, return_index=True)
         ends = [*first[1:], len(part)]
         data = [rows[a:b].tobytes() for a, b in zip(first, ends)]
-        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(data, pa.binary())], ["part", "data"])
+        return pa.RecordBatch.from_arrays([pa.array(ids.astype(np.int32)), pa.array(data, pa.binary())], ["part", "data"])
 
     def run(batches):
         held, n = [], 0

@@ -30,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import BASE, TOP, U64, char_values, code_points, documents, each_partition, fresh, maybe_broadcast, mix, packed_exchange, powers, prefix_hashes, run_pairs, runs, slices, texts_of, written
@@ -124,7 +124,7 @@ def near_by_pieces(lined: DataFrame, max_edits: int) -> tuple[DataFrame, DataFra
                 if len(x):
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
 
-    return each_partition(packed_exchange(texts, emit, 3), meet, 3, "a long, b long").distinct(), texts
+    return each_partition(packed_exchange(texts, emit, 3, growth=8), meet, 3, "a long, b long").distinct(), texts
 
 
 def near_by_halves(classes: DataFrame, lined: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -132,9 +132,10 @@ def near_by_halves(classes: DataFrame, lined: DataFrame) -> tuple[DataFrame, Dat
     role = lambda m, half, tag, own: F.struct(F.xxhash64(m, half, F.lit(tag)).alias("k"), F.lit(own).alias("own"))
     n, m = F.col("n"), F.col("n") - 1
     keyed = classes.select("h", "doc_id", "line_no", F.explode(F.array(role(n, F.col("head"), 0, True), role(n, F.col("tail"), 1, True), role(m, F.col("head_less"), 0, False), role(m, F.col("tail_less"), 1, False))).alias("r"))
-    within = Window.partitionBy("r.k")
-    alive = keyed.withColumn("c", F.count(F.lit(1)).over(within)).withColumn("own", F.max("r.own").over(within)).where("c > 1 and own")
-    left = written(alive.select("h", "doc_id", "line_no").distinct(), "line-survivors")
+    keyed = keyed.select("h", "doc_id", "line_no", "r.k", "r.own")
+    # Counted before they are joined, so that a key of very many lines is one row in every task.
+    shared = keyed.groupBy("k").agg(F.count(F.lit(1)).alias("c"), F.max("own").alias("own")).where("c > 1 and own").select("k")
+    left = written(keyed.drop("own").join(shared, "k", "left_semi").select("h", "doc_id", "line_no").distinct(), "line-survivors")
     few = maybe_broadcast(left, left.count(), 64)
     texts = written(lined.join(few, ["doc_id", "line_no"]).select("h", "line").dropDuplicates(["h"]), "line-texts")
 
@@ -153,14 +154,59 @@ def near_by_halves(classes: DataFrame, lined: DataFrame) -> tuple[DataFrame, Dat
             pair = np.unique(np.stack([rows[i, 1], rows[j, 1]], axis=1), axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], ["a", "b"])
 
-    return each_partition(packed_exchange(texts, emit, 2), equal, 2, "a long, b long").distinct(), texts
+    return each_partition(packed_exchange(texts, emit, 2, growth=16), equal, 2, "a long, b long").distinct(), texts
+
+
+def edits_within(a: np.ndarray, b: np.ndarray, most: int) -> int:
+    """The edit distance of two arrays of code points if it is at most ``most``, else -1.
+
+    Per number of edits and diagonal the furthest place that is reached, so that the work is the
+    length and ``most`` squared (the built-in function's grows with the square of the length).
+    """
+
+    def slide(i: int, j: int) -> int:
+        step = 64
+        while i < len(a) and j < len(b):
+            n = min(step, len(a) - i, len(b) - j)
+            unlike = a[i : i + n] != b[j : j + n]
+            first = int(unlike.argmax())
+            if unlike[first]:
+                return i + first
+            i, j, step = i + n, j + n, step * 4
+        return i
+
+    goal = len(b) - len(a)
+    if abs(goal) > most:
+        return -1
+    reach = {0: slide(0, 0)}
+    for edits in range(most + 1):
+        if reach.get(goal, -1) >= len(a):
+            return edits
+        further = {}
+        for d in range(-edits - 1, edits + 2):
+            i = min(max(reach.get(d, -2) + 1, reach.get(d - 1, -2), reach.get(d + 1, -2) + 1), len(a), len(b) - d)
+            if i >= 0 and i + d >= 0:
+                further[d] = slide(i, i + d)
+        reach = further
+    return -1
+
+
+def _verified(most: int):
+    def run(batches):
+        for batch in batches:
+            a, b, x, y = (batch.column(c) for c in ("a", "b", "x", "y"))
+            edits = np.fromiter((edits_within(code_points(t), code_points(u), most) for t, u in zip(x.to_pylist(), y.to_pylist())), np.int32, batch.num_rows)
+            close = pa.array(edits >= 0)
+            yield pa.RecordBatch.from_arrays([a.filter(close), b.filter(close), pa.array(edits).filter(close)], ["a", "b", "edits"])
+
+    return run
 
 
 def near_classes(classes: DataFrame, lined: DataFrame, max_edits: int = MAX_EDITS) -> DataFrame:
     """(h, other, edits): classes within the bound of each other, in both directions."""
     pairs, texts = near_by_halves(classes, lined) if max_edits == 1 else near_by_pieces(lined, max_edits)
     left_text, right_text = texts.select(F.col("h").alias("a"), F.col("line").alias("x")), texts.select(F.col("h").alias("b"), F.col("line").alias("y"))
-    close = pairs.join(left_text, "a").join(right_text, "b").withColumn("edits", F.levenshtein("x", "y", max_edits)).where("edits >= 0")
+    close = pairs.join(left_text, "a").join(right_text, "b").select("a", "b", "x", "y").mapInArrow(_verified(max_edits), "a long, b long, edits int")
     return close.select("edits", F.explode(F.array(F.struct(F.col("a").alias("h"), F.col("b").alias("other")), F.struct(F.col("b").alias("h"), F.col("a").alias("other")))).alias("p")).select("p.*", "edits")
 
 
@@ -186,8 +232,13 @@ def without_repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, max_edit
     Documents of which only blanks are left are dropped; those that lose no line stay as they are.
     """
     id_, lost = fresh(docs, "__id"), fresh(docs, "__gone")
-    gone = repeated_lines(docs, min_chars, with_hash=True, max_edits=max_edits).groupBy(F.col("doc_id").alias(id_)).agg(F.collect_set(F.struct("line_no", "h")).alias(lost))
-    kept = F.filter(F.split(F.col("text").cast("string"), "\n"), lambda line, i: ~F.array_contains(F.col(lost), F.struct(i.alias("line_no"), F.xxhash64(normal(line)).alias("h"))))
+    each = repeated_lines(docs, min_chars, with_hash=True, max_edits=max_edits).groupBy(F.col("doc_id").alias(id_), "line_no").agg(F.collect_set("h").alias("hs"))
+    # By line number, so that a line is looked up in one step: null where no line goes.
+    placed = F.sort_array(F.collect_list(F.struct("line_no", "hs")))
+    gaps = F.zip_with("at", F.concat(F.array(F.lit(-1)), F.slice("at.line_no", 1, F.size("at") - 1)), lambda x, before: F.struct((x["line_no"] - before - 1).alias("n"), x["hs"].alias("hs")))
+    none = F.lit(None).cast("array<long>")
+    gone = each.groupBy(id_).agg(placed.alias("at")).select(id_, F.flatten(F.transform(gaps, lambda g: F.concat(F.array_repeat(none, g["n"]), F.array(g["hs"])))).alias(lost))
+    kept = F.filter(F.split(F.col("text").cast("string"), "\n"), lambda line, i: ~F.coalesce(F.array_contains(F.get(F.col(lost), i), F.xxhash64(normal(line))), F.lit(False)))
     joined = docs.join(gone, F.col("doc_id").cast("long") == F.col(id_), "left")
     text = F.when(F.col(lost).isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
     out = joined.withColumn("text", text).where(F.col(lost).isNull() | (F.length(F.btrim("text", F.lit(BLANKS + "\n"))) > 0))
