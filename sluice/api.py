@@ -11,6 +11,7 @@ of files that are gone are removed. ``bundle`` joins them into one text.
 from __future__ import annotations
 
 import argparse
+import itertools
 import logging
 import os
 import shutil
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.languages import language_filter
-from .functions.text import human_size, token_estimate, word_count
+from .functions.text import human_size, token_estimate
 from .operators import links, parsers, project, render, stack
 from .schemas import PARSED
 from .sources.repository import read_repository
@@ -109,14 +110,16 @@ def init(spark: SparkSession, path: str, languages: str = "", force: bool = Fals
     out = os.path.join(root, FOLDER)
     if force:
         shutil.rmtree(out, ignore_errors=True)
-    listed = read_repository(spark, root, languages, content="false").drop("content")
-    if listed.isEmpty():
+    found = [tuple(r) for r in read_repository(spark, root, languages, content="false").drop("content").collect()]
+    if not found:
         return {"discovered": 0, "parsed": 0, "reused": 0, "deleted": 0}
+    # One listing for all that is counted; the texts are read by the tasks, once.
+    listed = spark.createDataFrame(found, "path string, size long, mtime_ns long")
     store = Store(spark, f"file://{out}/cache", PARSED)
     filters = {"languages": sorted(asked)}
     old = store.load(filters)
     files = read_repository(spark, root, languages)
-    discovered, reused = listed.count(), listed.join(old.select("path", "size", "mtime_ns"), ["path", "size", "mtime_ns"], "left_semi").count()
+    reused = listed.join(old.select("path", "size", "mtime_ns"), ["path", "size", "mtime_ns"], "left_semi").count()
     gone = deleted(listed, old).count()
     held = store.save(merged(files, old, parsers.parsed), filters)
     linked, edges = with_links(chosen_languages(held, asked), resolved)
@@ -135,7 +138,7 @@ def init(spark: SparkSession, path: str, languages: str = "", force: bool = Fals
     text = render.project_index(root, detect_stack(spark, root), by_language, edges.orderBy("source", "target").collect(), urls, ends, index)
     with open(os.path.join(out, "project_index.md"), "w", encoding="utf-8") as f:
         f.write(text)
-    return {"discovered": discovered, "parsed": len(index), "reused": reused, "deleted": gone}
+    return {"discovered": len(found), "parsed": len(index), "reused": reused, "deleted": gone}
 
 
 class NothingToBundle(Exception):
@@ -168,16 +171,23 @@ def bundle(spark: SparkSession, path: str, output: str | None = None) -> dict:
     root = os.path.abspath(path)
     parts = bundle_files(spark, os.path.join(root, FOLDER))
     piece = F.concat(F.lit("<!-- part: "), F.col("name"), F.lit(" -->\n\n"), F.rtrim("text", F.lit(" \t\r\n")))
-    order = F.struct((F.col("name") != "project_index.md").alias("k"), F.lower("name").alias("l"), "name")
-    whole = parts.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(order.alias("o"), piece.alias("t")))), lambda p: p["t"]), "\n\n").alias("t"), F.count(F.lit(1)).alias("n"))
+    pieces = parts.select((F.col("name") != "project_index.md").alias("k"), F.lower("name").alias("l"), "name", piece.alias("t")).orderBy("k", "l", "name").select("t")
     title = f"<!-- Project bundle: {os.path.basename(root)} -->\n<!-- Index first, then one part a file, by name. -->\n<!-- Passwords are redacted. -->"
-    row = whole.select(F.concat(F.lit(title + "\n\n"), "t", F.lit("\n")).alias("t"), "n").select("t", "n", F.length("t").alias("characters"), word_count(F.col("t")).alias("words"), F.octet_length("t").alias("bytes"), human_size(F.octet_length("t")).alias("size_human"), token_estimate(F.length("t")).alias("tokens_estimate")).first()
-    if not row["n"]:
+    at, n, measured = output or os.path.join(root, FOLDER, "bundle.md"), 0, [0, 0, 0]
+    part = f"{at}.part"
+    with open(part, "w", encoding="utf-8", newline="") as f:
+        # Parts come one partition at a time: the driver never holds the whole text.
+        for text in itertools.chain([title], ("\n\n" + r["t"] for r in pieces.toLocalIterator()), ["\n"]):
+            f.write(text)
+            n += 1
+            measured = [x + y for x, y in zip(measured, (len(text), len(text.split()), len(text.encode())))]
+    if n == 2:
+        os.remove(part)
         raise NothingToBundle(f"no documents below {os.path.join(root, FOLDER)}: run init first")
-    at = output or os.path.join(root, FOLDER, "bundle.md")
-    with open(at, "w", encoding="utf-8") as f:
-        f.write(row["t"])
-    return {"output": at, "parts": row["n"]} | {k: row[k] for k in ("characters", "words", "bytes", "size_human", "tokens_estimate")}
+    os.replace(part, at)
+    characters, words, size = measured
+    sizes = spark.range(1).select(human_size(F.lit(size)).alias("size_human"), token_estimate(F.lit(characters)).alias("tokens_estimate")).first()
+    return {"output": at, "parts": n - 2, "characters": characters, "words": words, "bytes": size} | sizes.asDict()
 
 
 def main(argv: list[str] | None = None) -> int:
