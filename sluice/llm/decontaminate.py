@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, code_points, filesystem, fresh_path, parts, slices, texts_of, written
+from .common import Words, by_text, code_points, filesystem, fresh_path, slices, texts_of, written
 
 N_WORDS = 8
 MIN_WORDS = 5
@@ -167,18 +167,16 @@ def contaminated_spans(docs: DataFrame, benchmark: DataFrame, n: int = N_WORDS,
 def is_contaminated(folder: str, k: int, n: int = N_WORDS, min_words: int = MIN_WORDS) -> Column:
     """A boolean column over ``text`` for the items of part ``k``; a null text is false."""
 
-    @F.pandas_udf("boolean")
-    def found(texts):
-        import pandas as pd
+    def found(texts: pa.Array) -> pa.Array:
+        def any_hit(values):
+            out = np.zeros(len(values), bool)
+            for d, *_ in _automaton(folder, k, n, min_words).hits(values):
+                out[d] = True
+            return out
 
-        machine = _automaton(folder, k, n, min_words)
-        out = np.zeros(len(texts), bool)
-        for at, values in parts(texts):
-            for d, *_ in machine.hits(values):
-                out[at + d] = True
-        return pd.Series(out)
+        return pa.array(by_text(any_hit, texts, bool))
 
-    return found(F.col("text").cast("string"))
+    return F.arrow_udf(found, "boolean")(F.col("text").cast("string"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = N_WORDS, min_words: int = MIN_WORDS) -> DataFrame:

@@ -50,7 +50,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import U64, Words, documents, each_partition, fresh, maybe_broadcast, mix, packed_exchange, partitions, plan_bytes, runs, slices, texts_of, written
+from .common import U64, Words, documents, each_partition, fresh, maybe_broadcast, mix, packed_exchange, partitions, plan_bytes, remove, runs, slices, texts_of, written
 
 N_GRAM = 3
 THRESHOLD = 0.6
@@ -371,7 +371,9 @@ def linked_classes(docs: DataFrame, n: int = N_GRAM, threshold: float = THRESHOL
                 rows.append((member, side, copies, np.array(earlier, np.int64), np.frombuffer(data, np.int64)))
         yield from links()
 
-    return members, written(held.mapInArrow(join, "class long, low long, links long"), "ngram-links")
+    links = written(held.mapInArrow(join, "class long, low long, links long"), "ngram-links")
+    remove(points, wanted)
+    return members, links
 
 
 def near_duplicates(docs: DataFrame, n: int = N_GRAM, threshold: float = THRESHOLD, shared: float = SHARED) -> DataFrame:
@@ -398,9 +400,11 @@ def components(edges: DataFrame) -> DataFrame:
         low = labels.join(around, "id").select("id", F.col("label").alias("was"), F.least("label", "low").alias("low"))
         up = labels.select(F.col("id").alias("low"), F.col("label").alias("jump"))
         new = written(low.join(up, "low").select("id", "was", F.least("low", "jump").alias("label")), "labels")
-        labels = new.select("id", "label")
+        remove(labels)
+        labels = new
         if new.where("label <> was").isEmpty():
-            return labels
+            remove(both)
+            return labels.select("id", "label")
 
 
 def one_of_each_group(docs: DataFrame, n: int = N_GRAM, threshold: float = THRESHOLD, shared: float = SHARED) -> DataFrame:

@@ -32,7 +32,6 @@ says so; an empty label table keeps nothing. Other columns are not looked at.
 from __future__ import annotations
 
 import math
-import uuid
 from functools import lru_cache
 
 import numpy as np
@@ -40,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import code_points, documents, maybe_broadcast, shared_dir, slices, texts_of, written
+from .common import code_points, documents, filesystem, fresh_path, maybe_broadcast, slices, texts_of, written
 
 ORDER = 5
 BITS = 12
@@ -197,7 +196,7 @@ class Scorer:
         if part not in self.tables:
             from pyarrow import dataset, fs
 
-            files, path = fs.FileSystem.from_uri(self.folder if "://" in self.folder or self.folder.startswith("file:") else f"file://{self.folder}")
+            files, path = filesystem(self.folder)
             at = f"{path}/part={part}"
             if files.get_file_info(at).type == fs.FileType.NotFound:
                 self.tables[part] = np.empty(0, np.int64), np.empty(0)
@@ -250,7 +249,7 @@ def score_held(docs: DataFrame, fitted: DataFrame, letters: list[int], order: in
     """Every worker reads the tables that it needs from the shared folder; nothing passes the driver."""
     spark = docs.sparkSession
     langs = sorted(r[0] for r in fitted.select("lang").distinct().collect())
-    folder = f"{shared_dir(spark)}/ngram-tables-{uuid.uuid4().hex}"
+    folder = fresh_path(spark, "ngram-tables")
     number = F.create_map(*[F.lit(x) for i, lang in enumerate(langs) for x in (lang, i)]) if langs else F.create_map(F.lit(""), F.lit(0))
     part = F.shiftleft(number[F.col("lang")], 8).bitwiseOR(F.shiftleft("k", 1)).bitwiseOR(F.col("context").cast("int"))
     fitted.select(part.alias("part"), "gram", F.log("p").alias("lp")).repartition("part").write.partitionBy("part").parquet(folder)
@@ -327,3 +326,8 @@ def kept_documents(docs: DataFrame, labels: DataFrame, quantile: float = QUANTIL
 
 def query(spark, sf_dir: str) -> DataFrame:
     return kept_documents(documents(spark, sf_dir), documents(spark, sf_dir, "labels"))
+
+
+def query_in_shards(spark, sf_dir: str) -> DataFrame:
+    """The same, scored by joins however small the model is."""
+    return kept_documents(documents(spark, sf_dir), documents(spark, sf_dir, "labels"), held_ngrams=0)

@@ -19,4 +19,6 @@ MODULES = {
 
 _loaded = {name: import_module(f".{module}", __package__) for name, module in MODULES.items()}
 QUERIES = {name: m.query for name, m in _loaded.items()}
+#: Operator 2 with its model in shards, as models beyond ``HELD_NGRAMS`` are scored: the same rows.
+QUERIES["quality_in_shards"] = _loaded["op2_quality"].query_in_shards
 ORACLES = {name: m.ORACLE for name, m in _loaded.items() if getattr(m, "ORACLE", None)}

@@ -22,7 +22,7 @@ cover all rows. The sample's features are gathered and the fit is done in one ex
 driver sees ids and the weights that aren't 0.
 
 Cases: null or empty text is never toxic; without any confirmed toxic document nothing is;
-rows of equal ``doc_id`` are scored each on their text; labels that are null count as
+rows of equal ``doc_id`` are scored each on their text, and count once in the fit if they are equal; labels that are null count as
 unlabelled; a document labelled several times is toxic if one label says so; labels without
 a document are ignored by the fit; texts of any length are scored whole; an empty table gives an
 empty result. Other columns are carried on untouched.
@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, documents, parts, slices, texts_of, written
+from .common import Words, by_text, documents, slices, texts_of, written
 
 BITS = 20
 HEADS = (4, 5)
@@ -160,7 +160,8 @@ def train(docs: DataFrame, labels: DataFrame, prior: float | None = None, max_po
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("positive"), part.column("unlabelled"), pa.array(sets, pa.binary())], ["doc_id", "positive", "unlabelled", "features"])
 
     def fitted(batches):
-        rows = sorted((r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns)) if r[3]), key=lambda r: (r[0], r[3]))
+        # Rows that repeat are one.
+        rows = sorted({r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns)) if r[3]}, key=lambda r: (r[0], r[3]))
         sets = [[np.frombuffer(r[3], np.int32) for r in rows if r[role]] for role in (1, 2)]
         model = fit(*sets, prior, min_positives)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(model.buckets, -1), pa.int32()), pa.array(np.append(model.values, model.bias))], ["bucket", "weight"])
@@ -176,14 +177,11 @@ def toxicity(docs: DataFrame, model: Model) -> Column:
     """Log odds over ``docs.text``; null where the text is null or has no word."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("double")
-    def score(texts):
-        import pandas as pd
+    def score(texts: pa.Array) -> pa.Array:
+        out = by_text(shared.value.scores, texts, float)
+        return pa.array(out, pa.float64(), mask=~np.isfinite(out))
 
-        out = np.concatenate([shared.value.scores(values) for _, values in parts(texts)] or [np.empty(0)])
-        return pd.Series(np.where(np.isfinite(out), out, np.nan)).astype("Float64")
-
-    return score(F.col("text").cast("string"))
+    return F.arrow_udf(score, "double")(F.col("text").cast("string"))
 
 
 def toxic_documents(docs: DataFrame, labels: DataFrame, **fitting) -> DataFrame:

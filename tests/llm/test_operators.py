@@ -171,6 +171,19 @@ def test_quality_keeps_clean_and_drops_junk(spark):
     assert Counter(r["doc_id"] for r in joined.collect()).keys() == ids.keys()
 
 
+def test_thresholds(spark):
+    """Against sorted perplexities: the least grid point with a share of the quantile at or below it."""
+    rng = random.Random(33)
+    rows = [(lang, rng.choice([math.exp(rng.gauss(2, 0.5)), 7.5])) for lang in ("en", "de", "") for _ in range(rng.randrange(30, 90))] + [("xx", 4.0), ("en", None)]
+    for quantile in (0.5, 0.9, 0.99, 1.0):
+        expected = {}
+        for lang in {x for x, _ in rows}:
+            cells = sorted(math.ceil(math.log(p) * quality.GRID) for x, p in rows if x == lang and p)
+            expected[lang] = math.exp(next(c for k, c in enumerate(cells) if sum(d <= c for d in cells) >= quantile * len(cells)) / quality.GRID)
+        found = quality.thresholds(spark.createDataFrame(rows, "lang string, perplexity double"), quantile)
+        assert {r["lang"]: r["threshold"] for r in found.collect()} == pytest.approx(expected)
+
+
 def test_quality_with_many_letters(spark):
     """More letters than there are ids: a script outside of the most frequent ones is still learnt."""
     rng = random.Random(31)
@@ -229,6 +242,7 @@ def test_reply_trees(spark):
     rng = random.Random(4)
     rows = [(1, 0, None, "user", "hi", 1.0)] + [(1, i, rng.randrange(i), rng.choice(["user", "bot"]), f"m{i}", float(rng.randrange(5))) for i in range(1, 40)]
     rows += [(2, 5, 99, "user", "orphan", 2.0), (2, 6, 5, None, None, None), (3, 1, 2, "a", "cycle", 1.0), (3, 2, 1, "b", "cycle", 1.0), (None, 1, None, "a", "x", 1.0), (4, None, None, "a", "x", 1.0), (5, 1, None, "a", "one", 1.0), (5, 2, None, "a", "two", 1.0), (5, 3, None, "a", "three", 1.0), (5, 4, None, "a", "four", 1.0)]
+    rows += [(7, 1, None, "a", "t", 1.0), (7, 1, None, "a", "s", 5.0), (7, 2, 1, "b", "u", 0.5), (7, 2, 1, "b", "u", 9.0), (7, 3, 1, "b", LONG, 2.0)]
     rows += [(6, 1, None, "a", "", 0.0)] + [(6, i, i - 1, "b", f"deep{i}", 1.0) for i in range(2, 30)]
     forest = table(spark, rows, "tree long, id long, parent long, role string, text string, score double, rank int, path string")
     found = [(r["conv_id"], r["rank"], r["leaf"], r["turns"], round(r["score"], 9), r["chat"]) for r in chat.conversations(forest).collect()]
@@ -567,6 +581,37 @@ def test_checksums():
     assert records.crc32c(many).tolist() == [records._few(x) for x in many]
 
 
+def slow_crc32c(data):
+    """Bit by bit, from the polynomial."""
+    c = 0xFFFFFFFF
+    for byte in data:
+        c ^= byte
+        for _ in range(8):
+            c = c >> 1 ^ (0x82F63B78 if c & 1 else 0)
+    return c ^ 0xFFFFFFFF
+
+
+def test_records_by_another_reader(spark, tmp_path):
+    """The files from their first byte to the last, without the index and the operator's own functions."""
+    rows = [(i, prose(random.Random(i), i)) for i in range(12)] + [(5, "é漢🙂"), *ODD]
+    index = records.write_records(table(spark, rows).repartition(3), f"file://{tmp_path}/r").collect()
+    mask = lambda c: (((c >> 15) | (c << 17)) + 0xA282EAD8) & 0xFFFFFFFF
+    places, decoded = {(r["file"], r["offset"]): r for r in index}, []
+    for file in {r["file"] for r in index}:
+        data, at = (tmp_path / "r/data" / file).read_bytes(), 0
+        while at < len(data):
+            size = int.from_bytes(data[at : at + 8], "little")
+            body = data[at + 12 : at + 12 + size]
+            assert int.from_bytes(data[at + 8 : at + 12], "little") == mask(slow_crc32c(data[at : at + 8]))
+            assert int.from_bytes(data[at + 12 + size : at + 16 + size], "little") == mask(slow_crc32c(body)) == places[file, at]["checksum"]
+            assert places[file, at]["bytes"] == size + 16 and places[file, at]["n_tokens"] == size // 2
+            decoded.append((places[file, at]["doc_id"], [int.from_bytes(body[k : k + 2], "little") for k in range(0, size, 2)]))
+            at += size + 16
+        assert at == len(data)
+    bpe = tokenizer(DEFAULT_RANKS)
+    assert len(decoded) == len(index) and sorted(decoded) == sorted((i, bpe.encode_ordinary(t)) for i, t in rows if i is not None and t is not None)
+
+
 def test_records_round_trip(spark, tmp_path):
     rng = random.Random(13)
     rows = [(i, prose(rng, rng.randrange(1, 300))) for i in range(40)] + [(3, "é漢🙂"), (3, "é漢🙂"), *ODD]

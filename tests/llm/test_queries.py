@@ -4,6 +4,7 @@ import random
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from sluice.llm import queries, toxicity
@@ -56,3 +57,25 @@ def test_stages_keep_columns(spark):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, str(DATA / "sf0.001")).columns == docs.columns
         assert stage(spark, docs.limit(0), str(DATA / "sf0.001")).isEmpty()
+
+
+def test_stages_with_clashing_columns_and_repeated_rows(spark):
+    """Names that the stages use themselves, and every row twice: what stays stays twice, with all it holds."""
+    sf = str(DATA / "sf0.001")
+    docs = documents(spark, sf)
+    names = ["h", "k", "class", "label", "__gone", "__id", "part", "score", "line", "line_no", "first", "a", "doc_id_"]
+    more = docs.withColumns({n: F.concat(F.lit(n), F.col("doc_id").cast("string")) for n in names}).withColumn("x.y", F.lit(1))
+    twice = more.unionByName(more)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        plain, out = Counter(r["doc_id"] for r in stage(spark, docs, sf).collect()), stage(spark, twice, sf)
+        assert out.schema == twice.schema, name
+        found = out.select("doc_id", *names, "`x.y`").collect()
+        assert Counter(r["doc_id"] for r in found) == Counter({d: 2 * n for d, n in plain.items()}), name
+        assert all(r[n] == f"{n}{r['doc_id']}" for r in found for n in names) and all(r["x.y"] == 1 for r in found)
+
+
+def test_shards_give_the_same(spark):
+    """Operator 2 with its model held and with joins on shards."""
+    sf = str(DATA / "sf0.001")
+    held, sharded = ({r["doc_id"]: (r["lang"], round(r["perplexity"], 6), round(r["threshold"], 6)) for r in queries.QUERIES[q](spark, sf).collect()} for q in ("op2_quality", "quality_in_shards"))
+    assert held == sharded and held
