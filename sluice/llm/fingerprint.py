@@ -34,7 +34,6 @@ from __future__ import annotations
 
 import io
 import math
-import uuid
 import wave
 from collections.abc import Iterator
 from functools import lru_cache
@@ -44,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, filesystem, shared_dir, written
+from .common import documents, filesystem, fresh_path, written
 
 RATE = 4_000
 NOTE_SECONDS = 0.125
@@ -60,8 +59,9 @@ LEAST_OVERLAP = 16
 NEAR_OFFSETS = 1
 #: Recordings whose id this divides are the queries of the registered search.
 EVERY = 50
-#: Recordings that are rendered at once.
+#: Recordings that are rendered or read at once, and samples that are transformed at once.
 BATCH = 64
+BATCH_SAMPLES = 1 << 18
 #: Integers of a block of recordings; pairs times offsets that are correlated at once.
 BLOCK = 1 << 15
 TILE = 1 << 19
@@ -84,8 +84,8 @@ def render(values: np.ndarray, rate: int = RATE) -> np.ndarray:
     """A tone of three octaves above 220 Hz for each value, of equal length; a value's size sets the pitch."""
     n = int(rate * NOTE_SECONDS)
     pitch = np.floor(np.clip(values * 4 + 0.5, 0, 1) * 24)
-    phase = np.cumsum(np.repeat(2 * np.pi * 220 * 2 ** (pitch / 12) / rate, n))
-    return 0.5 * np.sin(phase)
+    phase = np.cumsum(np.repeat(2 * np.pi * 220 * 2 ** (pitch / 12) / rate, n)) % (2 * np.pi)
+    return 0.5 * np.sin(phase.astype(np.float32))
 
 
 def pcm(data: bytes | None) -> tuple[np.ndarray, int] | None:
@@ -96,7 +96,10 @@ def pcm(data: bytes | None) -> tuple[np.ndarray, int] | None:
                 return None
             raw = w.readframes(w.getnframes())
             raw = raw[: len(raw) // (2 * w.getnchannels()) * 2 * w.getnchannels()]
-            return np.frombuffer(raw, "<i2").reshape(-1, w.getnchannels()).mean(axis=1) / 32768, w.getframerate()
+            samples = np.frombuffer(raw, "<i2")
+            if w.getnchannels() > 1:
+                samples = samples.reshape(-1, w.getnchannels()).mean(axis=1, dtype=np.float64)
+            return (samples / 32768).astype(np.float32), w.getframerate()
     except (wave.Error, EOFError):
         return None
 
@@ -108,36 +111,38 @@ def pcm(data: bytes | None) -> tuple[np.ndarray, int] | None:
 def _fold(rate: int) -> np.ndarray:
     """Spectrum bin -> pitch class, as a matrix."""
     hz = np.fft.rfftfreq(FRAME, 1 / rate)
-    out = np.zeros((len(hz), 12))
+    out = np.zeros((len(hz), 12), np.float32)
     used = np.flatnonzero((hz >= LOW_HZ) & (hz <= HIGH_HZ))
     out[used, np.round(12 * np.log2(hz[used] / 440)).astype(int) % 12] = 1
     return out
 
 
 def chroma(samples: np.ndarray, rate: int) -> np.ndarray:
-    """(frames, 12): energy of each pitch class, of unit length in each frame."""
-    if len(samples) < FRAME:
-        return np.zeros((0, 12))
-    frames = np.lib.stride_tricks.sliding_window_view(samples, FRAME)[::HOP]
-    power = np.abs(np.fft.rfft(frames * np.hanning(FRAME), axis=1)) ** 2 @ _fold(rate)
-    size = np.linalg.norm(power, axis=1, keepdims=True)
+    """(..., frames, 12) from (..., samples): energy of each pitch class, of unit length in each frame."""
+    samples = np.asarray(samples, np.float32)
+    if samples.shape[-1] < FRAME:
+        return np.zeros((*samples.shape[:-1], 0, 12))
+    frames = np.lib.stride_tricks.sliding_window_view(samples, FRAME, axis=-1)[..., ::HOP, :]
+    spectrum = np.fft.rfft(frames * np.hanning(FRAME).astype(np.float32), axis=-1)
+    power = ((spectrum.real**2 + spectrum.imag**2) @ _fold(rate)).astype(np.float64)
+    size = np.linalg.norm(power, axis=-1, keepdims=True)
     return np.where(size > 1e-9, power / np.maximum(size, 1e-9), 0)
 
 
 def fingerprint(samples: np.ndarray, rate: int = RATE) -> np.ndarray:
-    """Packed integers, one for each window of frames."""
+    """Packed integers, one for each window of frames: (..., windows) from (..., samples)."""
     image = chroma(samples, rate)
-    n = len(image) - WINDOW + 1
+    n = image.shape[-2] - WINDOW + 1
     if n <= 0:
-        return np.empty(0, np.uint32)
-    total = np.zeros((len(image) + 1, 13))
-    total[1:, 1:] = image.cumsum(axis=0).cumsum(axis=1)
-    at = np.arange(n)
+        return np.empty((*image.shape[:-2], 0), np.uint32)
+    total = np.zeros((*image.shape[:-2], image.shape[-2] + 1, 13))
+    total[..., 1:, 1:] = image.cumsum(axis=-2).cumsum(axis=-1)
 
     def area(t: int, frames: int, p: int, classes: int) -> np.ndarray:
-        return total[at + t + frames, p + classes] - total[at + t, p + classes] - total[at + t + frames, p] + total[at + t, p]
+        a, b = total[..., t : t + n, :], total[..., t + frames : t + frames + n, :]
+        return b[..., p + classes] - a[..., p + classes] - b[..., p] + a[..., p]
 
-    out = np.zeros(n, np.uint32)
+    out = np.zeros((*image.shape[:-2], n), np.uint32)
     for kind, p, c, t in FILTERS:
         whole = area(0, t, p, c)
         if kind == 0:  # this band against all others
@@ -160,19 +165,32 @@ def fingerprint(samples: np.ndarray, rate: int = RATE) -> np.ndarray:
     return out
 
 
+def alike(audio: list[tuple[np.ndarray, int]], most: int = BATCH_SAMPLES) -> Iterator[list[int]]:
+    """Numbers of recordings of one rate and length, about ``most`` samples together."""
+    by: dict[tuple[int, int], list[int]] = {}
+    for k, (samples, rate) in enumerate(audio):
+        by.setdefault((len(samples), rate), []).append(k)
+    for (n, _), numbers in by.items():
+        step = max(1, most // max(1, n))
+        yield from (numbers[i : i + step] for i in range(0, len(numbers), step))
+
+
 def fingerprints(media: DataFrame) -> DataFrame:
     """(id, fingerprint) from (id, media); the integers as little-endian bytes."""
 
     def run(batches):
         for batch in batches:
-            ids, prints = [], []
-            for i, data in zip(batch.column("id").to_pylist(), batch.column("media").to_pylist()):
-                audio = pcm(data)
-                if audio is not None:
-                    ids.append(i)
-                    prints.append(fingerprint(*audio).astype("<u4").tobytes())
-            if ids:
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(prints, pa.binary())], ["id", "fingerprint"])
+            for i in range(0, batch.num_rows, BATCH):
+                part = batch.slice(i, BATCH)
+                read = [(k, pcm(data)) for k, data in zip(part.column("id").to_pylist(), part.column("media").to_pylist())]
+                ids, audio = zip(*[r for r in read if r[1] is not None]) if any(r[1] is not None for r in read) else ((), ())
+                prints: list[bytes] = [b""] * len(ids)
+                for numbers in alike(audio):
+                    rows = fingerprint(np.stack([audio[k][0] for k in numbers]), audio[numbers[0]][1])
+                    for k, row in zip(numbers, rows):
+                        prints[k] = row.astype("<u4").tobytes()
+                if ids:
+                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(prints, pa.binary())], ["id", "fingerprint"])
 
     return media.select(F.col("id").cast("long").alias("id"), F.col("media").cast("binary").alias("media")).where("id is not null and media is not null").mapInArrow(run, "id long, fingerprint binary")
 
@@ -205,7 +223,7 @@ def _blocks(prints: DataFrame) -> tuple[str, int]:
         blocks = -(-n * 2**size // BLOCK)
         first.append((size, total, blocks))
         total += blocks
-    folder = f"{shared_dir(spark)}/fingerprint-blocks-{uuid.uuid4().hex}"
+    folder = fresh_path(spark, "fingerprint-blocks")
     if total:
         place = F.coalesce(*[F.when(F.col("size") == size, at + F.pmod(F.xxhash64("id"), F.lit(blocks))) for size, at, blocks in first])
         sized.select(place.alias("block"), "id", "fingerprint").repartition(total, "block").write.partitionBy("block").parquet(folder)

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import DEFAULT_RANKS, documents, encode, shared_dir, slices, texts_of, tokenizer
+from .common import DEFAULT_RANKS, documents, encode, filesystem, fresh_path, slices, texts_of, tokenizer
 
 INDEX = "doc_id long, file string, offset long, bytes long, n_tokens long, checksum long"
 _BLOCK = 256
@@ -114,12 +114,6 @@ def framed(records: list[bytes]) -> tuple[list[bytes], np.ndarray]:
     return [n + struct.pack("<I", a) + r + struct.pack("<I", b) for n, a, r, b in zip(lengths, of_length.tolist(), records, of_data.tolist())], of_data
 
 
-def _filesystem(uri: str):
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
-
-
 def _width(ranks: str):
     return np.dtype("<u2") if tokenizer(ranks).n_vocab <= 1 << 16 else np.dtype("<u4")
 
@@ -134,7 +128,7 @@ def write_records(docs: DataFrame, folder: str, ranks: str = DEFAULT_RANKS) -> D
             for batch in batches:
                 for part in slices(batch):
                     if out is None:
-                        files, path = _filesystem(folder)
+                        files, path = filesystem(folder)
                         files.create_dir(f"{path}/data", recursive=True)
                         out, width = files.open_output_stream(f"{path}/data/{name}"), _width(ranks)
                     ids = [encode(tokenizer(ranks), t).astype(width) for t in texts_of(part)]
@@ -157,7 +151,7 @@ def read_records(index: DataFrame, folder: str, ranks: str = DEFAULT_RANKS) -> D
     """(doc_id, ids) of the index's rows, in whatever order and selection they come; checksums are verified."""
 
     def read(batches):
-        files, path = _filesystem(folder)
+        files, path = filesystem(folder)
         width = _width(ranks)
         for batch in batches:
             opened, datas = {}, []
@@ -181,4 +175,4 @@ def read_records(index: DataFrame, folder: str, ranks: str = DEFAULT_RANKS) -> D
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return write_records(documents(spark, sf_dir), f"{shared_dir(spark)}/token-records-{uuid.uuid4().hex}")
+    return write_records(documents(spark, sf_dir), fresh_path(spark, "token-records"))
