@@ -17,7 +17,8 @@ number of different words in it, split at blanks.
 
 Cases: a message whose parent is null or doesn't exist is a root; messages on a cycle have no
 root and no conversation; null tree ids or ids are left out; of rows that repeat (tree, id)
-the least (parent, role, text) counts; a null role or text is empty; several roots of a tree
+the least (parent, role, text, score) counts, a null parent before all others; a null role or text
+is empty, a null score 0; texts of any length are kept whole; several roots of a tree
 compete like its branches; an empty table gives an empty result. Depth and fan-out are not
 bounded. Other columns are not looked at.
 """
@@ -48,7 +49,7 @@ def messages(conversations: DataFrame) -> DataFrame:
 
 def climbs(forest: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     """(tree, leaf, turns, score) of every root-to-leaf path, and (tree, id, up): the message 2 ** k above, for each k."""
-    links = forest.groupBy("tree", "id").agg(F.min(F.struct("parent", "score")).alias("m")).select("tree", "id", "m.parent", F.coalesce("m.score", F.lit(0.0)).alias("total"))
+    links = forest.select("tree", "id", "parent", F.col("score").alias("total"))
     known = links.select("tree", F.col("id").alias("parent"), F.lit(True).alias("there"))
     links = written(links.join(known, ["tree", "parent"], "left").select("tree", "id", F.when(F.col("there"), F.col("parent")).alias("up"), "total", F.lit(1).alias("turns")), "reply-links")
     largest = links.groupBy("tree").count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]
@@ -68,7 +69,10 @@ def climbs(forest: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
 
 def conversations(forest: DataFrame, keep: int = KEEP, opening: str = "<|", closing: str = "|>\n", end: str = "\n") -> DataFrame:
     """(conv_id, rank, leaf, turns, score, chat): the best branches of each tree, formatted."""
-    forest = forest.where("tree is not null and id is not null")
+    # One row decides on parent, score, role and text of a message alike.
+    said = F.struct("parent", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce("score", F.lit(0.0)).alias("score"))
+    forest = forest.where("tree is not null and id is not null").groupBy("tree", "id").agg(F.min(said).alias("m")).select("tree", "id", "m.*")
+    forest = written(forest, "messages")
     paths, ups = climbs(forest)
     best = Window.partitionBy("tree").orderBy(F.desc("score"), F.desc("turns"), "leaf")
     steps = paths.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= keep).withColumn("id", F.col("leaf")).withColumn("at", F.col("turns") - 1)
@@ -76,9 +80,8 @@ def conversations(forest: DataFrame, keep: int = KEEP, opening: str = "<|", clos
         # Of each message of a path so far, the one 2 ** k above joins the path.
         both = F.filter(F.array(F.struct("id", "at"), F.struct(F.col("up").alias("id"), (F.col("at") - (1 << k)).alias("at"))), lambda m: m["id"].isNotNull())
         steps = steps.join(up, ["tree", "id"], "left").select("tree", "rank", "leaf", "score", "turns", F.inline(both))
-    texts = forest.groupBy("tree", "id").agg(F.min(F.struct(F.col("parent"), F.col("role"), F.col("text"))).alias("m"))
-    said = F.concat(F.lit(opening), F.coalesce("m.role", F.lit("")), F.lit(closing), F.coalesce("m.text", F.lit("")), F.lit(end))
-    joined = steps.join(texts, ["tree", "id"]).select("tree", "rank", "leaf", "score", "turns", F.struct("at", said.alias("said")).alias("turn"))
+    said = F.concat(F.lit(opening), "role", F.lit(closing), "text", F.lit(end))
+    joined = steps.join(forest.select("tree", "id", "role", "text"), ["tree", "id"]).select("tree", "rank", "leaf", "score", "turns", F.struct("at", said.alias("said")).alias("turn"))
     out = joined.groupBy("tree", "rank", "leaf", "score", "turns").agg(F.sort_array(F.collect_list("turn")).alias("all"))
     return out.select(F.col("tree").alias("conv_id"), "rank", "leaf", "turns", "score", F.array_join("all.said", "").alias("chat"))
 
