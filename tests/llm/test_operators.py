@@ -1,7 +1,9 @@
 """Each operator against a brute-force version, and with nulls, empty tables, repeats and clashing columns."""
 
 import math
+import os
 import random
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -9,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sluice.llm import chat, decontaminate, fingerprint, jaccard_join, line_dedup, packing, quality, records, token_counts, toxicity
-from sluice.llm.common import DEFAULT_RANKS, Words, encode, tokenizer
+from sluice.llm.common import DEFAULT_RANKS, SHUFFLE_CLEANUP, Words, encode, shared_dir, tokenizer, written
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, `class` string, __gone string, __id int, h long, `line.no` int"
 
@@ -749,6 +751,29 @@ def test_one_of_each_group(spark):
     assert jaccard_join.one_of_each_group(docs.limit(0)).isEmpty()
 
 
+def test_finished_tables_leave_no_files(spark):
+    """Shuffle files and tables of the pipeline's stage don't stay until the driver happens to collect garbage."""
+
+    def shuffled():
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {str(files.apply(i).getName()) for i in range(files.size()) if "shuffle" in files.apply(i).getName()}
+
+    def tables():
+        at = f"{shared_dir(spark)}/sluice-{spark.sparkContext.applicationId}".removeprefix("file://").removeprefix("file:")
+        return {x.rpartition("-")[0] for x in set(os.listdir(at)) - there} if os.path.isdir(at) else set()
+
+    there, before = set(), shuffled()
+    df = written(spark.range(1000).repartition(3, "id").groupBy((F.col("id") % 7).alias("k")).count(), "sevenths")
+    for _ in range(50):
+        if not (left := shuffled() - before):
+            break
+        time.sleep(0.1)
+    assert not left and df.count() == 7 and spark.conf.get(SHUFFLE_CLEANUP, None) is None
+    there = set(os.listdir(os.path.dirname(df._written_at.removeprefix("file://").removeprefix("file:"))))
+    out = jaccard_join.one_of_each_group(table(spark, near_rows()))
+    assert out.count() and tables() == {"near-duplicates"}
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "a long, b long")
     assert {r["id"]: r["label"] for r in jaccard_join.components(edges).collect()} == {i: 0 for i in range(41)} | {100: 100, 101: 100}
