@@ -700,6 +700,18 @@ def test_jaccard_join(spark, monkeypatch, tmp_path, points, grams, hot):
     assert jaccard_join.near_duplicates(docs.limit(0)).isEmpty()
 
 
+def test_fewest_shared():
+    """No close pair shares fewer leading n-grams than either set's bound, and unrelated sets need a third of theirs to be points."""
+    for threshold, shared in ((0.6, 0.2), (0.7, 0.2), (0.5, 0.5), (0.3, 0.6)):
+        lead = [jaccard_join._leading(m, threshold, shared) for m in range(301)]
+        least = [jaccard_join.fewest_shared(m, threshold, shared) for m in range(301)]
+        for x in range(1, 301):
+            for y in range(max(1, math.ceil(threshold * x - 1e-9)), x + 1):
+                both = next(o for o in range(math.floor(threshold * x), y + 1) if o / (x + y - o) >= threshold - 1e-9)
+                assert min(both - x + lead[x], both - y + lead[y]) >= max(1, least[x], least[y]), (x, y)
+    assert jaccard_join.fewest_shared(300, 0.6, 0.2) == 60
+
+
 def test_regions_are_exact():
     rng = np.random.default_rng(15)
     base = [np.unique(rng.integers(0, 4000, 60)) for _ in range(20)]
