@@ -15,14 +15,14 @@ from ..functions.text import clean_url, context, let, parse_connection, redact_s
 FIELDS = ("connection_type", "host", "port", "user", "schema", "database")
 
 
-def split_lines(text: Column) -> Column:
-    """Array of lines as Python's ``splitlines`` gives it: no element after a final line end."""
-    return let(F.split(text, P.LINE_END), lambda parts: F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts))
+def split_lines(text: Column, end: str = P.LINE_END) -> Column:
+    """Array of lines as Python's ``splitlines`` gives it: no element after a final line end. ``end`` is a pattern."""
+    return let(F.split(text, end), lambda parts: F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts))
 
 
-def lines(files: DataFrame, key: str = "path", content: str = "content") -> DataFrame:
+def lines(files: DataFrame, key: str = "path", content: str = "content", end: str = P.LINE_END) -> DataFrame:
     """(key, line_no, line), line numbers from 1."""
-    out = files.select(key, F.posexplode(split_lines(F.col(content))).alias("pos", "line"))
+    out = files.select(key, F.posexplode(split_lines(F.col(content), end)).alias("pos", "line"))
     return out.select(key, (F.col("pos") + 1).alias("line_no"), "line")
 
 
