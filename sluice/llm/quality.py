@@ -16,8 +16,8 @@ totals of their contexts and with the probabilities of the order below::
     p(w | h) = max(c(hw) - D(c), 0) / c(h) + g(h) * p(w | h')
 
 Documents are scored against the model from arrays that each worker reads from the shared
-folder, after a check of their size, or beyond it by joining the counts of each document's n-grams with the shards
-of each order; both give the same perplexities. A document is kept if its perplexity is at
+folder, after a check of their size, or beyond it by joining the distinct n-grams of each chunk of documents with
+the shards of each order; both give the same perplexities. A document is kept if its perplexity is at
 most the ``quantile`` of trusted documents of its language that the model wasn't trained on
 (one in ``HELD_OUT`` by hash of the id; where a language has none, of those it was trained on).
 Quantiles are taken on a grid of 0.001 in the logarithm, so they are exact, mergeable and the
@@ -32,14 +32,14 @@ says so; an empty label table keeps nothing. Other columns are not looked at.
 from __future__ import annotations
 
 import math
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import code_points, documents, filesystem, fresh_path, maybe_broadcast, slices, texts_of, written
+from .common import code_points, documents, filesystem, fresh_path, maybe_broadcast, plan_bytes, remove, slices, texts_of, written
 
 ORDER = 5
 BITS = 12
@@ -51,6 +51,9 @@ HELD_OUT = 5
 GRID = 1000
 #: The model is held by each executor up to so many n-grams; beyond it, scoring joins shards.
 HELD_NGRAMS = 8_000_000
+#: Where scoring joins shards: bytes of documents, as the optimizer estimates them, of a chunk, and of a shard that is broadcast.
+CHUNK_BYTES = 4 << 20
+SHARD_BROADCAST = 4 << 20
 
 
 def alphabet(trusted: DataFrame) -> list[int]:
@@ -241,6 +244,11 @@ def _scorer(shared) -> Scorer:
     return Scorer(*shared.value)
 
 
+@lru_cache(2)
+def _ids(shared) -> np.ndarray:
+    return ids_table(shared.value)
+
+
 def _part(lang: int, k: int, context: bool) -> int:
     return lang << 8 | k << 1 | int(context)
 
@@ -268,34 +276,84 @@ def score_held(docs: DataFrame, fitted: DataFrame, letters: list[int], order: in
     return docs.select("doc_id", "lang", "text").mapInArrow(score, "doc_id long, lang string, perplexity double")
 
 
-def score_sharded(docs: DataFrame, fitted: DataFrame, letters: list[int], order: int = ORDER) -> DataFrame:
-    """The same by joins: counts of each document's n-grams with the shards of each order."""
-    shared = docs.sparkSession.sparkContext.broadcast(letters)
+def log_probabilities(grams: DataFrame, fitted: DataFrame, order: int, unseen: float) -> DataFrame:
+    """(lang, gram, s): the logarithm of each n-gram's probability, by joins with the shards of each order.
 
-    def count(batches):
-        table = ids_table(shared.value)
-        for batch in batches:
-            for part in slices(batch, "text", 200_000):
-                grams, doc = n_grams(texts_of(part), table, order)
-                pairs = np.lexsort((grams, doc))
-                g, d = grams[pairs], doc[pairs]
-                first = np.flatnonzero(np.concatenate([[True], (g[1:] != g[:-1]) | (d[1:] != d[:-1])]))
-                n = np.diff(np.append(first, len(g)))
-                rows = part.take(pa.array(d[first]))
-                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("lang"), rows.column("key"), pa.array(g[first]), pa.array(n)], ["doc_id", "lang", "key", "gram", "n"])
-
-    left = docs.withColumn("key", F.xxhash64("text")).select("doc_id", "lang", "key", "text").mapInArrow(count, "doc_id long, lang string, key long, gram long, n long").withColumn("s", F.lit(0.0))
-    done = None
+    What an order finds is written, so that no order is worked out again for the one below.
+    """
+    rows = {(r["k"], r["context"]): r["count"] for r in fitted.groupBy("k", "context").count().collect()}
+
+    def shards(k: int, context: bool) -> DataFrame:
+        lp = F.coalesce(F.log("p"), F.lit(math.nan))  # a weight of 0 has no logarithm, and isn't a missing one
+        out = fitted.where((F.col("k") == k) & (F.col("context") == context)).select("lang", F.col("gram").alias("of"), lp.alias("lp"))
+        return maybe_broadcast(out, rows.get((k, context), 0), 40, SHARD_BROADCAST)
+
+    left, done = grams.withColumn("s", F.lit(0.0)), []
     for k in range(order, 0, -1):
-        left = left.withColumn("gram", F.col("gram").bitwiseAND((1 << (BITS * k)) - 1))
-        table = lambda context: fitted.where((F.col("k") == k) & (F.col("context") == context)).select("lang", F.col("gram").alias("of"), F.log("p").alias("lp"))  # noqa: B023, E731
-        joined = left.join(table(False).withColumnRenamed("of", "gram"), ["lang", "gram"], "left")
-        hit = joined.where("lp is not null").select("doc_id", "lang", "key", "n", (F.col("s") + F.col("lp")).alias("s"))
-        done = hit if done is None else done.unionByName(hit)
-        left = joined.where("lp is null").drop("lp").withColumn("of", F.shiftright("gram", BITS)).join(table(True), ["lang", "of"], "left").withColumn("s", F.col("s") + F.coalesce("lp", F.lit(0.0))).drop("lp", "of")
-    done = done.unionByName(left.select("doc_id", "lang", "key", "n", (F.col("s") + math.log(unseen_p(letters))).alias("s")))
-    known = fitted.select("lang").distinct()
-    return done.join(known, "lang", "left_semi").groupBy("doc_id", "lang", "key").agg(F.exp(-F.sum(F.col("n") * F.col("s")) / F.sum("n")).alias("perplexity")).select("doc_id", "lang", "perplexity")
+        left = left.withColumn("of", F.col("gram").bitwiseAND((1 << (BITS * k)) - 1)).join(shards(k, False), ["lang", "of"], "left")
+        left = written(left.select("lang", "gram", "of", (F.col("s") + F.coalesce("lp", F.lit(0.0))).alias("s"), F.col("lp").isNotNull().alias("found")), "ngram-scores")
+        done.append(left.where("found").select("lang", "gram", "s"))
+        left = left.where("not found").select("lang", "gram", "s", F.shiftright("of", BITS).alias("of")).join(shards(k, True), ["lang", "of"], "left")
+        left = left.select("lang", "gram", (F.col("s") + F.coalesce("lp", F.lit(0.0))).alias("s"))
+    return reduce(DataFrame.unionByName, done, left.withColumn("s", F.col("s") + unseen))
+
+
+def score_sharded(docs: DataFrame, fitted: DataFrame, letters: list[int], order: int = ORDER) -> DataFrame:
+    """The same by joins: the model never is in one place.
+
+    Documents are dealt into chunks by hash. The distinct n-grams of a chunk, of which there are far fewer than
+    signs, are joined with the shards of each order, and what they give comes back to the chunk's documents.
+    """
+    spark = docs.sparkSession
+    chunks = max(1, math.ceil(plan_bytes(docs) / CHUNK_BYTES))
+    read = docs.select("doc_id", "lang", "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int").alias("chunk"))
+    read = read.join(F.broadcast(fitted.select("lang").distinct()), "lang", "left_semi")  # one row a language
+    shared = spark.sparkContext.broadcast(letters)
+
+    def parts(rows: pa.Table):
+        for batch in rows.to_batches():
+            for part in slices(batch):
+                by: dict[str, list[int]] = {}
+                for i, lang in enumerate(part.column("lang").to_pylist()):
+                    by.setdefault(lang, []).append(i)
+                texts = texts_of(part)
+                for lang, at in by.items():
+                    yield lang, part.column("doc_id").take(pa.array(at)), [texts[i] for i in at]
+
+    def distinct(rows: pa.Table) -> pa.Table:
+        table = _ids(shared)
+        held: dict[str, list[np.ndarray]] = {}
+        for lang, _, texts in parts(rows):
+            found = held.setdefault(lang, [])
+            found.append(np.unique(n_grams(texts, table, order)[0]))
+            if len(found) >= 16:
+                held[lang] = [np.unique(np.concatenate(found))]
+        grams = {lang: np.unique(np.concatenate(found)) for lang, found in held.items()}
+        n = sum(map(len, grams.values()))
+        langs = pa.array(np.repeat(np.array(list(grams), object), [len(g) for g in grams.values()]), pa.string())
+        return pa.table([pa.array(np.full(n, rows.column("chunk")[0].as_py(), np.int32)), langs, pa.array(np.concatenate([*grams.values(), np.empty(0, np.int64)]))], ["chunk", "lang", "gram"])
+
+    def score(rows: pa.Table, grams: pa.Table) -> pa.Table:
+        table, known, out = _ids(shared), {}, []
+        if rows.num_rows:
+            of, gram, lp = np.array(grams.column("lang").to_pylist(), object), grams.column("gram").to_numpy(), grams.column("s").to_numpy()
+            for lang in set(of):
+                here = np.flatnonzero(of == lang)
+                here = here[np.argsort(gram[here], kind="stable")]
+                known[lang] = gram[here], lp[here]
+        for lang, ids, texts in parts(rows):
+            grams_, doc = n_grams(texts, table, order)
+            keys, values = known[lang]
+            total = np.bincount(doc, values[np.searchsorted(keys, grams_)], len(texts))
+            out.append(pa.table([ids, pa.array([lang] * len(texts)), pa.array(np.exp(-total / np.bincount(doc, minlength=len(texts))), from_pandas=True)], ["doc_id", "lang", "perplexity"]))
+        schema = pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), ("perplexity", pa.float64())])
+        return pa.concat_tables(out).cast(schema) if out else schema.empty_table()
+
+    grams = written(read.groupBy("chunk").applyInArrow(distinct, "chunk int, lang string, gram long"), "ngram-chunks")
+    found = written(log_probabilities(grams.select("lang", "gram").distinct(), fitted, order, math.log(unseen_p(letters))), "ngram-found")
+    told = written(grams.join(found, ["lang", "gram"]).select("chunk", "lang", "gram", "s"), "ngram-told")
+    remove(grams, found)
+    return read.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(score, "doc_id long, lang string, perplexity double")
 
 
 def thresholds(scored: DataFrame, quantile: float = QUANTILE) -> DataFrame:

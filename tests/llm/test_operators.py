@@ -207,6 +207,23 @@ def test_quality_with_many_letters(spark):
     assert held[3] * 2 < held[4] and held[5] * 2 < held[6] and held[3] * 2 < held[7]
 
 
+def test_quality_in_shards_by_chunks(spark, monkeypatch):
+    """Equal rows are scored each, in any number of chunks, and n-grams are joined once for a chunk and not for a document."""
+    rng = random.Random(7)
+    rows = [(i, "en" if i % 3 else "de", prose(rng, 40)) for i in range(40)]
+    rows += [rows[1], rows[1], (1, "de", rows[1][2]), (90, "xx", "none"), (91, "en", "")]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    letters = quality.alphabet(docs.where("doc_id < 30"))
+    fitted = quality.model(docs.where("doc_id < 30 and lang <> 'xx'"), letters)
+    monkeypatch.setattr(quality, "plan_bytes", lambda df: 3 * quality.CHUNK_BYTES)
+    joined, was = [], quality.log_probabilities
+    monkeypatch.setattr(quality, "log_probabilities", lambda grams, *args: joined.append(grams.count()) or was(grams, *args))
+    held, sharded = (sorted((r["doc_id"], r["lang"], round(r["perplexity"] or 0, 9)) for r in score(docs, fitted, letters).where("lang <> 'xx'").collect()) for score in (quality.score_held, quality.score_sharded))
+    assert held == sharded and len(held) == len(rows) - 1
+    every = {(lang, g) for _, lang, text in rows if lang != "xx" for g in quality.n_grams([text], quality.ids_table(letters))[0].tolist()}
+    assert joined == [len(every)]
+
+
 # ---------------------------------------------------------------- 3
 
 
