@@ -8,10 +8,13 @@ from pyspark.sql import functions as F
 
 from sluice import api
 from sluice.operators import links, parsers, project, render, stack
+from sluice.plans import catalogue
 from sluice.schemas import PARSED
 from sluice.sources import repository as R
 from sluice.streaming.snapshot import Store
 
+from .compare import DATA
+
 TREE = {
     "pkg/__init__.py": "",
     "pkg/core.py": '"""Core."""\nimport os\nfrom .util import f\nfrom pkg.sub import thing\n\nclass A(B):\n    def m(self):\n        return f(requests.get("https://api.example/x"))\n\ndef main(a, b=1):\n    def inner():\n        pass\n    return helper(a)\n',
@@ -222,6 +225,22 @@ def test_render_empty(spark):
     assert "*No module-level documentation found.*" in text and "## Imports" not in text
 
 
+def test_names_of_modules_without_a_broadcast_of_all(spark, monkeypatch):
+    """Only names that clash are joined; a small file of paths doesn't let Spark broadcast the names of all documents."""
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan(catalogue.QUERIES["rendered_modules"](spark, str(DATA / "sf0.001")))
+    paths = ["a/b_c.py", "a_b/c.py", "a_b_c.py", "x/m.py", None, "d/" * 120 + "e.py"]
+    rows = spark.createDataFrame([(p, 0, 0, "") for p in paths], "path string, size long, mtime_ns long, content string")
+    parsed = parsers.parsed(rows)
+    names = {tuple(r) for r in project.named_documents(parsed.where("path is not null")).collect()}
+    for limit, kind in ((8 << 20, "BroadcastHashJoin"), (0, "SortMergeJoin")):
+        monkeypatch.setattr(render, "BROADCAST_BYTES", limit)
+        documents = render.modules(parsed)
+        assert kind in plan(documents)
+        found = [tuple(r) for r in documents.select("path", "kb_name").collect()]
+        assert len(found) == 5 and set(found) == names
+
+
 def test_links_of_deep_paths(spark):
     deep = "/".join(f"d{i}" for i in range(14))
     paths = [f"{deep}/a.ts", f"{deep}/b.ts", f"{deep}/m.py", f"{deep}/n.py", f"{deep}/T.java", "x/U.java", "x/v.py"]
