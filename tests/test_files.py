@@ -225,6 +225,25 @@ def test_render_empty(spark):
     assert "*No module-level documentation found.*" in text and "## Imports" not in text
 
 
+def test_large_trees_are_dealt_out(spark, tmp_path, monkeypatch):
+    """A listing by folders and parts of folders finds each file once, with the same rules, and isn't held by the driver."""
+    rows = [(f"{d}/m{i}{end}", f"x = {i}") for d in ("a", "a/b", "node_modules", "gone", "c d/é", "e/" * 130 + "f") for i in range(30) for end in (".py", ".txt", ".skip.js")]
+    rows += [(f"many/f{i}/x.py", "y") for i in range(60)] + [("top.go", ""), ("nul.py", "a\0"), ("large.py", "z" * 500), (".gitignore", "gone/\n*.skip.*\n!m1.skip.js\n")]
+    R.write_tree(spark.createDataFrame(rows, "path string, content string").repartition(3), str(tmp_path))
+    os.symlink(tmp_path / "a", tmp_path / "link")
+    os.symlink(tmp_path / "nothing.py", tmp_path / "broken.py")
+    read = lambda: sorted(tuple(r) for r in R.read_repository(spark, str(tmp_path), maxBytes="400").select("path", "size", "content").collect())
+    expected = read()
+    assert len(expected) == 4 * 31 + 60 + 1
+    reader = lambda: R.RepositoryReader({"path": str(tmp_path), "maxbytes": "400"})
+    for folders, entries in ((2000, 4096), (2000, 7), (3, 7), (1, 1000)):
+        for name, value in (("LISTED", 20), ("FOLDERS", folders), ("ENTRIES", entries)):
+            monkeypatch.setattr(R, name, value)
+        dealt = reader().partitions()
+        assert all(isinstance(p, R.Places) for p in dealt) and not any("m1.py" in str(p) for p in dealt)
+        assert sorted((r[0], r[1], r[3]) for p in dealt for r in reader().read(p)) == expected
+
+
 def test_names_of_modules_without_a_broadcast_of_all(spark, monkeypatch):
     """Only names that clash are joined; a small file of paths doesn't let Spark broadcast the names of all documents."""
     plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
