@@ -207,6 +207,20 @@ def test_quality_with_many_letters(spark):
     assert held[3] * 2 < held[4] and held[5] * 2 < held[6] and held[3] * 2 < held[7]
 
 
+def test_overlapping_windows_are_not_joined_again_and_again(monkeypatch):
+    """Clusters of near copies around a common core: the work of all levels stays within the region's pairs."""
+    rng = np.random.default_rng(5)
+    sets = []
+    for _ in range(20):
+        own = rng.choice(360, 120, replace=False)
+        sets += [np.unique(np.append(own, 10_000 + len(sets) + rng.integers(0, 3, 9))) for _ in range(8)]
+    work, compare = [], jaccard_join.Region.compare
+    monkeypatch.setattr(jaccard_join.Region, "compare", lambda self, points, *args: work.append(len(points) ** 2) or compare(self, points, *args))
+    found = jaccard_join.close_pairs(sets, 0.6)
+    assert found == {(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if len(c := np.intersect1d(sets[i], sets[j])) / (len(sets[i]) + len(sets[j]) - len(c)) >= 0.6}
+    assert len(found) >= 20 * 28 and sum(work) <= len(sets) ** 2
+
+
 def test_quality_in_shards_by_chunks(spark, monkeypatch):
     """Equal rows are scored each, in any number of chunks, and n-grams are joined once for a chunk and not for a document."""
     rng = random.Random(7)
